@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from goldweave.llm.op3 import op3_media
+from goldweave.llm.op4 import op4_token_ids
 
-QUERIES = {"op3_media": op3_media}
+QUERIES = {"op3_media": op3_media, "op4_token_ids": op4_token_ids}
 ORACLE_SQL: dict[str, str] = {}
