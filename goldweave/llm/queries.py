@@ -6,6 +6,7 @@ from goldweave.llm.op1 import op1_language
 from goldweave.llm.op3 import op3_media
 from goldweave.llm.op4 import op4_token_ids
 from goldweave.llm.op5 import op5_packing
+from goldweave.llm.op7 import op7_licenses
 
-QUERIES = {"op1_language": op1_language, "op3_media": op3_media, "op4_token_ids": op4_token_ids, "op5_packing": op5_packing}
+QUERIES = {"op1_language": op1_language, "op3_media": op3_media, "op4_token_ids": op4_token_ids, "op5_packing": op5_packing, "op7_licenses": op7_licenses}
 ORACLE_SQL: dict[str, str] = {}
