@@ -7,6 +7,7 @@ from goldweave.llm.op3 import op3_media
 from goldweave.llm.op4 import op4_token_ids
 from goldweave.llm.op5 import op5_packing
 from goldweave.llm.op7 import op7_licenses
+from goldweave.llm.op8 import op8_near_duplicates
 
-QUERIES = {"op1_language": op1_language, "op3_media": op3_media, "op4_token_ids": op4_token_ids, "op5_packing": op5_packing, "op7_licenses": op7_licenses}
+QUERIES = {"op1_language": op1_language, "op3_media": op3_media, "op4_token_ids": op4_token_ids, "op5_packing": op5_packing, "op7_licenses": op7_licenses, "op8_near_duplicates": op8_near_duplicates}
 ORACLE_SQL: dict[str, str] = {}
