@@ -60,7 +60,11 @@ def source_rates(df: DataFrame, source: str, text: str, targets: dict[str, float
 
 
 def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None, alpha: float = ALPHA, scale: float = 1.0, seed: int = SEED, shuffle: bool = True) -> DataFrame:
-    """df's rows, each as often as drawn, with __rate, __copy (from 0) and __order, the hash that they are shuffled by."""
+    """df's rows, each as often as drawn, with __rate, __copy (from 0) and __order, the hash that they are shuffled by.
+
+    Columns of df with these names are lost.
+    """
+    df = df.drop("__source", "__rate", "__n", "__copy", "__order")
     rates = source_rates(df, source, text, targets, alpha, scale).select("__source", "__rate")
     sources = rates.count()
     rates = F.broadcast(rates) if sources <= MOST_SENT else rates

@@ -65,7 +65,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 s1[full] = np.add.reduceat(V.mix(g), at[:-1][full])
                 s2[full] = np.add.reduceat(V.mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at[:-1][full])
             regs = S.registers(g, at)
-            yield pd.DataFrame({"key": b["key"].iloc[x:y].astype("Int64").array, "n": n, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "regs": [r.tobytes() for r in regs]})
+            yield pd.DataFrame({"key": b["key"].iloc[x:y].astype("Int64").array, "text_hash": b["text_hash"].iloc[x:y].to_numpy(), "n": n, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "regs": [r.tobytes() for r in regs]})
 
 
 def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,12 +153,12 @@ def _block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id, kept: a row for every row of df."""
+    """key, text_hash (xxhash64 of the text), n_shingles, component_id, kept: a row for every row of df."""
     docs = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    sk = staged(docs.mapInPandas(_sketches, "key bigint, n bigint, s1 bigint, s2 bigint, regs binary"), "sketches")
+    sk = staged(docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_sketches, "key bigint, text_hash bigint, n bigint, s1 bigint, s2 bigint, regs binary"), "sketches")
     sig = ["n", "s1", "s2"]
     heads = sk.filter("n > 0 and key is not null").groupBy(*sig).agg(F.min("key").alias("node"))
-    reps = staged(sk.withColumnRenamed("key", "node").join(heads, [*sig, "node"]).dropDuplicates([*sig, "node"]).select("node", *sig, "regs"), "representatives")
+    reps = staged(sk.select(F.col("key").alias("node"), *sig, "regs").join(heads, [*sig, "node"]).dropDuplicates([*sig, "node"]).select("node", *sig, "regs"), "representatives")
     w = W.partitionBy("band")
     rows = reps.select("node", "regs").mapInPandas(_band_rows, "band bigint, node bigint")
     full = rows.withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).filter("lo <> hi")
@@ -192,6 +192,26 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     whole = connected_components(all_links)
 
     named = heads.join(whole, heads["node"] == whole["node"], "left").select(*sig, F.coalesce(whole["component"], heads["node"]).alias("component"))
-    out = sk.select("key", *sig).join(named, sig, "left")
+    out = sk.select("key", "text_hash", *sig).join(named, sig, "left")
     component = F.when(F.col("key").isNotNull() & F.col("component").isNotNull(), F.col("component")).otherwise(F.col("key"))
-    return out.select("key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+    return out.select("key", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df without all but one row of each group: of the rows with the group's smallest key, the one of the smallest text hash.
+
+    Rows without words or without a key stay.
+    """
+    found = staged(groups(df, key, text), "groups")
+    linked = found.filter("n_shingles > 0 and key is not null")
+    best = linked.filter("kept").groupBy("component_id").agg(F.min("text_hash").alias("best"), F.count("*").alias("rows"))
+    lost = linked.join(best, "component_id").filter(~F.col("kept") | (F.col("text_hash") != F.col("best"))).select(F.col("key").alias("__k"), F.col("text_hash").alias("__h")).distinct()
+    out = df.join(lost, (F.col(key) == F.col("__k")) & (F.xxhash64(text) == F.col("__h")), "left_anti")
+    repeated = linked.filter("kept").groupBy("key", "text_hash").count().filter("count > 1")
+    return out if repeated.isEmpty() else _once(out, key, text)
+
+
+def _once(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One of the rows of each key and text; rows with a null in either all stay."""
+    whole = F.col(key).isNotNull() & F.col(text).isNotNull() & (F.length(F.trim(F.col(text))) > 0)
+    return df.filter(whole).dropDuplicates([key, text]).unionByName(df.filter(~whole))

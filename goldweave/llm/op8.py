@@ -10,4 +10,4 @@ from goldweave.llm.neardup import groups
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return groups(documents(spark, sf_dir)).withColumnRenamed("key", "doc_id")
+    return groups(documents(spark, sf_dir)).drop("text_hash").withColumnRenamed("key", "doc_id")
