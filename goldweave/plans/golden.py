@@ -53,7 +53,11 @@ def to_claims(records: DataFrame) -> DataFrame:
     """Long form: a row per record, field and value."""
     own = ["entity", "record_id", "source", "method", "confidence", "ts", "seq", "priority"]
     single = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(0).alias("pos"), F.col(f).cast("string").alias("value")) for f in SCALARS])
-    lists = [F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda v, i, f=f: F.struct(F.lit(f).alias("field"), i.alias("pos"), v.alias("value"))) for f in LISTS]
+
+    def listed(f: str):
+        return F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda v, i: F.struct(F.lit(f).alias("field"), i.alias("pos"), v.alias("value")))
+
+    lists = [listed(f) for f in LISTS]
     return records.select(*own, F.inline(F.concat(F.filter(single, lambda s: s["value"].isNotNull()), *lists)))
 
 

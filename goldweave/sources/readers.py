@@ -16,6 +16,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from goldweave.plans.schemas import PAYLOAD
 
@@ -86,7 +87,7 @@ def read_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _payload(_whole(spark, paths), "json", text, F.when(bad, F.concat(F.lit("Malformed JSON: "), json_error(text))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_error(texts: pd.Series) -> pd.Series:
     """What is wrong with a JSON text and where; null for a good one."""
     import json

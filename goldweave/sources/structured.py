@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from goldweave.functions import fixed as X
 from goldweave.functions import text as T
-from goldweave.functions.normalize import strip, truthy
+from goldweave.functions.normalize import truthy
 from goldweave.plans.schemas import EXTRACTED, LINKS
 
 #: Names that a fact goes by, in the order they are tried.
@@ -145,4 +145,4 @@ def extract(payloads: DataFrame) -> DataFrame:
     sure = F.when(F.col("content_type").isin("csv", "json"), X.STRUCTURED_CONFIDENCE).otherwise(X.TEXT_CONFIDENCE)
     method = F.when(F.col("content_type").isin("csv", "json"), "structured_map").otherwise("regex_heuristics")
     record = F.sha2(F.concat_ws("|", "source", F.col("ingest_seq").cast("string")), 256)
-    return payloads.filter("error is null").select(record.alias("record_id"), "source", "content_type", "ingest_ts", F.col("ingest_seq").alias("seq"), method.alias("method"), sure.alias("confidence"), *(pick(c, t).alias(c) for c, t in EXTRACTED.items()), strip(F.lit("")).alias("note")).drop("note")
+    return payloads.filter("error is null").select(record.alias("record_id"), "source", "content_type", "ingest_ts", F.col("ingest_seq").alias("seq"), method.alias("method"), sure.alias("confidence"), *(pick(c, t).alias(c) for c, t in EXTRACTED.items()))
