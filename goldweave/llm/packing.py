@@ -8,7 +8,7 @@ is certified, the number of bins meets the bound of the whole table, or a round
 
 Only (key, piece, length) is shuffled, never ids.  A partition gets at most about `per_partition`
 pieces, dealt by a hash, so no group or source gathers in one task.  A round's bins are written in the
-shared folder before the next begins.
+shared folder before the next begins; each takes somewhat larger partitions, up to MOST_ROUNDS times the first's.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, per_partition: int = PE
     done: list[DataFrame] = []
     settled, last = 0, math.inf
     for r in range(MOST_ROUNDS):
-        now = staged(_round(pieces, max(1, -(-total // per_partition)), r, capacity), f"packing{r}")
+        now = staged(_round(pieces, max(1, -(-total // (per_partition * (r + 1)))), r, capacity), f"packing{r}")
         first = now.filter("place = 0")
         loose = F.col("filled") < capacity
         bins, open_bins = first.agg(F.count("*"), F.count(F.when(loose, 1))).first()

@@ -59,10 +59,10 @@ def pack_bits(row: bytes) -> bytes:
 
 
 def _lzw_widths(first: int = 258) -> Iterator[tuple[int, int]]:
-    """(size of the table, width of the code read next); the format widens one entry early."""
+    """(next free code, width of codes written then); a reader's table is one entry behind, so it widens at one less."""
     n = first
     while True:
-        yield n, 9 if n < 511 else 10 if n < 1023 else 11 if n < 2047 else 12
+        yield n, 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
         n += 1
 
 

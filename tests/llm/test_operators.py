@@ -1,0 +1,312 @@
+"""Operators against brute force, exact round trips and held-out labels."""
+
+import collections
+import itertools
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from goldweave.llm import idfile, licenses, mixing, packing, setsketch, textvec, tiff, tokens, transcripts, voronoi
+from goldweave.llm.base import tokenizer_path
+from goldweave.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return duckdb.sql(f"SELECT doc_id, text, lang, source FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
+
+
+def rows(spark, name, sf=SF):
+    return QUERIES[name](spark, sf).collect()
+
+
+STRANGE = ["", " ", "a", " a b", "a  b", "a\nb", "a \n b", "a\n\n b", "it's we'll I'D don't", "Ünï cöde Straße ĳ ǅ ² ½ x²y Σας ΣΑΣ", "x_y __ 12ab", "é Éte á", "<|endoftext|> a", "İstanbul I", "a\x1cb c\x1d d", "日本語 テスト", "a\tb \tc\r\n d", "trail  ", "a\x85b c \x85 d", "🙂 a🙂b 'sx 's", "０１２ ٣b", "a\xa0 b\xa0c", "x'.s'. a..'s", "1,234.5%"]
+
+
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_cached_encoding_is_the_librarys(docs, name, kind):
+    enc = tokens.Encoder(tokenizer_path(name), kind)
+    texts = STRANGE + [d[1] for d in docs]
+    ids, n = enc.encode(texts)
+    whole = [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == [len(w) for w in whole]
+    assert ids.tolist() == list(itertools.chain(*whole))
+
+
+@pytest.mark.parametrize("how", ["none", "packbits", "lzw", "deflate"])
+@pytest.mark.parametrize("predictor", [1, 2])
+@pytest.mark.parametrize("tile", [None, (32, 16)])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff_round_trip(how, predictor, tile, order):
+    rng = np.random.default_rng(5)
+    pages = [rng.integers(0, 256, (33, 50), dtype=np.uint8), np.zeros((200, 48), np.uint8), np.repeat(rng.integers(0, 4, (90, 30), dtype=np.uint8), 3, axis=1)]
+    data = tiff.write_tiff(pages, how, predictor, rows=10, tile=tile, order=order)
+    found = list(tiff.read_pages(data))
+    assert [p["page"] for p in found] == [0, 1, 2]
+    assert all((p["pixels"] == q).all() and p["compression"] == how and p["tiled"] == bool(tile) for p, q in zip(found, pages))
+
+
+def test_long_lzw_and_packbits():
+    raw = bytes(np.random.default_rng(1).integers(0, 9, 70_000, dtype=np.uint8))
+    assert tiff.unpack_lzw(tiff.pack_lzw(raw)) == raw
+    assert tiff.unpack_bits(tiff.pack_bits(raw)) == raw
+
+
+def test_broken_tiff_is_a_row_with_an_error(spark):
+    good = tiff.write_tiff([np.zeros((2, 3), np.uint8)])
+    df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"nonsense")), (3, None), (4, bytearray(good[:-30]))], "id int, image binary")
+    found = {r.id: (r.page, r.error is None) for r in tiff.tiff_pages(df, "image", ["id"]).collect()}
+    assert found[1] == (0, True) and found[2] == (-1, False) and found[4] == (-1, False) and 3 not in found
+
+
+def test_stored_texts(spark, docs):
+    found = {r.doc_id: r for r in rows(spark, "op3_media")}
+    for i, text, *_ in docs:
+        raw = (text or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        assert (found[i].n_bytes, found[i].payload_bytes, found[i].tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-16:]))
+
+
+def test_id_blocks_round_trip():
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 4, 5, 1000, 70_000):
+        ids = (rng.zipf(1.2, n) % 4_000_000).astype(np.uint32)
+        lengths = np.array([n // 3, n - n // 3])
+        import io
+
+        got, sizes = next(idfile.blocks(io.BytesIO(idfile.encode_block(ids, lengths))))
+        assert (got == ids).all() and (sizes == lengths).all()
+
+
+def test_token_files_hold_all_ids(spark, docs):
+    tok = tokens.load(tokenizer_path("byte_bpe_50k.json"))
+    start = 0
+    found = sorted(rows(spark, "op4_token_ids"))
+    assert len(found) == len(docs)
+    for r, (i, text, *_) in zip(found, docs):
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert tuple(r) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def _fewest_bins(items, capacity):
+    best = len(items)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(items):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + items[k] <= capacity:
+                place(k + 1, [*bins[:i], bins[i] + items[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, items[k]])
+
+    place(0, [])
+    return best
+
+
+def test_dual_bound_never_exceeds_the_optimum():
+    rng = np.random.default_rng(3)
+    tight = 0
+    for _ in range(60):
+        items = sorted(rng.integers(1, 21, rng.integers(1, 9)).tolist(), reverse=True)
+        x, n = np.unique(items, return_counts=True)
+        bound, best = packing.dual_bound(x, n, 20), _fewest_bins(items, 20)
+        assert bound <= best
+        tight += bound == best
+    assert tight > 50
+
+
+def test_packed_sequences_are_whole(spark, docs):
+    found = rows(spark, "op5_packing")
+    tok = tokens.load(tokenizer_path("word_bpe_49k.json"))
+    total = 0
+    by_doc, by_bin = collections.defaultdict(list), collections.defaultdict(list)
+    for r in found:
+        by_doc[r.doc_id].append(r)
+        by_bin[r.sequence_id].append(r)
+    for i, text, *_ in docs:
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        total += len(ids)
+        pieces = sorted(by_doc[i], key=lambda r: r.piece)
+        assert [(p.piece, p.start, p.length, p.ids_crc32) for p in pieces] == [(k, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+    for group in by_bin.values():
+        at = 0
+        for r in sorted(group, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+    assert len(by_bin) == -(-total // 4096)
+
+
+def test_exchange_between_partitions_joins_gaps(spark):
+    df = spark.range(600).selectExpr("id AS key", "0 AS piece", "id AS nr", "CAST(1 + (id * 37) % 97 AS bigint) AS length")
+    lengths = np.array([r.length for r in df.collect()])
+    alone = len(packing.best_fit_decreasing(lengths, 100)[2])
+    apart = packing.pack_pieces(df, 100, per_partition=50)
+    sizes = apart.groupBy("bin").sum("length").collect()
+    assert apart.count() == 600 and max(r[1] for r in sizes) <= 100
+    assert packing.dual_bound(*np.unique(lengths, return_counts=True), 100) <= len(sizes) <= alone * 1.03
+
+
+def test_languages_of_held_out_documents(spark):
+    found = {r.doc_id: r for r in rows(spark, "op1_language", "/root/testdata/sf0.01")}
+    lang = dict(duckdb.sql("SELECT doc_id, lang FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    out = [i for i, r in found.items() if r.held_out]
+    assert all((zlib.crc32(str(i).encode()) % 4 == 2) == r.held_out for i, r in found.items())
+    assert np.mean([found[i].lang_pred == lang[i] for i in out]) > 0.97
+
+
+def test_toxic_documents_are_found(spark):
+    found = {r.doc_id: r.is_toxic for r in rows(spark, "op2_toxicity", "/root/testdata/sf0.01")}
+    label = duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.01/labels.parquet'").fetchall()
+    assert np.mean([found[i] for i, t in label if t]) > 0.7
+    assert np.mean([found[i] for i, t in label if not t]) < 0.03
+
+
+def test_licences_by_brute_force(spark, docs):
+    found = {r.doc_id: r for r in rows(spark, "op7_licenses")}
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    for i, text, *_ in docs:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(lower))
+        at = [(j, label) for phrase, label in licenses.PHRASES.items() for q in [phrase.split()] for j in range(len(words)) if words[j : j + len(q)] == q]
+        r = found[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(at), ",".join(sorted({x for _, x in at})))
+        assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+
+
+def test_template_with_words_put_in_is_found(spark):
+    text = "x " * 20 + "Permission is hereby granted, free of charge, to any nice person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without any restriction"
+    df = spark.createDataFrame([(1, text), (2, "permission is hereby granted"), (3, None)], "doc_id bigint, text string")
+    got = {r.key: r for r in licenses.scan(df, "doc_id", "text").collect()}
+    assert got[1].labels == "mit" and 0.75 <= got[1].score < 1 and got[1].n_base == 0
+    assert got[2].labels == "" and got[3].n_words == 0
+
+
+def _brute_groups(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in texts}
+
+
+def test_near_duplicates_by_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    vocab = [f"w{i}" for i in range(4000)]
+    texts, k = {}, 0
+    for family in range(12):
+        base = rng.choice(vocab, rng.integers(30, 200)).tolist()
+        for _ in range(int(rng.integers(1, 25))):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, 5))):
+                copy[int(rng.integers(len(copy)))] = f"x{rng.integers(1 << 30)}"
+            texts[k] = " ".join(copy)
+            k += 1
+            if rng.random() < 0.3:
+                base = copy  # chains: ends may be far apart
+    texts |= {k: "", k + 1: "one two", k + 2: "One  TWO", k + 3: "one two three"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows(spark, "op8_near_duplicates", str(tmp_path))}
+    want = _brute_groups(texts)
+    assert got == want
+
+
+def test_sketches_merge_and_estimate():
+    rng = np.random.default_rng(8)
+    a, b = (textvec.mix(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in (500, 300))
+    one = setsketch.registers(np.concatenate([a, b, np.concatenate([a, b])]), np.array([0, 500, 800, 1600]))
+    assert (np.maximum(one[0], one[1]) == one[2]).all()
+    x, y = one[0], one[2]
+    guess, may = setsketch.likely(np.array([(x > y).sum()]), np.array([(x < y).sum()]), np.array([(x == y).sum()]), np.array([500.0]), np.array([800.0]), 0.75)
+    assert abs(guess[0] - 500 / 800) < 0.12
+
+
+def test_mixing_draws_poisson_counts(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "concat('t', id) AS text", "CASE WHEN id % 4 = 0 THEN 'a' ELSE 'b' END AS source")
+    got = mixing.mix_sources(df, targets={"a": 0.5, "b": 0.5})
+    by = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+    assert abs(by["a"] / by["b"] - 1) < 0.06
+    counts = collections.Counter(r["count"] for r in got.filter("source = 'a'").groupBy("doc_id").count().collect())
+    assert abs(counts[1] / 5000 - 2 * np.exp(-2)) < 0.03
+    assert got.orderBy("__order").count() == got.count()
+
+
+def test_queries_equal_their_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        want = con.sql(sql)
+        cols = sorted(want.columns)
+        got = QUERIES[name](spark, SF).select(*cols).collect()
+        assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()), name
+
+
+def test_knn_of_blocks_and_hot_vectors_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    v = rng.integers(-50, 50, (700, 6))
+    v[200:500] = v[200]
+    data = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "key bigint, v array<bigint>")
+    got = collections.defaultdict(list)
+    for r in voronoi.top_k(data, data.filter("key % 50 = 0"), 7, pivots=9, block=64, per_group=5).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 700, 50):
+        order = sorted((-int(v[q] @ v[i]), i) for i in range(700) if i != q)[:7]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(order)]
+
+
+def test_scores_beyond_doubles_are_exact():
+    q = np.array([[(1 << 40) + 1, 3]])
+    x = np.array([[(1 << 20) + 1, 5], [1 << 40, 1 << 40]])
+    got = voronoi.exact_scores(q, x)
+    assert got[0, 0] == ((1 << 40) + 1) * ((1 << 20) + 1) + 15 and got[0, 1] == (1 << 63) - 1
+
+
+def test_chunked_viterbi_is_viterbi():
+    rng = np.random.default_rng(10)
+    model = transcripts.Model(np.log(rng.dirichlet(np.ones(6))), np.log(rng.dirichlet(np.ones(6), 6)), [np.log(rng.dirichlet(np.ones(n), 6)) for n in transcripts.SIZES])
+    x = np.stack([rng.integers(0, n, 500) for n in transcripts.SIZES], axis=1)
+    parts = [x[a : a + 37] for a in range(0, 500, 37)]
+    before, last = transcripts.chain([], [transcripts.summary(model, p, i == 0) for i, p in enumerate(parts)])
+    path = np.concatenate([transcripts.viterbi(model, p, b, z) for p, b, z in zip(parts, before, last)])
+    assert (path == transcripts.viterbi(model, x)).all()
+
+
+def test_roles_of_held_out_conversations(spark):
+    got = {(r.conv_id, r.turn): r for r in rows(spark, "op9_chat")}
+    truth = duckdb.sql(f"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1, role FROM '{SF}/conversations.parquet'").fetchall()
+    held = [(got[c, t].role, role) for c, t, role in truth if (c, t) in got and got[c, t].held_out]
+    assert len(got) == len(truth) and np.mean([a == b for a, b in held]) > 0.9
+
+
+def test_long_conversation_in_small_chunks_is_the_same(spark):
+    lines = [(1, i, ("User: hi there" if i % 4 == 0 else "Assistant: yes" if i % 4 == 2 else "")) for i in range(200)]
+    df = spark.createDataFrame(lines, "c bigint, i bigint, t string")
+    import pandas as pd
+
+    known = pd.DataFrame([(0, t, "user" if t.startswith("U") else "assistant", True) for _, _, t in lines if t], columns=["conv", "line", "role", "first"])
+    model = transcripts.fit(known)
+    whole, cut = (sorted(map(tuple, transcripts.turns(df, model, "c", ["i"], "t", chunk=n).collect())) for n in (4096, 7))
+    assert whole == cut and len(whole) == 100 and whole[1][2:5] == ("assistant", 1, "yes")
