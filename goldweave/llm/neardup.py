@@ -2,14 +2,17 @@
 
 1. Each document's set of word shingles gives its size, a 128-bit signature and a SetSketch.  Rows with
    one signature have equal sets and go on as one representative, the smallest key.
-2. Bands of register values put representatives in buckets.  In each bucket the smallest and the
-   largest member are centres: links member - centre grow with the bucket, not with its square.
-3. Links are screened by the registers' joint likelihood and then verified on the full sets; the
-   verified ones give components.
-4. Buckets whose members are not yet in one component are compared in full, members of different
-   components only, in blocks of bounded size; pairs that the likelihood can't rule out are verified too.  So
-   a link is lost only if no band has both of its ends, which 40 bands of 4 registers let happen
-   to fewer than one pair in a million at similarity 0.75.
+2. Bands of register values put representatives in buckets.  In each bucket two members, drawn by a hash of
+   member and band, are centres: pairs member - centre grow with the bucket, not with its square.
+3. Pairs are screened by the registers' joint likelihood; each member's likeliest ones are verified on the full
+   sets, and the verified links give components.
+4. Buckets with members of different components are compared in full, by registers, in blocks of bounded size.  First
+   each member's likeliest partner in another component is verified, which joins groups around a common
+   original without their many pairs; then, of what is still apart, every pair that the likelihood can't rule out.
+   The last step has the texts in its blocks, verifies there, each pair in the first band that it shares, and gives
+   links only: copies with many changes are near to thousands of others without being linked to them.
+   So a link between components is lost only if no band has both of its ends, which 40 bands of 4 registers
+   let happen to fewer than one pair in a million at similarity 0.75.
 5. Components of all verified links, spread to all rows by signature.
 
 Nothing is collected on the driver.  Null and empty texts have empty sets and no links; rows with a null
@@ -19,6 +22,7 @@ texts share the key's links.  Extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +36,9 @@ from goldweave.llm import textvec as V
 from goldweave.operators.graph import connected_components
 from goldweave.plans.staging import staged
 
-SHINGLE, PERCENT, BLOCK = 5, 75, 2000
+SHINGLE, PERCENT, FIRST = 5, 75, 3
+#: A block of a bucket has about so many members, or characters of text, at most.
+BLOCK, BLOCK_CHARS = 2000, 16_000_000
 
 
 def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +71,8 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 s1[full] = np.add.reduceat(V.mix(g), at[:-1][full])
                 s2[full] = np.add.reduceat(V.mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at[:-1][full])
             regs = S.registers(g, at)
-            yield pd.DataFrame({"key": b["key"].iloc[x:y].astype("Int64").array, "text_hash": b["text_hash"].iloc[x:y].to_numpy(), "n": n, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "regs": [r.tobytes() for r in regs]})
+            chars = [len(t) if t else 0 for t in texts[x:y]]
+            yield pd.DataFrame({"chars": chars, "key": b["key"].iloc[x:y].astype("Int64").array, "text_hash": b["text_hash"].iloc[x:y].to_numpy(), "n": n, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "regs": [r.tobytes() for r in regs]})
 
 
 def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,20 +86,31 @@ def _regs(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
 
 
-def _may_link(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    ok = np.zeros(len(na), bool)
+def _likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Estimated similarities; -1 for pairs that sizes or registers rule out."""
+    out = np.full(len(na), -1.0)
     sizes = np.flatnonzero(100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb))
     for x in range(0, len(sizes), 4096):
         i = sizes[x : x + 4096]
         up, down = (ra[i] > rb[i]).sum(axis=1), (ra[i] < rb[i]).sum(axis=1)
-        ok[i] = S.likely(up, down, ra.shape[1] - up - down, na[i].astype(float), nb[i].astype(float), PERCENT / 100)[1]
-    return ok
+        guess, may = S.likely(up, down, ra.shape[1] - up - down, na[i].astype(float), nb[i].astype(float), PERCENT / 100)
+        out[i] = np.where(may, guess, -1.0)
+    return out
 
 
 def _screened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         if len(b):
-            yield b.loc[_may_link(_regs(b["ra"]), _regs(b["rb"]), b["na"].to_numpy(), b["nb"].to_numpy()), ["a", "b"]]
+            guess = _likely(_regs(b["ra"]), _regs(b["rb"]), b["na"].to_numpy(), b["nb"].to_numpy())
+            yield b.loc[guess >= 0, ["a", "b"]].assign(guess=guess[guess >= 0])
+
+
+def _linked(p: np.ndarray, q: np.ndarray) -> bool:
+    """Two sorted sets are similar enough."""
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (len(both) - common)
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,90 +124,113 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return held[t]
 
     for b in batches:
-        ok = np.zeros(len(b), bool)
-        for i, (x, y) in enumerate(zip(b["ta"], b["tb"])):
-            p, q = sets(x), sets(y)
-            both = np.concatenate([p, q])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            ok[i] = 100 * common >= PERCENT * (len(both) - common)
+        ok = np.array([_linked(sets(x), sets(y)) for x, y in zip(b["ta"], b["tb"])], bool)
         yield b.loc[ok, ["a", "b"]]
 
 
-def _block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of each group (band, bi, bj), whose rows come together; a group is of bounded size and may span batches."""
-    rest: pd.DataFrame | None = None
-
-    def pairs(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.reset_index(drop=True)
-        node, comp, n, own = (d[c].to_numpy() for c in ("node", "comp", "n", "own"))
-        cross = (d["bi"] != d["bj"]).to_numpy()
-        regs = _regs(d["regs"])
-        first = np.flatnonzero(np.append(True, (d[["band", "bi", "bj"]].to_numpy()[1:] != d[["band", "bi", "bj"]].to_numpy()[:-1]).any(axis=1)))
-        out = []
-        for s, e in zip(first, np.append(first[1:], len(d))):
-            for i in range(s, e - 1):
-                j = np.arange(i + 1, e)
-                j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))]
-                if cross[s]:
-                    j = j[own[j] != own[i]]
-                if len(j):
-                    j = j[_may_link(np.broadcast_to(regs[i], (len(j), regs.shape[1])), regs[j], np.full(len(j), n[i]), n[j])]
-                    out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
-        got = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-        return pd.DataFrame({"a": got[0], "b": got[1]}).drop_duplicates()
+def _block_pairs(batches: Iterator[pd.DataFrame], best: bool) -> Iterator[pd.DataFrame]:
+    """Pairs across components in each group (band, bi, bj): each member's likeliest (best), or all links by the texts.
 
+    A group's rows come one after another; it is of bounded size and may span batches.
+    """
+    rest: pd.DataFrame | None = None
+    group = ["band", "bi", "bj"]
     for b in batches:
         if not len(b):
             continue
         b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        last = (b[["band", "bi", "bj"]] == b[["band", "bi", "bj"]].iloc[-1]).all(axis=1).to_numpy()
+        last = (b[group] == b[group].iloc[-1]).all(axis=1).to_numpy()
         cut = len(b) - int(last[::-1].cumprod().sum())
         if cut:
-            yield pairs(b.iloc[:cut])
+            yield _pairs(b.iloc[:cut].reset_index(drop=True), best)
         rest = b.iloc[cut:]
     if rest is not None:
-        yield pairs(rest)
+        yield _pairs(rest.reset_index(drop=True), best)
+
+
+def _pairs(d: pd.DataFrame, best: bool) -> pd.DataFrame:
+    node, comp, n, own, band = (d[c].to_numpy() for c in ("node", "comp", "n", "own", "band"))
+    cross = (d["bi"] != d["bj"]).to_numpy()
+    regs, ids = _regs(d["regs"]), d[["band", "bi", "bj"]].to_numpy()
+    bands = None if best else S.bands(regs)
+    texts = None if best else d["text"].tolist()
+    sets: dict[int, np.ndarray] = {}
+
+    def full(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_sets([texts[i]])[0]
+        return sets[i]
+
+    first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(axis=1)))
+    out = []
+    for s, e in zip(first, np.append(first[1:], len(d))):
+        sets.clear()
+        place = None if best else int(np.flatnonzero(bands[s] == band[s])[0])
+        for i in range(s, e):
+            j = np.arange(s if best else i + 1, e)
+            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))]
+            if cross[s]:
+                j = j[own[j] != own[i]]
+            if not best and len(j):  # pairs that share an earlier band are looked at there
+                j = j[~(bands[j, :place] == bands[i, :place]).any(axis=1)]
+            if not len(j):
+                continue
+            guess = _likely(np.broadcast_to(regs[i], (len(j), regs.shape[1])), regs[j], np.full(len(j), n[i]), n[j])
+            if best:
+                j = j[[guess.argmax()]] if guess.max() >= 0 else j[:0]
+            else:
+                j = np.array([k for k in j[guess >= 0].tolist() if _linked(full(i), full(k))], np.int64)
+            out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
+    got = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+    return pd.DataFrame({"a": got[0], "b": got[1]}).drop_duplicates()
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text_hash (xxhash64 of the text), n_shingles, component_id, kept: a row for every row of df."""
     docs = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    sk = staged(docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_sketches, "key bigint, text_hash bigint, n bigint, s1 bigint, s2 bigint, regs binary"), "sketches")
+    sk = staged(docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_sketches, "chars bigint, key bigint, text_hash bigint, n bigint, s1 bigint, s2 bigint, regs binary"), "sketches")
     sig = ["n", "s1", "s2"]
     heads = sk.filter("n > 0 and key is not null").groupBy(*sig).agg(F.min("key").alias("node"))
-    reps = staged(sk.select(F.col("key").alias("node"), *sig, "regs").join(heads, [*sig, "node"]).dropDuplicates([*sig, "node"]).select("node", *sig, "regs"), "representatives")
+    reps = staged(sk.select(F.col("key").alias("node"), *sig, "regs", "chars").join(heads, [*sig, "node"]).dropDuplicates([*sig, "node"]).select("node", *sig, "regs", "chars"), "representatives")
     w = W.partitionBy("band")
     rows = reps.select("node", "regs").mapInPandas(_band_rows, "band bigint, node bigint")
-    full = rows.withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).filter("lo <> hi")
+    drawn = F.xxhash64("node", "band")
+    full = rows.withColumns({"lo": F.min_by("node", drawn).over(w), "hi": F.max_by("node", drawn).over(w)}).filter("lo <> hi")
     members = staged(full, "buckets")
     nodes = members.select("node").distinct()
     texts = docs.withColumnRenamed("key", "node").join(nodes, "node", "left_semi").dropDuplicates(["node", "text"])
     texts = staged(texts, "texts")
-    sized = reps.select("node", "n", "regs")
+    sized = reps.select("node", "n", "regs", "chars")
 
     def verify(pairs: DataFrame) -> DataFrame:
         x = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
         y = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInPandas(_verified, "a bigint, b bigint")
 
-    stars = members.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(members.select(F.col("node").alias("a"), F.col("hi").alias("b"))).filter("a <> b").distinct()
+    # a: the member, b: the centre
+    stars = members.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a <> b").distinct()
     x = sized.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     y = sized.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    tried = staged(stars.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb").mapInPandas(_screened, "a bigint, b bigint").distinct(), "stars")
+    screened = stars.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb").mapInPandas(_screened, "a bigint, b bigint, guess double")
+    top = F.row_number().over(W.partitionBy("a").orderBy(F.desc("guess"), "b"))
+    tried = screened.withColumn("nr", top).filter(F.col("nr") <= FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = staged(tried, "stars")
     linked = staged(verify(tried), "links")
-    parts = connected_components(linked)
-
-    left = members.select("band", "node").join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
-    left = left.withColumns({"c0": F.min("comp").over(w), "c1": F.max("comp").over(w), "size": F.count("*").over(w)}).filter("c0 <> c1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    left = left.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.select("band", "node", "comp", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")).join(sized, "node")
-    group = ["band", "bi", "bj"]
-    more = left.select(*group, "node", "comp", "own", "n", "regs").repartition(*group).sortWithinPartitions(*group, "node").mapInPandas(_block_pairs, "a bigint, b bigint")
-    more = staged(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    all_links = staged(linked.unionByName(verify(more)), "links")
-    whole = connected_components(all_links)
+    whole = connected_components(linked)
+    for best in (True, False):
+        left = members.select("band", "node").join(whole, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
+        left = left.withColumns({"c0": F.min("comp").over(w), "c1": F.max("comp").over(w)}).filter("c0 <> c1").select("band", "node", "comp").join(sized, "node")
+        left = left.withColumns({"size": F.count("*").over(w), "all_chars": F.sum("chars").over(w)})
+        blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all_chars") / BLOCK_CHARS), F.lit(1)).cast("int")
+        left = left.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        left = left.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")})
+        group, keep = ["band", "bi", "bj"], ["node", "comp", "own", "n", "regs"]
+        dealt = left.select(*group, *keep) if best else left.select(*group, *keep).join(texts, "node").select(*group, *keep, "text")
+        found = dealt.repartition(*group).sortWithinPartitions(*group, "node").mapInPandas(functools.partial(_block_pairs, best=best), "a bigint, b bigint").distinct()
+        if best:
+            found = verify(staged(found.join(tried, ["a", "b"], "left_anti"), "pairs"))
+        links = whole.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(found)
+        whole = connected_components(links)
 
     named = heads.join(whole, heads["node"] == whole["node"], "left").select(*sig, F.coalesce(whole["component"], heads["node"]).alias("component"))
     out = sk.select("key", "text_hash", *sig).join(named, sig, "left")
