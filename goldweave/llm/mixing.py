@@ -21,27 +21,40 @@ from goldweave.plans.staging import staged
 ALPHA, SEED, MOST_SENT = 0.7, 17, 100_000
 
 
-def unit(*columns: Column | str, seed: int) -> Column:
-    """A uniform number in [0, 1) of 52 bits from md5 of the seed and the columns, nulls told from empty strings."""
+def row_hash(*columns: Column | str, seed: int) -> Column:
+    """md5 of the seed and the columns, nulls told from empty strings."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string") if isinstance(c, str) else c), F.lit("-")) for c in columns]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
-def poisson_count(u: Column, mean: Column) -> Column:
-    """The smallest k with P(X <= k) > u, X ~ Poisson(mean).
+def unit(hashed: Column) -> Column:
+    """A uniform number in [0, 1) of the first 52 bits of an md5."""
+    return F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
-    The terms are summed in a fixed order, up to mean + 12 * sqrt(mean) + 40, past which nothing is left of a double.
-    Of a mean over 500, whose first term is near the smallest double, all but 400 and its fraction is a fixed count.
+
+def poisson_steps(mean: Column) -> Column:
+    """(fixed, P(X <= 0), P(X <= 1), ...) for X ~ Poisson(mean - fixed), up to mean + 12 * sqrt(mean) + 40 terms.
+
+    Past that nothing is left of a double.  Of a mean over 500, whose first term is near the smallest double, all but
+    400 and its fraction is a fixed count.  Computed once per source; terms from where the sum no longer grows are cut.
     """
-    fixed = F.when(mean > 500, F.floor(mean) - 400).otherwise(0)
-    return (fixed + _inverted(u, mean - fixed)).cast("int")
+    fixed = F.when(mean > 500, F.floor(mean) - 400).otherwise(0).cast("double")
+    rest = mean - fixed
+    most = F.ceil(rest + 12 * F.sqrt(rest) + 40).cast("int")
+    start = F.struct(F.exp(-rest).alias("p"), F.array(F.exp(-rest)).alias("c"))
+
+    def step(s: Column, i: Column) -> Column:
+        p = s["p"] * rest / i
+        c = F.element_at(s["c"], -1)
+        return F.struct(p.alias("p"), F.when(c + p > c, F.concat(s["c"], F.array(c + p))).otherwise(s["c"]).alias("c"))
+
+    return F.concat(F.array(fixed), F.aggregate(F.sequence(F.lit(1), most), start, step)["c"])
 
 
-def _inverted(u: Column, mean: Column) -> Column:
-    most = F.ceil(mean + 12 * F.sqrt(mean) + 40).cast("int")
-    start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("c"))
-    step = lambda s, i: F.when(s["c"] > u, s).otherwise(F.struct((s["k"] + 1).alias("k"), (s["p"] * mean / i).alias("p"), (s["c"] + s["p"] * mean / i).alias("c")))
-    return F.aggregate(F.sequence(F.lit(1), most), start, step)["k"]
+def poisson_count(u: Column, steps: Column) -> Column:
+    """The smallest k with P(X <= k) > u, after poisson_steps()."""
+    above = F.size(F.filter(steps, lambda c, i: (i > 0) & (c <= u)))
+    return (F.get(steps, F.lit(0)) + above).cast("int")
 
 
 def source_rates(df: DataFrame, source: str, text: str, targets: dict[str, float] | None, alpha: float, scale: float) -> DataFrame:
@@ -64,12 +77,12 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
 
     Columns of df with these names are lost.
     """
-    df = df.drop("__source", "__rate", "__n", "__copy", "__order")
-    rates = source_rates(df, source, text, targets, alpha, scale).select("__source", "__rate")
-    sources = rates.count()
-    rates = F.broadcast(rates) if sources <= MOST_SENT else rates
-    joined = df.join(rates, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
-    count = poisson_count(unit(key, text, seed=seed), F.col("__rate"))
-    drawn = joined.withColumn("__n", count).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
-    drawn = drawn.withColumn("__order", F.xxhash64(F.lit(seed), F.col(key), F.md5(F.col(text)), F.col("__copy")))
-    return drawn.repartitionByRange("__order", "__copy").sortWithinPartitions("__order", "__copy") if shuffle else drawn
+    df = df.drop("__source", "__rate", "__steps", "__hash", "__n", "__copy", "__order")
+    rates = source_rates(df, source, text, targets, alpha, scale).select("__source", "__rate", poisson_steps(F.col("__rate")).alias("__steps"))
+    rates = F.broadcast(rates) if rates.count() <= MOST_SENT else rates
+    joined = df.join(rates, F.col(source).eqNullSafe(F.col("__source"))).drop("__source").withColumn("__hash", row_hash(key, text, seed=seed))
+    count = poisson_count(unit(F.col("__hash")), F.col("__steps"))
+    drawn = joined.withColumn("__n", count).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    drawn = drawn.withColumn("__order", F.xxhash64("__hash", "__copy")).drop("__n", "__hash", "__steps")
+    # dealt by the hash itself: as random as a range of it, without reading the input once more to find ranges
+    return drawn.repartition("__order").sortWithinPartitions("__order", "__copy") if shuffle else drawn
