@@ -32,11 +32,17 @@ def repair_emails(text: Column, guard: bool = True) -> Column:
     guard: not across the end of a sentence (`a@b.com. Then` stays); without it, as the pattern alone would have it.
     """
     pattern = X.SPACED_EMAIL.replace(r"\s*\.\s*", r"(?:\s+\.\s*|\.)") if guard else X.SPACED_EMAIL
-    return F.regexp_replace(text, pattern, "$1@$2.$3")
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, pattern, "$1@$2.$3")).otherwise(text)
+
+
+def addresses(text: Column) -> Column:
+    """Distinct addresses as they stand; texts without an @, which are most, don't meet the pattern."""
+    none = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.when(F.contains(text, F.lit("@")), F.array_distinct(_all(text, X.EMAIL))).otherwise(none)
 
 
 def emails(text: Column, guard: bool = True) -> Column:
-    return F.array_distinct(_all(repair_emails(text, guard), X.EMAIL))
+    return addresses(repair_emails(text, guard))
 
 
 def phones(text: Column) -> Column:

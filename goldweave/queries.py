@@ -221,7 +221,7 @@ def normalize_url(spark, sf_dir):
 
 @query(f"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '{X.EMAIL}'))) AS emails FROM documents""")
 def extract_emails(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sort_array(F.array_distinct(F.regexp_extract_all("text", F.lit(X.EMAIL), 0))).alias("emails"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sort_array(T.addresses(F.col("text"))).alias("emails"))
 
 
 @query(f"""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '{X.PHONE}'), lambda x: trim(x, chr(10) || ' ')), lambda x: length(x) >= 7))) AS phones FROM documents""")
@@ -418,7 +418,7 @@ def quality_report(spark, sf_dir):
 def diagnostics(spark, sf_dir):
     none = lambda kind: F.lit(None).cast(kind)
     d = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("source"), F.lit("txt").alias("content_type"), F.lit("x").alias("full_name"), F.array_distinct(F.regexp_extract_all("text", F.lit(X.EMAIL), 0)).alias("emails"), F.array().cast("array<string>").alias("phones"), none("array<string>").alias("skills"),
+        "doc_id", F.col("source"), F.lit("txt").alias("content_type"), F.lit("x").alias("full_name"), T.addresses(F.col("text")).alias("emails"), F.array().cast("array<string>").alias("phones"), none("array<string>").alias("skills"),
         none("array<string>").alias("experience"), none("array<string>").alias("education"), F.struct(none("string").alias("linkedin"), F.lit("").alias("github"), none("string").alias("portfolio"), F.array().cast("array<string>").alias("other")).alias("links"), F.when(F.col("lang") == "en", "h").alias("headline"), none("string").alias("error"),
     )
     out = A.diagnostics(d.withColumn("source", F.col("doc_id").cast("string")), F.lit(0.6))
