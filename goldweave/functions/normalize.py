@@ -13,6 +13,15 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def said(template: str, *values: Column) -> Column:
+    """A fixed text with columns in place of each {}."""
+    first, *rest = template.split("{}")
+    parts = [F.lit(first)]
+    for v, text in zip(values, rest, strict=True):
+        parts += [v.cast("string"), F.lit(text)]
+    return F.concat(*parts)
+
+
 def truthy(c: Column) -> Column:
     """Null for an empty string, else the string."""
     return F.nullif(c, F.lit(""))

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldweave.functions import fixed as X
+from goldweave.functions.normalize import said
 
-#: Advice that every report ends with.
-ADVISORIES = ["Expected Salary", "Notice Period", "Current Employment Status", "Work Authorization", "Preferred Location"]
 SECTIONS = ["full_name", "emails", "phones", "skills", "experience", "education", "links", "headline"]
 
 
@@ -57,14 +56,9 @@ def quality(present: dict[str, Column], duplicates: Column, conflicting: Column,
     validity = F.greatest(F.lit(0.0), 1 - n_warnings * 0.15)
     merged = F.coalesce(match_quality, overall_confidence)
     missing = F.array_compact(F.array(*[F.when(~t, F.lit(k)) for k, t in there.items()]))
-    said = [
-        F.when(F.size(missing) > 0, F.concat(F.lit("Add the following fields to improve profile completeness: "), F.array_join(F.slice(missing, 1, 5), ", "), F.lit("."))),
-        F.when(~there["LinkedIn"], "A LinkedIn URL significantly improves recruiter confidence."),
-        F.when(~there["Headline / Summary"], "A professional headline / summary improves searchability."),
-        F.when(~there["Work Experience"], "No work experience was extracted — verify source documents."),
-        F.when(~there["Skills"], "No skills were extracted — verify source documents."),
-        *(F.lit(f"Consider adding: {a} (not in current sources).") for a in ADVISORIES),
-    ]
+    lines = [F.when(F.size(missing) > 0, said(X.ADVICE["missing"], F.array_join(F.slice(missing, 1, 5), ", ")))]
+    lines += [F.when(~there[k], X.ADVICE[k]) for k in ("LinkedIn", "Headline / Summary", "Work Experience", "Skills")]
+    lines += [said(X.ADVICE["advisory"], F.lit(a)) for a in X.ADVISORIES]
     return {
         "completeness_score": F.round(completeness, 3),
         "consistency_score": F.round(consistency, 3),
@@ -72,7 +66,7 @@ def quality(present: dict[str, Column], duplicates: Column, conflicting: Column,
         "merge_quality_score": F.round(merged, 3),
         "overall_score": F.round(completeness * 0.35 + consistency * 0.20 + validity * 0.20 + merged * 0.25, 3),
         "missing_fields": missing,
-        "suggestions": F.array_compact(F.array(*said)),
+        "suggestions": F.array_compact(F.array(*lines)),
     }
 
 
@@ -90,14 +84,10 @@ def decision_rule(reason: Column) -> Column:
 def explanation(reason: Column) -> Column:
     """One or two sentences about a decision."""
     rule = decision_rule(reason)
-    return (
-        F.when(F.coalesce(reason, F.lit("")) == "", F.array(F.lit("Single source — no conflict resolution required.")))
-        .when(rule == "single_source", F.array(F.lit("Only one source provided this field — no conflict resolution required.")))
-        .when(rule == "source_priority", F.array(F.concat(F.lit("Source priority comparison: "), reason), F.lit("Higher priority sources override lower priority ones for this field.")))
-        .when(rule == "confidence", F.array(F.concat(F.lit("Extraction confidence comparison: "), reason), F.lit("Higher confidence extractions are preferred when source priority is equal.")))
-        .when(rule == "recency", F.array(F.lit("Source priority and confidence were equal."), F.lit("The more recently processed source was selected as the tie-breaker.")))
-        .otherwise(F.array(reason))
-    )
+    out = F.when(F.coalesce(reason, F.lit("")) == "", F.array(*map(F.lit, X.EXPLANATIONS["none"])))
+    for name, texts in X.EXPLANATIONS.items():
+        out = out.when(rule == name, F.array(*[said(t, *[reason] * t.count("{}")) for t in texts]))
+    return out.otherwise(F.array(reason))
 
 
 def heat(confidence: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldweave.functions import fixed as X
+from goldweave.functions.normalize import said
 
 #: Fields whose claims count for the overall confidence: not profile links, dates, summaries or degrees.
 CONFIDENT = ["full_name", "headline", "years_experience", "emails", "phones", "other_links", "skills", "city", "region", "country", "experience.company", "experience.title", "education.institution"]
@@ -25,20 +26,15 @@ def job_ends_before_start(start: Column, end: Column) -> Column:
 
 def warnings(jobs: Column, years: Column, studies: Column, emails: Column, phones: Column, match_type: Column | None = None, match_score: Column | None = None) -> Column:
     """Texts of all checks that fail, in order; the one of probable matches only where those columns are given."""
-    text = lambda *parts: F.concat(F.lit("Validation Warning: "), *parts)
     empty = F.array().cast("array<string>")
-    dates = F.transform(F.filter(jobs, lambda j: job_ends_before_start(j["start"], j["end"])), lambda j: text(F.lit("Job at '"), j["company"], F.lit("' has end_date before start_date ("), j["end"], F.lit(" < "), j["start"], F.lit(").")))
-    late = F.transform(F.filter(studies, lambda s: s["end_year"] > 2035), lambda s: text(F.lit("Education institution '"), s["institution"], F.lit("' has graduation year ("), s["end_year"].cast("string"), F.lit(") in the far future.")))
-    one = lambda test, words: F.when(F.coalesce(test, F.lit(False)), F.array(text(F.lit(words)))).otherwise(empty)
-    parts = [
-        F.coalesce(dates, empty),
-        one(years < 0, "Candidate has negative years of experience."),
-        F.coalesce(late, empty),
-        one((F.coalesce(F.size(emails), F.lit(0)) <= 0) & (F.coalesce(F.size(phones), F.lit(0)) <= 0), "Candidate profile has no contact information (emails and phones are empty)."),
-    ]
+    dates = F.transform(F.filter(jobs, lambda j: job_ends_before_start(j["start"], j["end"])), lambda j: said(X.WARNINGS["dates"], j["company"], j["end"], j["start"]))
+    late = F.transform(F.filter(studies, lambda s: s["end_year"] > 2035), lambda s: said(X.WARNINGS["future"], s["institution"], s["end_year"]))
+    one = lambda test, words: F.when(F.coalesce(test, F.lit(False)), F.array(words)).otherwise(empty)
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    parts = [F.coalesce(dates, empty), one(years < 0, F.lit(X.WARNINGS["years"])), F.coalesce(late, empty), one(none(emails) & none(phones), F.lit(X.WARNINGS["contact"]))]
     if match_type is not None:
-        fuzzy = F.coalesce((match_type == "fuzzy") & (F.coalesce(match_score, F.lit(0.0)) < 0.85), F.lit(False))
-        parts.append(F.when(fuzzy, F.array(text(F.lit("Resolved duplicate candidate via probable fuzzy matching (score: "), match_score.cast("string"), F.lit("). Manual review recommended.")))).otherwise(empty))
+        unsure = (match_type == "fuzzy") & (F.coalesce(match_score, F.lit(0.0)) < X.CONFIRMED)
+        parts.append(one(unsure, said(X.WARNINGS["fuzzy"], match_score)))
     return F.concat(*parts)
 
 

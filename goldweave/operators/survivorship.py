@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from goldweave.functions import fixed as X
+from goldweave.functions.normalize import said
 
 BEST = ["priority", "confidence", "ts"]
 
@@ -69,15 +70,17 @@ def rule() -> Column:
 
 def reason(source: str = "source") -> Column:
     """The decision in words; priorities and confidences of the winner first."""
-    said = lambda c, p: F.concat(F.lit(f"Source {p} ("), F.col(c).cast("string"))
-    pair = lambda s, p: F.concat(F.lit("("), F.col(s).cast("string"), F.lit(": "), F.col(p).cast("string"), F.lit(")"))
-    mine, theirs = pair(source, "priority"), pair(f"w.{source}", "w.priority")
-    conf, other = F.col("confidence").cast("string"), F.col("w.confidence").cast("string")
+    sides = lambda cols: ([F.col(c) for c in cols], [F.col(f"w.{c}") for c in cols])
     win = later_wins()
+
+    def ordered(template: str, cols: list[str]) -> Column:
+        mine, theirs = sides(cols)
+        return F.when(win, said(template, *mine, *theirs)).otherwise(said(template, *theirs, *mine))
+
     return (
-        F.when(rule() == "source_priority", F.when(win, F.concat(F.lit("Source priority "), mine, F.lit(" > "), theirs)).otherwise(F.concat(F.lit("Source priority "), theirs, F.lit(" > "), mine)))
-        .when(rule() == "confidence", F.when(win, F.concat(F.lit("Confidence ("), conf, F.lit(") > ("), other, F.lit(")"))).otherwise(F.concat(F.lit("Confidence ("), other, F.lit(") > ("), conf, F.lit(")"))))
-        .otherwise(F.when(win, "Recency tie-breaker (incoming newer)").otherwise("Recency tie-breaker (current newer)"))
+        F.when(rule() == "source_priority", ordered(X.REASONS["source_priority"], [source, "priority"]))
+        .when(rule() == "confidence", ordered(X.REASONS["confidence"], ["confidence"]))
+        .otherwise(F.when(win, X.REASONS["newer"]).otherwise(X.REASONS["older"]))
     )
 
 
@@ -90,7 +93,7 @@ def decision_reasons(claims: DataFrame, entity: str, field: str | None = None, s
     records = claims.groupBy(entity).agg(F.max("seq").alias("last_seq"), F.min("seq").alias("first_seq"))
     top = W.partitionBy(*by).orderBy(F.desc("seq"))
     last = steps(claims, by, [source]).withColumn("nr", F.row_number().over(top)).filter("nr = 1").join(records, entity)
-    text = F.when(F.col("last_seq") == F.col("first_seq"), F.lit(None).cast("string")).when((F.col("seq") < F.col("last_seq")) | F.col("w").isNull(), "Single source populated").otherwise(reason(source))
+    text = F.when(F.col("last_seq") == F.col("first_seq"), F.lit(None).cast("string")).when((F.col("seq") < F.col("last_seq")) | F.col("w").isNull(), X.REASONS["single"]).otherwise(reason(source))
     return last.select(*by, text.alias("decision_reason"))
 
 
@@ -141,8 +144,8 @@ def list_union(claims: DataFrame, entity: str, field: str | None = None, carry:
     records = claims.groupBy(entity).agg(F.max("seq").alias("last_seq"), F.min("seq").alias("only_seq"))
     text = (
         F.when(F.col("last_seq") == F.col("only_seq"), F.lit(None).cast("string"))
-        .when(F.col("end_seq") < F.col("last_seq"), "Initial profile value")
-        .when(F.col("first_seq") == F.col("last_seq"), "Single source populated")
+        .when(F.col("end_seq") < F.col("last_seq"), X.REASONS["initial"])
+        .when(F.col("first_seq") == F.col("last_seq"), X.REASONS["single"])
         .otherwise("Resolved by priority, confidence and recency")
     )
     return items.join(records, entity).select(*by, "value", *(F.col(f"w.{c}").alias(c) for c in kept), "first_seq", text.alias("list_reason"))
