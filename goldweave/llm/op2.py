@@ -11,12 +11,12 @@ from goldweave.llm.toxicity import Chain, fit, score
 CATEGORIES = ["low_quality", "toxic"]
 
 
-def learn(spark: SparkSession, sf_dir: str) -> Chain:
+def learn(docs: DataFrame, labels: DataFrame) -> Chain:
     """From the documents that have labels; the labels give two categories, of which low quality comes first."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", (F.lit(1) - F.col("quality")).alias("low_quality"), "toxic")
-    return fit(documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id"), "text", CATEGORIES)
+    return fit(docs, labels.select("doc_id", (F.lit(1) - F.col("quality")).alias("low_quality"), "toxic"), CATEGORIES)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return score(documents(spark, sf_dir), learn(spark, sf_dir), ["doc_id"])
+    docs = documents(spark, sf_dir)
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")), ["doc_id"])

@@ -3,8 +3,8 @@
 Categories are predicted in a fixed order.  Each model is a logistic regression on the presence of chosen
 features and on the earlier categories' probabilities.  For training, those are out-of-fold: every fold's
 rows get them from models that have not seen the fold, so that later models learn how far earlier ones
-can be trusted.  A category's threshold is the one with the best F1 (ties: the higher) on out-of-fold
-probabilities.
+can be trusted.  A category's threshold is the one with the best F1, at a precision of 0.8 or
+more, on out-of-fold probabilities.
 
 Features are hashed words and byte 5-grams of the lower-cased letters (so that forms of a stem count
 together).  Learned from a bounded sample of labelled rows (`most`, chosen by a hash): document frequencies by
@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 
 from goldweave.llm import textvec as V
 from goldweave.llm.langid import grams
+from goldweave.plans.staging import staged
 
 MOST, FEATURES, FOLDS, LEAST_DOCS = 10_000, 2048, 5, 4
 #: Features count that a category has more often by so many standard errors; what speaks for the rest is the bias, as
 #: long clean texts hold many features that are rarer in a category by chance.
 LEAST_Z, L2 = 6.0, 0.1
+#: Of the training texts that a threshold flags, out of fold, so many must belong to the category.
+PRECISION = 0.8
 
 
 def occurrences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,16 +122,19 @@ def train(at: np.ndarray, starts: np.ndarray, before: np.ndarray, y: np.ndarray,
     return model(theta)
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Half-way between the probabilities around the best cut by F1; 1 (never) without a positive row."""
+def best_threshold(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+    """Half-way between the probabilities around the best cut by F1 of those with enough precision; 2 (never) if there is none.
+
+    Where too little is known to tell the category, everything would otherwise be the best guess by F1.
+    """
     if not y.sum():
-        return 1.0
+        return 2.0
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    hits, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    f1 = np.where(hits >= precision * n, 2 * hits / (n + y.sum()), -1.0)
     f1[:-1][p[order][:-1] == p[order][1:]] = -1  # a cut lies between different probabilities
     k = int(np.argmax(f1))
-    return float(p[order][k] + (p[order][k + 1] if k + 1 < len(p) else 0.0)) / 2
+    return float(p[order][k] + (p[order][k + 1] if k + 1 < len(p) else 0.0)) / 2 if f1[k] > 0 else 2.0
 
 
 @dataclass
@@ -178,21 +184,24 @@ def fit_chain(names: list[str], keys: np.ndarray, at: np.ndarray, starts: np.nda
     return chain
 
 
-def fit(labelled: DataFrame, text: str, categories: list[str], most: int = MOST, count: int = FEATURES, folds: int = FOLDS, least: int = LEAST_DOCS) -> Chain:
-    """labelled: a row per labelled text with a 0/1 column for each category, in the order of the chain.
+def fit(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", most: int = MOST, count: int = FEATURES, folds: int = FOLDS, least: int = LEAST_DOCS) -> Chain:
+    """labels: key and a 0/1 column for each category, in the order of the chain; the texts are in docs.
 
-    Rows with a null label are left out; null texts count as empty.  Copies of a text share a fold.  Without rows
-    the chain predicts nothing.
+    About `most` labelled keys are drawn by a hash, so that side of the join is bounded and sent to the texts.  Rows with a
+    null label or key are left out; of several labels the highest counts; null texts count as empty.  Copies of a
+    text are one row.  Without rows the chain predicts nothing.
     """
-    spark = labelled.sparkSession
-    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories))).dropna()
-    # one row of each text: copies in thousands add nothing to a model and must not fill the sample
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    total = rows.count()
-    if not total:
-        return Chain(categories, np.empty(0, np.uint64))
-    rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < (1 << 20) * min(1.0, most / total)).dropDuplicates(["h"])
+    spark = docs.sparkSession
     ys = [f"y{i}" for i in range(len(categories))]
+    known = labels.select(F.col(key).alias("k"), *(F.col(c).cast("int").alias(y) for c, y in zip(categories, ys))).dropna()
+    known = known.groupBy("k").agg(*(F.max(y).alias(y) for y in ys))
+    total = known.count()
+    drawn = known.filter(F.pmod(F.xxhash64("k", F.lit(2)), F.lit(1 << 20)) < (1 << 20) * min(1.0, most / max(1, total)))
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "k").withColumn("h", F.xxhash64("text"))
+    # copies in thousands add nothing to a model
+    rows = staged(rows.groupBy("h").agg(F.first("text").alias("text"), *(F.max(y).alias(y) for y in ys)), "labelled")
+    if rows.isEmpty():
+        return Chain(categories, np.empty(0, np.uint64))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
