@@ -7,11 +7,10 @@ last return the columns of `documents`; the last returns the pieces of the packe
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from goldweave.llm import langid, mixing, neardup, toxicity
 from goldweave.llm.base import documents, small_batches, table, tokenizer_path
-from goldweave.llm.op2 import CATEGORIES
+from goldweave.llm.op2 import learn
 from goldweave.llm.op5 import pack_documents
 from goldweave.plans.staging import staged
 
@@ -28,8 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier chain, learned from those with `labels`, finds toxic."""
     small_batches(spark)
-    labels = table(spark, sf_dir, "labels").select("doc_id", (F.lit(1) - F.col("quality")).alias("low_quality"), "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"), "text", CATEGORIES)
+    model = learn(docs, table(spark, sf_dir, "labels"))
     return docs.filter(~toxicity.flags(docs, model, "toxic", "text"))
 
 
