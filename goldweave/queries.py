@@ -256,6 +256,12 @@ def extract_sections(spark, sf_dir):
     return d.select("doc_id", T.headline(F.concat(F.lit("x\nSummary\n"), F.left("text", F.lit(200)), F.lit("\nEducation"))).alias("headline"))
 
 
+@query("""SELECT doc_id, nullif(trim(regexp_replace(regexp_extract(text, '(?is)(?:Summary|About\\s*Me|Bio|Profile)\\s*\\n+(.+?)\\n\\s*(?:Experience|Work|Education|Skills|\\d)', 1), '\\s+', ' ', 'g')), '') AS headline FROM documents""")
+def extract_sections_whole(spark, sf_dir):
+    """Every document's whole text; extract_sections holds the pattern against SQL on planted headings only."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.headline(F.col("text")).alias("headline"))
+
+
 @query("""SELECT conv_id, turn, trim(regexp_extract('Name : ' || text, '(?i)(?:Candidate|Name)\\s*:\\s*([^\\n\\r]+)', 1)) AS name FROM conversations""")
 def name_by_label(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.name_by_label(F.concat(F.lit("Name : "), F.col("text"))).alias("name"))
