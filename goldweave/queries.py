@@ -339,6 +339,25 @@ def fuzzy_classify(spark, sf_dir):
     return n.join(b, "seq").select(F.col("seq").alias("a"), S.match_status(score).alias("status"))
 
 
+def _named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name"), F.col("p_brand").alias("company")).agg(F.min("p_partkey").alias("seq"))
+
+
+@query(f"{_PARTS} SELECT least(a.seq, b.seq) AS a, greatest(a.seq, b.seq) AS b, round({_SCORE}, 6) AS score, CASE WHEN {_SCORE} > 0.85 THEN 'CONFIRMED' ELSE 'PROBABLE_MANUAL_REVIEW' END AS status FROM n a JOIN n b ON a.seq < b.seq WHERE {_SCORE} >= 0.65")
+def fuzzy_composite_whole(spark, sf_dir):
+    """All brands; fuzzy_composite holds three of them against its SQL."""
+    return I.fuzzy_pairs(_named_parts(spark, sf_dir)).select("a", "b", F.round("score", 6).alias("score"), S.match_status(F.col("score")).alias("status"))
+
+
+@query(f"{_PARTS}, s AS (SELECT a.seq AS a, b.seq AS b, {_SCORE} AS score FROM n a JOIN n b ON a.seq < b.seq) SELECT a, b, CASE WHEN score > 0.85 THEN 'CONFIRMED' WHEN score >= 0.65 THEN 'PROBABLE_MANUAL_REVIEW' ELSE 'NO_MATCH' END AS status FROM s")
+def fuzzy_classify_whole(spark, sf_dir):
+    """All pairs; fuzzy_classify holds those of neighbouring seq against its SQL."""
+    n = _named_parts(spark, sf_dir)
+    b = n.select(F.col("seq").alias("b"), F.col("name").alias("other"), F.col("company").alias("firm"))
+    score = S.match_score(F.col("name"), F.col("other"), F.col("company"), F.col("firm"))
+    return n.join(b, F.col("seq") < F.col("b")).select(F.col("seq").alias("a"), "b", S.match_status(score).alias("status"))
+
+
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as records: two of seven share addresses along chains of forty."""
     k = F.col("c_custkey")
