@@ -4,10 +4,11 @@ Categories are predicted in a fixed order.  Each model is a logistic regression
 features and on the earlier categories' probabilities.  For training, those are out-of-fold: every fold's
 rows get them from models that have not seen the fold, so that later models learn how far earlier ones
 can be trusted.  A category's threshold is the one with the best F1, at a precision of 0.8 or
-more, on out-of-fold probabilities.
+more, on out-of-fold probabilities; where no cut is so precise, at twice the category's rate or more.
 
 Features are hashed words and byte 5-grams of the lower-cased letters (so that forms of a stem count
-together).  Learned from a bounded sample of labelled rows (`most`, chosen by a hash): document frequencies by
+together).  Learned from a bounded sample of labelled rows (`most`, chosen by a hash): rows of rare labels are all drawn
+as far as there is room, and weights and the bias put their share right.  Document frequencies by
 category are summed in Spark, of the features that surely tell a category those with the highest scores are kept, and the sample's rows come to
 the driver as places of kept features only.  Scoring reads each whole text once.
 """
@@ -30,8 +31,12 @@ MOST, FEATURES, FOLDS, LEAST_DOCS = 10_000, 2048, 5, 4
 #: Features count that a category has more often by so many standard errors; what speaks for the rest is the bias, as
 #: long clean texts hold many features that are rarer in a category by chance.
 LEAST_Z, L2 = 6.0, 0.1
+#: LEAST_Z is that of MOST texts; of fewer it is the like effect (z grows with the root of their number), but beyond chance.
+BEYOND_CHANCE = 4.0
 #: Of the training texts that a threshold flags, out of fold, so many must belong to the category.
 PRECISION = 0.8
+#: Where no threshold is so precise: at least so many times the category's rate.
+LIFT = 2.0
 
 
 def occurrences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,19 +127,25 @@ def train(at: np.ndarray, starts: np.ndarray, before: np.ndarray, y: np.ndarray,
     return model(theta)
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
-    """Half-way between the probabilities around the best cut by F1 of those with enough precision; 2 (never) if there is none.
+def best_threshold(p: np.ndarray, y: np.ndarray, precision: float = PRECISION, weight: np.ndarray | None = None) -> float:
+    """Half-way between the probabilities around the best cut by F1 of those with enough precision, or else with enough lift.
 
-    Where too little is known to tell the category, everything would otherwise be the best guess by F1.
+    2 (never) without a positive row, or if no cut has LIFT times the category's rate: everything would otherwise be the
+    best guess by F1.
     """
     if not y.sum():
         return 2.0
+    w = np.ones(len(y)) if weight is None else weight
     order = np.argsort(-p, kind="stable")
-    hits, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
-    f1 = np.where(hits >= precision * n, 2 * hits / (n + y.sum()), -1.0)
+    hits, n = np.cumsum((w * y)[order]), np.cumsum(w[order])
+    f1 = 2 * hits / (n + hits[-1])
     f1[:-1][p[order][:-1] == p[order][1:]] = -1  # a cut lies between different probabilities
-    k = int(np.argmax(f1))
-    return float(p[order][k] + (p[order][k + 1] if k + 1 < len(p) else 0.0)) / 2 if f1[k] > 0 else 2.0
+    for least in (precision, min(precision, LIFT * hits[-1] / n[-1])):
+        some = np.where(hits >= least * n, f1, -1.0)
+        k = int(np.argmax(some))
+        if some[k] > 0:
+            return float(p[order][k] + (p[order][k + 1] if k + 1 < len(p) else 0.0)) / 2
+    return 2.0
 
 
 @dataclass
@@ -167,9 +178,18 @@ class Chain:
         return out
 
 
-def fit_chain(names: list[str], keys: np.ndarray, at: np.ndarray, starts: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> Chain:
-    """labels (rows, categories) of 0 and 1; fold: each row's fold."""
+def fit_chain(names: list[str], keys: np.ndarray, at: np.ndarray, starts: np.ndarray, labels: np.ndarray, fold: np.ndarray, weight: np.ndarray | None = None) -> Chain:
+    """labels (rows, categories) of 0 and 1; fold: each row's fold; weight: how many rows each stands for."""
     chain = Chain(names, keys)
+    w = np.ones(len(labels)) if weight is None else weight
+
+    def fitted(part: np.ndarray, at_starts: np.ndarray, before: np.ndarray, y: np.ndarray, own: np.ndarray) -> Linear:
+        """The bias is that of the rows' own share of positives, not of the drawn one."""
+        m = train(part, at_starts, before, y, len(keys))
+        if 0 < y.sum() < len(y):
+            m.bias += float(np.log(own @ y / (own @ (1 - y))) - np.log(y.sum() / (len(y) - y.sum())))
+        return m
+
     out_of_fold = np.zeros(labels.shape)
     n = np.diff(starts)
     for c in range(len(names)):
@@ -177,17 +197,26 @@ def fit_chain(names: list[str], keys: np.ndarray, at: np.ndarray, starts: np.nda
         for f in np.unique(fold):
             use = fold != f
             part = at[np.repeat(use, n)]
-            m = train(part, np.append(0, np.cumsum(n[use])), before[use], y[use], len(keys))
+            m = fitted(part, np.append(0, np.cumsum(n[use])), before[use], y[use], w[use])
             out_of_fold[~use, c] = m.predict(at[np.repeat(~use, n)], np.append(0, np.cumsum(n[~use])), before[~use])
-        chain.models.append(train(at, starts, before, y, len(keys)))
-        chain.thresholds.append(best_threshold(out_of_fold[:, c], y))
+        chain.models.append(fitted(at, starts, before, y, w))
+        chain.thresholds.append(best_threshold(out_of_fold[:, c], y, weight=w))
     return chain
 
 
+def rates(sizes: list[int], most: int) -> list[float]:
+    """The share to draw of each kind of rows: the same number of each, or all where there are fewer; about `most` together."""
+    out, left = [0.0] * len(sizes), float(most)
+    for i, k in enumerate(sorted(range(len(sizes)), key=lambda k: sizes[k])):
+        drawn = min(float(sizes[k]), left / (len(sizes) - i))
+        out[k], left = drawn / max(1, sizes[k]), left - drawn
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", most: int = MOST, count: int = FEATURES, folds: int = FOLDS, least: int = LEAST_DOCS) -> Chain:
     """labels: key and a 0/1 column for each category, in the order of the chain; the texts are in docs.
 
-    About `most` labelled keys are drawn by a hash, so that side of the join is bounded and sent to the texts.  Rows with a
+    About `most` labelled keys are drawn by a hash, evenly from the combinations of labels, so that side of the join is bounded and sent to the texts.  Rows with a
     null label or key are left out; of several labels the highest counts; null texts count as empty.  Copies of a
     text are one row.  Without rows the chain predicts nothing.
     """
@@ -195,11 +224,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "d
     ys = [f"y{i}" for i in range(len(categories))]
     known = labels.select(F.col(key).alias("k"), *(F.col(c).cast("int").alias(y) for c, y in zip(categories, ys))).dropna()
     known = known.groupBy("k").agg(*(F.max(y).alias(y) for y in ys))
-    total = known.count()
-    drawn = known.filter(F.pmod(F.xxhash64("k", F.lit(2)), F.lit(1 << 20)) < (1 << 20) * min(1.0, most / max(1, total)))
+    kinds = known.groupBy(*ys).count().collect()
+    share = F.lit(1.0)
+    for r, s in zip(kinds, rates([r["count"] for r in kinds], most)):
+        share = F.when(F.struct(*ys) == F.struct(*(F.lit(r[y]).alias(y) for y in ys)), s).otherwise(share)
+    drawn = known.withColumn("w", 1 / share).filter(F.pmod(F.xxhash64("k", F.lit(2)), F.lit(1 << 20)) * F.col("w") < (1 << 20))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "k").withColumn("h", F.xxhash64("text"))
     # copies in thousands add nothing to a model
-    rows = staged(rows.groupBy("h").agg(F.first("text").alias("text"), *(F.max(y).alias(y) for y in ys)), "labelled")
+    rows = staged(rows.groupBy("h").agg(F.first("text").alias("text"), F.max("w").alias("w"), *(F.max(y).alias(y) for y in ys)), "labelled")
     if rows.isEmpty():
         return Chain(categories, np.empty(0, np.uint64))
 
@@ -217,19 +249,20 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "d
     for y, pos in zip(ys, sums[1:]):
         p = float(pos or 0) / sums[0]
         score = F.greatest(score, (F.col(y) - F.col("n") * p) / F.sqrt(F.col("n") * F.lit(p * (1 - p) + 1e-9)))
-    kept = found.filter(score >= LEAST_Z).orderBy(F.desc(score), "key").limit(count).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
+    floor = max(BEYOND_CHANCE, LEAST_Z * min(1.0, sums[0] / MOST) ** 0.5)
+    kept = found.filter(score >= floor).orderBy(F.desc(score), "key").limit(count).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
     chain = Chain(categories, np.sort(kept))
     sent = spark.sparkContext.broadcast(chain)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at, starts = sent.value.places(b["text"].tolist())
-            yield b[["h", *ys]].assign(at=[at[x:z].astype(np.int32) for x, z in zip(starts[:-1], starts[1:])])
+            yield b[["h", "w", *ys]].assign(at=[at[x:z].astype(np.int32) for x, z in zip(starts[:-1], starts[1:])])
 
-    got = rows.mapInPandas(project, "h bigint, " + "".join(f"{y} int, " for y in ys) + "at array<int>").toPandas().sort_values("h", kind="stable")
+    got = rows.mapInPandas(project, "h bigint, w double, " + "".join(f"{y} int, " for y in ys) + "at array<int>").toPandas().sort_values("h", kind="stable")
     at = np.concatenate([np.asarray(a, np.int64) for a in got["at"]]) if len(got) else np.empty(0, np.int64)
     starts = np.append(0, np.cumsum([len(a) for a in got["at"]]))
-    return fit_chain(categories, chain.keys, at, starts, got[ys].to_numpy(), (got["h"].to_numpy() >> 21) % folds)
+    return fit_chain(categories, chain.keys, at, starts, got[ys].to_numpy(), (got["h"].to_numpy() >> 21) % folds, got["w"].to_numpy())
 
 
 def score(df: DataFrame, model: Chain, keep: list[str], text: str = "text") -> DataFrame:
