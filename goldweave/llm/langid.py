@@ -3,7 +3,8 @@
 Slot i of the filter holds a mask with a bit per language: one look-up of an n-gram reads a few slots
 and their AND is the set of all languages that contain it.  A document's count for a language is the
 number of its n-grams with that bit; as a share p of a language's bits is set, p**hashes of foreign
-n-grams hit it by chance, and the count is corrected by that.  The most corrected hits decide.
+n-grams hit it by chance, and the count is corrected by that.  The most corrected hits decide.  Languages
+beyond the first 64 have further slices of masks, at the same slots.
 
 An n-gram belongs to each language in which its document frequency is at least `share` of its
 highest one, over labelled texts, so that some wrong labels don't matter.  The filter is learned
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from goldweave.llm import textvec as V
 
-GRAM, HASHES, MOST_PER_LANGUAGE, SHARE, LEAST_DOCS, MOST_LANGUAGES = 5, 4, 2_000, 0.25, 3, 64
+GRAM, HASHES, MOST_PER_LANGUAGE, SHARE, LEAST_DOCS, SLICE = 5, 4, 2_000, 0.25, 3, 64
 _FOLD = V.LOWER.copy()
 _FOLD[: ord("A")] = _FOLD[91:97] = _FOLD[123:128] = 32
 
@@ -66,20 +67,26 @@ def grams(texts: list[str | None], n: int = GRAM) -> tuple[np.ndarray, np.ndarra
     return key[inside], of[inside]
 
 
+def _bit(masks: np.ndarray, k: int) -> np.ndarray:
+    """Of each mask, the bit of language k."""
+    kind = masks.dtype.type
+    return masks[k // SLICE] >> kind(k % SLICE) & kind(1)
+
+
 @dataclass
 class Filter:
     languages: list[str]
-    slots: np.ndarray  # masks
+    slots: np.ndarray  # (slices, slots) masks
     share: np.ndarray  # of set bits, per language
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
-        """For each n-gram, the languages whose filters hold it."""
+        """(slices, n-grams): for each n-gram, the languages whose filters hold it."""
         h = V.mix(keys)
         step = (h >> np.uint64(32)) | np.uint64(1)
-        size = np.uint64(len(self.slots) - 1)
-        got = self.slots[h & size]
+        size = np.uint64(self.slots.shape[1] - 1)
+        got = self.slots[:, h & size]
         for i in range(1, HASHES):
-            got = got & self.slots[(h + np.uint64(i) * step) & size]
+            got &= self.slots[:, (h + np.uint64(i) * step) & size]
         return got
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +96,7 @@ class Filter:
         chance = self.share**HASHES
         hits = np.empty((len(texts), len(self.languages)))
         for k in range(len(self.languages)):
-            own = np.bincount(of, (masks >> masks.dtype.type(k) & masks.dtype.type(1)).astype(float), minlength=len(texts))
+            own = np.bincount(of, _bit(masks, k).astype(float), minlength=len(texts))
             hits[:, k] = np.clip((own - n * chance[k]) / max(1 - chance[k], 1e-9), 0, None)
         return hits, n
 
@@ -117,17 +124,19 @@ def has_letter(text: str) -> bool:
     return text.isalpha() or any(c.isalpha() for c in text)
 
 
-def build(masks: dict[int, int] | tuple[np.ndarray, np.ndarray], languages: list[str]) -> Filter:
-    """masks: (n-grams, their languages)."""
+def build(masks: tuple[np.ndarray, np.ndarray], languages: list[str]) -> Filter:
+    """masks: (n-grams, (slices, n-grams) their languages)."""
     keys, of = masks
     kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint32 if len(languages) <= 32 else np.uint64
     size = 1 << max(12, int(np.ceil(np.log2(max(1, len(keys)) * 8))))
-    slots = np.zeros(size, kind)
+    slots = np.zeros((len(of), size), kind)
     h = V.mix(keys)
     step = (h >> np.uint64(32)) | np.uint64(1)
     for i in range(HASHES):
-        np.bitwise_or.at(slots, (h + np.uint64(i) * step) & np.uint64(size - 1), of.astype(kind))
-    share = np.array([(slots >> kind(k) & kind(1)).mean() for k in range(len(languages))])
+        at = (h + np.uint64(i) * step) & np.uint64(size - 1)
+        for own, masks_ in zip(slots, of):
+            np.bitwise_or.at(own, at, masks_.astype(kind))
+    share = np.array([_bit(slots, k).mean() for k in range(len(languages))])
     return Filter(languages, slots, share)
 
 
@@ -154,25 +163,26 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_PER_LANGUAGE, share: float = SHARE, least: int = LEAST_DOCS) -> Filter | None:
     """Learn the filter from the rows of df with a language; None if there is none.
 
-    most: about so many documents of each language, chosen by a hash of row and text.  At most 64 languages:
-    those with the most documents, named in Filter.languages.
+    most: about so many documents of each language, chosen by a hash of row and text.  Every language has a bit; those with
+    the most documents come first in Filter.languages.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), *([F.col("doc_id")] if "doc_id" in df.columns else [])).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not sizes:
         return None
-    keep = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, most / n)))])
-    unit = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) / F.lit(1 << 20)
-    sample = rows.filter(unit < F.try_element_at(keep, F.col("lang"))).select("lang", "text")
     languages = list(sizes)  # most documents first: a text without evidence gets the commonest
+    kinds = F.broadcast(spark.createDataFrame([(k, i // SLICE, i % SLICE, min(1.0, most / n), float(min(most, n))) for i, (k, n) in enumerate(sizes.items())], "lang string, slice int, bit int, keep double, size double"))
+    unit = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) / F.lit(1 << 20)
+    sample = rows.withColumn("unit", unit).join(kinds.select("lang", "keep"), "lang").filter("unit < keep").select("lang", "text")
     found = sample.mapInPandas(_frequencies, "lang string, gram bigint, docs bigint").groupBy("gram", "lang").agg(F.sum("docs").alias("docs"))
-    rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(float(min(most, n))))])
-    bit = F.create_map(*[x for k, lang_ in enumerate(languages) for x in (F.lit(lang_), F.lit(k))])
-    found = found.select("gram", F.try_element_at(bit, F.col("lang")).alias("bit"), "docs", (F.col("docs") / F.try_element_at(rate, F.col("lang"))).alias("rate"))
-    each = found.groupBy("gram").agg(F.max("rate").alias("top"), F.sum("docs").alias("docs"), F.collect_list(F.struct("bit", "rate")).alias("by"))
-    mask = F.expr(f"aggregate(by, 0L, (m, x) -> m | if(x.rate >= top * {share}, shiftleft(1L, x.bit), 0L))")
-    got = each.filter(F.col("docs") >= least).select("gram", mask.alias("mask")).toPandas()
-    return build((got["gram"].to_numpy(np.int64).view(np.uint64), got["mask"].to_numpy(np.int64).view(np.uint64)), languages)
+    found = found.join(kinds, "lang").select("gram", "slice", "bit", "docs", (F.col("docs") / F.col("size")).alias("rate"))
+    each = found.groupBy("gram").agg(F.max("rate").alias("top"), F.sum("docs").alias("docs"), F.collect_list(F.struct("slice", "bit", "rate")).alias("by"))
+    slices = (len(languages) - 1) // SLICE + 1
+    masks = [F.expr(f"aggregate(by, 0L, (m, x) -> m | if(x.slice = {i} and x.rate >= top * {share}, shiftleft(1L, x.bit), 0L))").alias(f"m{i}") for i in range(slices)]
+    got = each.filter(F.col("docs") >= least).select("gram", *masks).toPandas()
+    of = np.stack([got[f"m{i}"].to_numpy(np.int64).view(np.uint64) for i in range(slices)])
+    return build((got["gram"].to_numpy(np.int64).view(np.uint64), of), languages)
 
 
 def identify(df: DataFrame, model: Filter | None, keep: list[str], text: str = "text") -> DataFrame:

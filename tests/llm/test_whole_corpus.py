@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 
-from goldweave.llm import toxicity
+from goldweave.llm import langid, toxicity
 from goldweave.llm.queries import QUERIES
 
 
@@ -31,3 +31,16 @@ def test_rare_labels_are_all_drawn(spark):
     model = toxicity.fit(docs, labels, ["toxic"], most=80)
     found = {r.doc_id for r in toxicity.score(docs, model, ["doc_id"]).filter("is_toxic").collect()}
     assert found == set(range(0, n, 100))
+
+
+def test_every_language_is_learned(spark):
+    """150 languages of words of their own: three slices of masks."""
+    rng = np.random.default_rng(1)
+    words = {f"l{k:03}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(30)] for k in range(150)}
+    rows = [(100 * k + i, " ".join(rng.choice(w, 40)), name) for k, (name, w) in enumerate(words.items()) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    assert sorted(model.languages) == sorted(words) and model.slots.shape[0] == 3
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model, ["doc_id"]).collect()}
+    assert all(found[i][0] == name and found[i][1] > 0.3 for i, _, name in rows)
+    assert docs.filter(langid.accepts(docs, model, "text", 0.2)).count() == len(rows)
