@@ -59,11 +59,11 @@ def _p(x: np.ndarray) -> np.ndarray:
 _GRID = np.linspace(0.0, 1.0, 101)
 
 
-def likely(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float, slack: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
+def likely(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float, slack: float = 14.0) -> tuple[np.ndarray, np.ndarray]:
     """(estimated similarity, whether `least` or more can't be ruled out).
 
     more, less: registers greater in a, in b.  Ruled out: the log-likelihood at every similarity from `least` on is
-    lower than the best one by over `slack` (10: of pairs right at `least`, a few in a million are; one link of many in a group is not missed).
+    lower than the best one by over `slack` (14: of pairs right at `least`, less than one in ten million is, by Wilks' approximation).
     """
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u

@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 
-from goldweave.llm import langid, toxicity
+from goldweave.llm import langid, setsketch, toxicity
 from goldweave.llm.queries import QUERIES
 
 
@@ -44,3 +44,12 @@ def test_every_language_is_learned(spark):
     found = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model, ["doc_id"]).collect()}
     assert all(found[i][0] == name and found[i][1] > 0.3 for i, _, name in rows)
     assert docs.filter(langid.accepts(docs, model, "text", 0.2)).count() == len(rows)
+
+
+def test_pairs_within_fourteen_are_not_ruled_out():
+    apart = np.arange(0, 80, 2)
+    more = less = apart / 2
+    sizes = np.full(len(apart), 1000.0)
+    kept = {s: setsketch.likely(more, less, 160 - apart, sizes, sizes, 0.75, s)[1] for s in (10.0, 14.0)}
+    assert (kept[14.0] & ~kept[10.0]).any()
+    assert (setsketch.likely(more, less, 160 - apart, sizes, sizes, 0.75)[1] == kept[14.0]).all()
