@@ -1,17 +1,53 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components: edges contracted within partitions, then alternating large-star and small-star steps.
 
-Every step is a shuffle of the edges only; nothing is collected.  A vertex with very many
-neighbours is the centre of a star after the first steps, so that its group is two columns of a
-scan, never one row.  Each step's edges are written to the shared folder, which cuts the plan.
+The edges are dealt by ranges and each task replaces its own by stars around its smallest nodes, so a chain of neighbouring ids
+shrinks to a few edges before anything is joined.  Every step is a shuffle of the edges only; nothing is collected.  A vertex
+with very many neighbours is the centre of a star, so that its group is two columns of a scan, never one row.  Each
+step's edges are written to the shared folder, which cuts the plan; their number and sum come with the writing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from goldweave.plans.staging import drop_folder, staged
 
+#: Edges that a task contracts at once.
+MOST = 1 << 20
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node it reaches) of every node but those smallest ones."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(nodes))
+    while len(apart := np.flatnonzero(label[x] != label[y])):
+        p, q = label[x[apart]], label[y[apart]]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label[label] != label).any():
+            label = label[label]
+    some = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[some], nodes[label[some]]
+
+
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, n = [], 0
+    for d in batches:
+        held.append(d)
+        n += len(d)
+        if n >= MOST:
+            a, b = forest(*(pd.concat(held)[c].to_numpy(np.int64) for c in "ab"))
+            held, n = [], 0
+            yield pd.DataFrame({"a": a, "b": b})
+    if n:
+        a, b = forest(*(pd.concat(held)[c].to_numpy(np.int64) for c in "ab"))
+        yield pd.DataFrame({"a": a, "b": b})
+
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -31,23 +67,31 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _written(edges: DataFrame, kept: list[str]) -> tuple[DataFrame, tuple]:
+    """The edges, staged, with their number and the sum of their hashes."""
+    seen = Observation()
+    marked = edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    return staged(marked, "cc", kept), tuple(seen.get.values())
+
+
+def connected_components(edges: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """edges(a, b) -> (node, component): every node of an edge with the smallest node it can reach.
 
-    Rows with a null and loops are left out; repeated and reversed edges don't matter.  No edges, no rows.
+    Rows with a null and loops are left out; repeated and reversed edges don't matter.  No edges, no rows.  keep gets the folder
+    that holds the result, which otherwise stays until the driver ends.
     """
     spark = edges.sparkSession
     kept: list[str] = []
-    clean = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = staged(clean, "cc", kept)
-    marks = None
+    clean = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "cc", kept)
+    now, marks = _written(clean.repartitionByRange("b", "a").mapInPandas(_contract, "a bigint, b bigint"), kept)
     while True:
-        now = staged(_small_star(_large_star(now)), "cc", kept)
+        now, found = _written(_small_star(_large_star(now)), kept)
         # a star forest is stable: its edges, summed by a hash, no longer change
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if len(kept) > 2:
-            drop_folder(spark, kept.pop(0))
-        if tuple(found) == marks:
+        drop_folder(spark, kept.pop(0))
+        if found == marks:
             break
-        marks = tuple(found)
+        marks = found
+    drop_folder(spark, kept.pop(0))
+    if keep is not None:
+        keep += kept
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

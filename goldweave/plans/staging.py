@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,10 +13,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one is set for this context."""
+    """The folder of spark.checkpoint.dir; where that is unset in local mode (tests), a temporary one is set for this context."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="goldweave-"))
         root = sc.getCheckpointDir()
     return root
@@ -47,9 +50,18 @@ def staged(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made_since(mark: int = 0) -> list[str]:
+    """The folders made after the first `mark` ones, in order."""
+    return [path for _, path in _made[mark:]]
+
+
 def _clean() -> None:
+    """Removes what is left; the JVM outlives its contexts, so a stopped one is no hindrance."""
     for spark, path in _made:
         try:
-            drop_folder(spark, path)
-        except Exception:  # the context has ended: the cluster's own cleaning of the folder applies
-            return
+            if path.startswith(("/", "file:")):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            else:
+                drop_folder(spark, path)
+        except Exception:  # the folder's own cleaning applies; the others are still tried
+            continue
