@@ -101,7 +101,7 @@ class Filter:
         return hits, n
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """(language or `und`, score): the score is the winner's share of the n-grams that it or any rival can claim.
+        """(language or `und`, score): the score is the corrected share of the text's n-grams that the winner claims, 0 to 1.
 
         `und` is for null texts and texts without a letter (score 0).  Ties go to the language with more
         documents; a text with no known n-gram gets the commonest one with score 0.
@@ -141,23 +141,18 @@ def build(masks: tuple[np.ndarray, np.ndarray], languages: list[str]) -> Filter:
 
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """lang, n-gram, documents: summed within some thousand texts before anything is shuffled."""
+    """lang, n-gram, documents: summed within some MB of texts before anything is shuffled."""
     for b in batches:
         for lang, texts in b.groupby("lang")["text"]:
             texts = texts.tolist()
-            got = []
-            for x, y in V.chunks(texts):
+            for x, y in V.chunks(texts, 1 << 22):
                 keys, of = grams(texts[x:y])
-                pair = np.unique(np.stack([of.astype(np.uint64), keys]), axis=1) if len(keys) < 1000 else None
-                if pair is None:
-                    o = np.lexsort((keys, of))
-                    k, f = keys[o], of[o]
-                    new = np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1]))
-                    got.append(k[new])
-                else:
-                    got.append(pair[1])
-            keys, n = np.unique(np.concatenate(got) if got else np.empty(0, np.uint64), return_counts=True)
-            yield pd.DataFrame({"lang": lang, "gram": keys.view(np.int64), "docs": n})
+                order = np.lexsort((keys, of))
+                k, f = keys[order], of[order]
+                new = np.ones(len(k), bool)
+                new[1:] = (k[1:] != k[:-1]) | (f[1:] != f[:-1])
+                keys, n = np.unique(k[new], return_counts=True)
+                yield pd.DataFrame({"lang": lang, "gram": keys.view(np.int64), "docs": n})
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_PER_LANGUAGE, share: float = SHARE, least: int = LEAST_DOCS) -> Filter | None:
@@ -186,16 +181,18 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_
 
 
 def identify(df: DataFrame, model: Filter | None, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns of `keep`, lang_pred and score of every row.  Without a model all texts are `und`."""
+    """The columns of `keep`, lang_pred and score of every row.  Without a model all texts are `und`.
+
+    Only the texts go through Python; repeated rows have results of their own.
+    """
     sent = df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep) + ", lang_pred string, score double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            names, scores = sent.value.predict(b["__text"].tolist()) if sent.value else (["und"] * len(b), np.zeros(len(b)))
-            yield b[keep].assign(lang_pred=names, score=scores)
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(texts: pd.Series) -> pd.DataFrame:
+        names, scores = sent.value.predict(texts.tolist()) if sent.value else (["und"] * len(texts), np.zeros(len(texts)))
+        return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInPandas(run, schema)
+    return df.select(*keep, predicted(F.col(text)).alias("__found")).select(*keep, "__found.lang_pred", "__found.score")
 
 
 def accepts(df: DataFrame, model: Filter | None, text: str, least: float) -> F.Column:
