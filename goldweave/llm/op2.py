@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldweave.llm.base import documents, small_batches, table
+from goldweave.llm.base import documents, table
 from goldweave.llm.toxicity import Chain, fit, score
 
 CATEGORIES = ["low_quality", "toxic"]
@@ -17,6 +17,5 @@ def learn(docs: DataFrame, labels: DataFrame) -> Chain:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = documents(spark, sf_dir)
     return score(docs, learn(docs, table(spark, sf_dir, "labels")), ["doc_id"])

@@ -3,7 +3,8 @@
 Categories are predicted in a fixed order.  Each model is a logistic regression on the presence of chosen
 features and on the earlier categories' probabilities.  For training, those are out-of-fold: every fold's
 rows get them from models that have not seen the fold, so that later models learn how far earlier ones
-can be trusted.  A category's threshold is the one with the best F1, at a precision of 0.8 or
+can be trusted.  Features are chosen for each fold on the other folds' rows too, so that nothing of a fold has seen its
+labels.  A category's threshold is the one with the best F1, at a precision of 0.8 or
 more, on out-of-fold probabilities; where no cut is so precise, at twice the category's rate or more.
 
 Features are hashed words and byte 5-grams of the lower-cased letters (so that forms of a stem count
@@ -15,6 +16,7 @@ the driver as places of kept features only.  Scoring reads each whole text once.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -178,28 +180,44 @@ class Chain:
         return out
 
 
-def fit_chain(names: list[str], keys: np.ndarray, at: np.ndarray, starts: np.ndarray, labels: np.ndarray, fold: np.ndarray, weight: np.ndarray | None = None) -> Chain:
-    """labels (rows, categories) of 0 and 1; fold: each row's fold; weight: how many rows each stands for."""
-    chain = Chain(names, keys)
-    w = np.ones(len(labels)) if weight is None else weight
+def _part(at: np.ndarray, starts: np.ndarray, use: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, starts) of the rows of `use`, allowed features only."""
+    n = np.diff(starts)
+    ok = np.repeat(use, n) & allowed[at]
+    left = np.bincount(np.repeat(np.arange(len(n)), n)[ok], minlength=len(n))[use]
+    return at[ok], np.append(0, np.cumsum(left))
+
 
-    def fitted(part: np.ndarray, at_starts: np.ndarray, before: np.ndarray, y: np.ndarray, own: np.ndarray) -> Linear:
+def fit_chain(names: list[str], keys: np.ndarray, at: np.ndarray, starts: np.ndarray, labels: np.ndarray, fold: np.ndarray, weight: np.ndarray | None = None, allowed: np.ndarray | None = None) -> Chain:
+    """labels (rows, categories) of 0 and 1; fold: each row's fold; weight: how many rows each stands for.
+
+    allowed (folds + 1, features): the features that each fold's models, and at last the chain itself, may use.
+    """
+    w = np.ones(len(labels)) if weight is None else weight
+    allowed = np.ones((int(fold.max(initial=0)) + 2, len(keys)), bool) if allowed is None else allowed
+    own = np.flatnonzero(allowed[-1])
+    chain = Chain(names, keys[own])
+    place = np.zeros(len(keys), np.int64)
+    place[own] = np.arange(len(own))
+    everyone = np.ones(len(labels), bool)
+    final, final_starts = _part(at, starts, everyone, allowed[-1])
+    final = place[final]
+
+    def fitted(part: np.ndarray, at_starts: np.ndarray, before: np.ndarray, y: np.ndarray, own: np.ndarray, size: int) -> Linear:
         """The bias is that of the rows' own share of positives, not of the drawn one."""
-        m = train(part, at_starts, before, y, len(keys))
+        m = train(part, at_starts, before, y, size)
         if 0 < y.sum() < len(y):
             m.bias += float(np.log(own @ y / (own @ (1 - y))) - np.log(y.sum() / (len(y) - y.sum())))
         return m
 
     out_of_fold = np.zeros(labels.shape)
-    n = np.diff(starts)
     for c in range(len(names)):
         before, y = out_of_fold[:, :c], labels[:, c].astype(float)
         for f in np.unique(fold):
             use = fold != f
-            part = at[np.repeat(use, n)]
-            m = fitted(part, np.append(0, np.cumsum(n[use])), before[use], y[use], w[use])
-            out_of_fold[~use, c] = m.predict(at[np.repeat(~use, n)], np.append(0, np.cumsum(n[~use])), before[~use])
-        chain.models.append(fitted(at, starts, before, y, w))
+            m = fitted(*_part(at, starts, use, allowed[f]), before[use], y[use], w[use], len(keys))
+            out_of_fold[~use, c] = m.predict(*_part(at, starts, ~use, allowed[f]), before[~use])
+        chain.models.append(fitted(final, final_starts, before, y, w, len(own)))
         chain.thresholds.append(best_threshold(out_of_fold[:, c], y, weight=w))
     return chain
 
@@ -235,51 +253,73 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "d
     if rows.isEmpty():
         return Chain(categories, np.empty(0, np.uint64))
 
+    rows = rows.withColumn("fold", F.pmod(F.shiftright("h", 21), F.lit(folds)).cast("int"))
+
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """key, fold, n, ys: texts with the feature and of each category, summed within some MB of texts."""
         for b in batches:
-            key, starts = distinct(*occurrences(b["text"].tolist()), len(b))
-            kinds, place = np.unique(key, return_inverse=True)
-            row = np.repeat(np.arange(len(b)), np.diff(starts))
-            out = {"key": kinds.view(np.int64), "n": np.bincount(place, minlength=len(kinds))}
-            yield pd.DataFrame(out | {y: np.bincount(place, b[y].to_numpy(float)[row], minlength=len(kinds)).astype(np.int64) for y in ys})
-
-    found = rows.mapInPandas(frequencies, "key bigint, n bigint, " + ", ".join(f"{y} bigint" for y in ys)).groupBy("key").agg(F.sum("n").alias("n"), *(F.sum(y).alias(y) for y in ys)).filter(F.col("n") >= least)
-    sums = rows.agg(F.count("*"), *(F.sum(y) for y in ys)).first()
-    score = F.lit(0.0)
-    for y, pos in zip(ys, sums[1:]):
-        p = float(pos or 0) / sums[0]
-        score = F.greatest(score, (F.col(y) - F.col("n") * p) / F.sqrt(F.col("n") * F.lit(p * (1 - p) + 1e-9)))
-    floor = max(BEYOND_CHANCE, LEAST_Z * min(1.0, sums[0] / MOST) ** 0.5)
-    kept = found.filter(score >= floor).orderBy(F.desc(score), "key").limit(count).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
-    chain = Chain(categories, np.sort(kept))
-    sent = spark.sparkContext.broadcast(chain)
+            texts = b["text"].tolist()
+            for x, z in V.chunks(texts, 1 << 22):
+                part = b.iloc[x:z]
+                key, starts = distinct(*occurrences(texts[x:z]), z - x)
+                row = np.repeat(np.arange(z - x), np.diff(starts))
+                kinds, place = np.unique(key, return_inverse=True)
+                both, place = np.unique(place * folds + part["fold"].to_numpy()[row], return_inverse=True)
+                out = {"key": kinds[both // folds].view(np.int64), "fold": both % folds, "n": np.bincount(place, minlength=len(both))}
+                yield pd.DataFrame(out | {y: np.bincount(place, part[y].to_numpy(float)[row], minlength=len(both)).astype(np.int64) for y in ys})
+
+    counts = ["n", *ys]
+    by_fold = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for f in range(folds) for c in counts]
+    found = rows.mapInPandas(frequencies, "key bigint, fold int, n bigint, " + ", ".join(f"{y} bigint" for y in ys)).groupBy("key").agg(*(F.sum(c).alias(c) for c in counts), *by_fold).filter(F.col("n") >= least)
+    sums = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).collect()}
+    total = [sum(r[c] for r in sums.values()) for c in counts]
+
+    def chosen(without: int | None) -> F.Column:
+        """How surely the feature tells a category, in standard errors beyond the floor; without a fold's rows."""
+        size, *pos = [t - (sums[without][c] if without in sums else 0) for t, c in zip(total, counts)]
+        n, *with_ = [F.col(c) - (F.col(f"{c}_{without}") if without is not None else 0) for c in counts]
+        best = F.lit(0.0)
+        for y, k in zip(with_, pos):
+            p = k / max(1, size)
+            best = F.greatest(best, (y - n * p) / F.sqrt(n * F.lit(p * (1 - p) + 1e-9)))
+        floor = max(BEYOND_CHANCE, LEAST_Z * min(1.0, size / MOST) ** 0.5)
+        return F.when((n >= least) & (best >= floor), best)
+
+    scores = {f"s{f}": chosen(f if f < folds else None) for f in range(folds + 1)}
+    known_features = staged(found.select("key", *(v.alias(k) for k, v in scores.items())).filter(F.coalesce(*scores).isNotNull()), "features")
+    tops = [known_features.filter(F.col(k).isNotNull()).orderBy(F.desc(k), "key").limit(count).select(F.lit(i).alias("model"), "key") for i, k in enumerate(scores)]
+    kept = functools.reduce(DataFrame.unionByName, tops).toPandas()  # at most (folds + 1) * count rows
+    keys = np.unique(kept["key"].to_numpy(np.int64).view(np.uint64))
+    allowed = np.zeros((folds + 1, len(keys)), bool)
+    allowed[kept["model"], np.searchsorted(keys, kept["key"].to_numpy(np.int64).view(np.uint64))] = True
+    sent = spark.sparkContext.broadcast(Chain(categories, keys))
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            at, starts = sent.value.places(b["text"].tolist())
-            yield b[["h", "w", *ys]].assign(at=[at[x:z].astype(np.int32) for x, z in zip(starts[:-1], starts[1:])])
+            texts = b["text"].tolist()
+            for x, z in V.chunks(texts):
+                at, starts = sent.value.places(texts[x:z])
+                yield b[["h", "w", "fold", *ys]].iloc[x:z].assign(at=[at[i:j].astype(np.int32) for i, j in zip(starts[:-1], starts[1:])])
 
-    got = rows.mapInPandas(project, "h bigint, w double, " + "".join(f"{y} int, " for y in ys) + "at array<int>").toPandas().sort_values("h", kind="stable")
+    got = rows.mapInPandas(project, "h bigint, w double, fold int, " + "".join(f"{y} int, " for y in ys) + "at array<int>").toPandas().sort_values("h", kind="stable")
     at = np.concatenate([np.asarray(a, np.int64) for a in got["at"]]) if len(got) else np.empty(0, np.int64)
     starts = np.append(0, np.cumsum([len(a) for a in got["at"]]))
-    return fit_chain(categories, chain.keys, at, starts, got[ys].to_numpy(), (got["h"].to_numpy() >> 21) % folds, got["w"].to_numpy())
+    return fit_chain(categories, keys, at, starts, got[ys].to_numpy(), got["fold"].to_numpy(), got["w"].to_numpy(), allowed)
 
 
 def score(df: DataFrame, model: Chain, keep: list[str], text: str = "text") -> DataFrame:
     """The columns of `keep`, then p_<category> and is_<category> of each; a null text counts as empty."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep) + "".join(f", p_{c} double, is_{c} boolean" for c in model.names)
+    names = [x for c in model.names for x in (f"p_{c}", f"is_{c}")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            p = sent.value.predict(b["__text"].tolist())
-            out = b[keep]
-            for c, name in enumerate(sent.value.names):
-                t = sent.value.thresholds[c] if sent.value.thresholds else 2.0
-                out = out.assign(**{f"p_{name}": p[:, c], f"is_{name}": p[:, c] >= t})
-            yield out
-
-    return df.select(*keep, F.col(text).alias("__text")).mapInPandas(run, schema)
+    @F.pandas_udf(", ".join(f"p_{c} double, is_{c} boolean" for c in model.names))
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        m = sent.value
+        p = m.predict(texts.tolist())
+        cuts = m.thresholds or [2.0] * len(m.names)
+        return pd.DataFrame({k: v for c, name in enumerate(m.names) for k, v in ((f"p_{name}", p[:, c]), (f"is_{name}", p[:, c] >= cuts[c]))})
+
+    return df.select(*keep, scored(F.col(text)).alias("__found")).select(*keep, *(f"__found.{n}" for n in names))
 
 
 def flags(df: DataFrame, model: Chain, category: str, text: str) -> F.Column:
