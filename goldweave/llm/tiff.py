@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from goldweave.llm import textvec as V
+
 #: Fixed values of the format: tags, sizes of field types, codes of compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
@@ -278,11 +280,13 @@ def text_pages(text: str | None, width: int = 192, rows: int = 4096) -> tuple[in
     return len(raw), [image[y : y + rows] for y in range(0, len(image), rows)]
 
 
-def text_batches(batches: Iterator[pd.DataFrame], column: str, keep: list[str], **how) -> Iterator[pd.DataFrame]:
-    """Each text stored as one TIFF: the columns of `keep`, n_bytes and tiff."""
+def text_batches(batches: Iterator[pd.DataFrame], column: str, keep: list[str], form: Callable[[str], dict] | None = None, rows: int = 4096, **how) -> Iterator[pd.DataFrame]:
+    """Each text stored as one TIFF: the columns of `keep`, n_bytes and tiff; form: more arguments of write_tiff() by text."""
     for batch in batches:
-        made = [text_pages(t) for t in batch[column]]
-        yield batch[keep].assign(n_bytes=np.array([n for n, _ in made], np.int64), tiff=[write_tiff(p, **how) for _, p in made])
+        texts = batch[column].tolist()
+        for a, b in V.chunks(texts):
+            made = [(*text_pages(t, rows=rows), how | (form(t or "") if form else {})) for t in texts[a:b]]
+            yield batch[keep].iloc[a:b].assign(n_bytes=np.array([n for n, *_ in made], np.int64), tiff=[write_tiff(p, **h) for _, p, h in made])
 
 
 def texts_to_tiff(df: DataFrame, column: str, keep: list[str], **how) -> DataFrame:
