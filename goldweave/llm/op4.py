@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldweave.llm.base import documents, small_batches, tokenizer_path
+from goldweave.llm.base import documents, id_again, tokenizer_path, whole_id
 from goldweave.llm.idfile import blocks, encode_block
 from goldweave.llm.tokens import encoder
 from goldweave.plans.staging import new_folder
@@ -44,14 +44,14 @@ def write_token_files(df: DataFrame, key: str, column: str, folder: str, tokeniz
         enc, docs, tokens, size = encoder(tokenizer, kind), 0, 0, 0
         ids: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
-        keys: list[pd.Series] = []
+        keys: list[pd.DataFrame] = []
 
         def close() -> None:
             nonlocal size, ids, lengths, keys
             data = encode_block(np.concatenate(ids), np.concatenate(lengths))
             out.write(data)
-            named = pd.concat(keys).astype("Int64")
-            own.write(named.fillna(0).to_numpy(np.int64).tobytes() + named.isna().to_numpy().tobytes())
+            named = pd.concat(keys)
+            own.write(named["id"].to_numpy(np.int64).tobytes() + named["no_id"].to_numpy(bool).tobytes())
             size += len(data)
             ids, lengths, keys = [], [], []
 
@@ -79,7 +79,7 @@ def write_token_files(df: DataFrame, key: str, column: str, folder: str, tokeniz
                     z = int(last[e - 1]) + 1
                     ids.append(whole[a:z])
                     lengths.append(n[d:e] + 1)
-                    keys.append(b["__key"].iloc[d:e])
+                    keys.append(b[["id", "no_id"]].iloc[d:e])
                     held, a, d = held + z - a, z, e
                 if d < len(n) or held >= BLOCK:
                     close()
@@ -94,12 +94,12 @@ def write_token_files(df: DataFrame, key: str, column: str, folder: str, tokeniz
                 store.move(mine + end, name + end)
             yield pd.DataFrame([(shard, f"{folder}/{os.path.basename(name)}", docs, tokens, size)], columns=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    rows = df.select(F.col(key).cast("bigint").alias("__key"), F.col(column).alias("__text"), F.monotonically_increasing_id().alias("__nr"))
-    return rows.repartitionByRange("__key", "__nr").sortWithinPartitions("__key", "__nr").select("__key", "__text").mapInPandas(write, MANIFEST)
+    rows = df.select(F.col(key).cast("bigint").alias("__key"), *whole_id(key), F.col(column).alias("__text"), F.monotonically_increasing_id().alias("__nr"))
+    return rows.repartitionByRange("__key", "__nr").sortWithinPartitions("__key", "__nr").select("id", "no_id", "__text").mapInPandas(write, MANIFEST)
 
 
 def read_token_files(spark: SparkSession, shards: list[tuple[str, int]], make, schema: str) -> DataFrame:
-    """`make(keys, ids, lengths, start)` -> rows, for every block of every shard (path, ids before it), a task per shard."""
+    """`make(keys, none, ids, lengths, start)` -> rows (none: the key is null), for every block of every shard (path, ids before it), a task per shard."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -108,32 +108,30 @@ def read_token_files(spark: SparkSession, shards: list[tuple[str, int]], make, s
                 with store.open_input_stream(root + ".ids") as raw, store.open_input_stream(root + ".keys") as own:
                     for ids, lengths in blocks(io.BufferedReader(raw)):
                         n = len(lengths)
-                        keys = pd.array(np.frombuffer(own.read(8 * n), np.int64), "Int64")
-                        keys[np.frombuffer(own.read(n), bool)] = pd.NA
-                        yield make(keys, ids, lengths, start)
+                        keys = np.frombuffer(own.read(8 * n), np.int64)
+                        yield make(keys, np.frombuffer(own.read(n), bool), ids, lengths, start)
                         start += len(ids)
 
     where = spark.createDataFrame(shards, "path string, start bigint")
     return where.repartition(max(1, len(shards)), "path").mapInPandas(read, schema)
 
 
-SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+SCHEMA = "id bigint, no_id boolean, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def _digest(keys, ids: np.ndarray, lengths: np.ndarray, start: int) -> pd.DataFrame:
+def _digest(keys: np.ndarray, none: np.ndarray, ids: np.ndarray, lengths: np.ndarray, start: int) -> pd.DataFrame:
     ends = np.cumsum(lengths)
     raw = memoryview(ids.astype("<u4")).cast("B")
     crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-    return pd.DataFrame({"doc_id": keys, "start": start + ends - lengths, "n_tokens": lengths, "ids_crc32": crc})
+    return pd.DataFrame({"id": keys, "no_id": none, "start": start + ends - lengths, "n_tokens": lengths, "ids_crc32": crc})
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files' documents, digested from what the files hold; the driver keeps a path and a count per shard."""
-    small_batches(spark)
     folder = new_folder(spark, "ids")
     manifest = write_token_files(documents(spark, sf_dir), "doc_id", "text", folder, tokenizer_path("byte_bpe_50k.json"), "byte", 0)
     shards, start = [], 0
     for row in sorted(manifest.select("shard", "path", "tokens").collect()):
         shards.append((row.path, start))
         start += row.tokens
-    return read_token_files(spark, shards, _digest, SCHEMA)
+    return read_token_files(spark, shards, _digest, SCHEMA).select(id_again().alias("doc_id"), "start", "n_tokens", "ids_crc32")
