@@ -10,17 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldweave.llm.base import documents, small_batches, tokenizer_path
+from goldweave.llm.base import documents, id_again, tokenizer_path, whole_id
 from goldweave.llm.packing import pack_pieces
 from goldweave.llm.tokens import encoder
 from goldweave.plans.staging import staged
 
 CAPACITY = 4096
-PIECES = "key bigint, nr bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+PIECES = "id bigint, no_id boolean, nr bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 def token_pieces(df: DataFrame, key: str, column: str, tokenizer: str, kind: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of each document's ids with `end_id` at the end: key, nr (the row's own number), piece, start, length, ids_crc32.
+    """Pieces of each document's ids with `end_id` at the end: id, no_id (see whole_id), nr (the row's own number), piece, start, length, ids_crc32.
 
     A null text is an empty one, so that every row has a piece.  Null and repeated keys are kept; extra columns are not read.
     """
@@ -42,10 +42,9 @@ def token_pieces(df: DataFrame, key: str, column: str, tokenizer: str, kind: str
             length = np.minimum(capacity, (n + 1)[row] - start)
             at = (last - n)[row] + start
             crc = [zlib.crc32(raw[4 * a : 4 * (a + m)]) for a, m in zip(at.tolist(), length.tolist())]
-            keys = b["key"].astype("Int64").iloc[row].array
-            yield pd.DataFrame({"key": keys, "nr": b["nr"].to_numpy()[row], "piece": piece, "start": start, "length": length, "ids_crc32": crc})
+            yield pd.DataFrame({"id": b["id"].to_numpy()[row], "no_id": b["no_id"].to_numpy()[row], "nr": b["nr"].to_numpy()[row], "piece": piece, "start": start, "length": length, "ids_crc32": crc})
 
-    rows = df.select(F.col(key).cast("bigint").alias("key"), F.monotonically_increasing_id().alias("nr"), F.col(column).alias("text"))
+    rows = df.select(*whole_id(key), F.monotonically_increasing_id().alias("nr"), F.col(column).alias("text"))
     return rows.mapInPandas(cut, PIECES)
 
 
@@ -53,10 +52,9 @@ def pack_documents(df: DataFrame, tokenizer: str, kind: str, end_id: int, capaci
     """Pieces of doc_id, text with their sequence and offset: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = staged(token_pieces(df, "doc_id", "text", tokenizer, kind, end_id, capacity), "pieces")
     packed = pack_pieces(pieces, capacity).select("nr", "piece", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
-    return pieces.join(packed, ["nr", "piece"]).select(F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pieces.join(packed, ["nr", "piece"]).select(id_again().alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts are read and encoded once; only lengths and checksums go on."""
-    small_batches(spark)
     return pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), "word", 1)

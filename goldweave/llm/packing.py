@@ -2,11 +2,13 @@
 
 Pieces of documents go to as few sequences of `capacity` tokens as possible.  The lengths are
 packed per partition by best-fit decreasing.  Dual feasible functions give a lower bound of each
-partition's bins; a partition that meets its bound is certified.  The others give up the pieces
-of every bin that is not full; these are dealt to new, fewer partitions and packed again, until all
-is certified, the number of bins meets the bound of the whole table, or a round gains nothing.
+partition's bins; a partition that meets its bound is certified: no packing of its pieces has fewer.  A certified
+partition keeps its bins but for those with room for others' pieces, the emptiest one and all with more room than a LEAST_ROOM-th of
+a bin; one that is not certified gives up all its bins with a gap.  What is given up is dealt to new, fewer partitions and packed
+again, until the bins meet the bound of the whole table or one partition holds all that is left; a round that needs
+no fewer bins than its pieces had is not kept.
 
-Only (key, piece, length) is shuffled, never ids.  A partition gets at most about `per_partition`
+Only (row, piece, length) is shuffled, never ids or texts.  A partition gets at most about `per_partition`
 pieces, dealt by a hash, so no group or source gathers in one task.  A round's bins are written in the
 shared folder before the next begins; each takes somewhat larger partitions, up to MOST_ROUNDS times the first's.
 """
@@ -14,7 +16,6 @@ shared folder before the next begins; each takes somewhat larger partitions, up
 from __future__ import annotations
 
 import bisect
-import math
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from goldweave.plans.staging import staged
 
-PER_PARTITION, MOST_ROUNDS = 20_000, 6
+PER_PARTITION, MOST_ROUNDS, LEAST_ROOM = 20_000, 6, 128
 
 
 def dual_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -74,51 +75,66 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, places, np.array(filled, np.int64)
 
 
-PACKED = "key bigint, piece int, nr bigint, length bigint, bin bigint, place bigint, filled bigint, certified boolean"
+PACKED = "part bigint, nr bigint, piece int, length bigint, bin bigint, place bigint, certified boolean, again boolean"
 
 
 def _round(pieces: DataFrame, parts: int, seed: int, capacity: int) -> DataFrame:
+    """Every partition packed; again: the piece's bin is offered to the exchange."""
+
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "nr", "piece"], ascending=[False, True, True], kind="stable")
         n = pdf["length"].to_numpy(np.int64)
         bins, places, filled = best_fit_decreasing(n, capacity)
-        bound = dual_bound(*np.unique(n, return_counts=True), capacity)
+        certified = len(filled) == dual_bound(*np.unique(n, return_counts=True), capacity)
+        gap = filled < capacity
+        if certified:
+            gap &= (filled < capacity - capacity // LEAST_ROOM) | (np.arange(len(filled)) == filled.argmin())
         own = int(pdf["part"].iloc[0])
-        return pdf[["key", "piece", "nr", "length"]].assign(bin=(seed << 48) + (own << 24) + bins, place=places, filled=filled[bins], certified=len(filled) == bound)
+        return pdf[["part", "nr", "piece", "length"]].assign(bin=(seed << 48) + (own << 24) + bins, place=places, certified=certified, again=gap[bins])
 
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("nr", "piece", F.lit(seed)), F.lit(parts)))
     return dealt.groupBy("part").applyInPandas(pack, PACKED)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 4096, per_partition: int = PER_PARTITION) -> DataFrame:
-    """pieces(key, piece, nr, length) -> the same with bin and place; a bin's places run from 0 without gaps.
+def pack_pieces(pieces: DataFrame, capacity: int = 4096, per_partition: int = PER_PARTITION, log: list[dict] | None = None) -> DataFrame:
+    """pieces(nr, piece, length) -> the same with bin and place; a bin's places run from 0 without gaps.
 
-    key may be null or repeated; (nr, piece) names a piece.  Lengths are 1 to capacity.  Bins are numbered
-    with gaps.  An empty table gives an empty result.
+    (nr, piece) names a piece; other columns are not read.  Lengths are 1 to capacity.  Bins are numbered
+    with gaps.  An empty table gives an empty result.  log gets a dictionary per round: its partitions, how many
+    of them are certified, the bins of the whole table after it, those offered to the exchange, and the whole table's bound.
     """
-    pieces = pieces.select("key", "piece", "nr", "length")
+    pieces = pieces.select("nr", "piece", "length")
     spread = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     if not spread:
         return pieces.select("*", F.lit(0).cast("bigint").alias("bin"), F.lit(0).cast("bigint").alias("place"))
-    total = sum(r["count"] for r in spread)
+    left = sum(r["count"] for r in spread)
     goal = dual_bound(np.array([r["length"] for r in spread]), np.array([r["count"] for r in spread]), capacity)
     done: list[DataFrame] = []
-    settled, last = 0, math.inf
+    best: DataFrame | None = None  # where the pieces that are offered stand so far
+    settled = offered = 0
     for r in range(MOST_ROUNDS):
-        now = staged(_round(pieces, max(1, -(-total // (per_partition * (r + 1)))), r, capacity), f"packing{r}")
-        first = now.filter("place = 0")
-        loose = F.col("filled") < capacity
-        bins, open_bins = first.agg(F.count("*"), F.count(F.when(loose, 1))).first()
-        # certified partitions keep their bins unless the whole table still has more than its bound
-        if settled + bins <= goal or open_bins <= 1 or r == MOST_ROUNDS - 1 or settled + bins >= last:
+        parts = max(1, -(-left // (per_partition * (r + 1))))
+        now = staged(_round(pieces, parts, r, capacity), f"packing{r}")
+        bins, open_bins, sure, open_pieces = now.agg(
+            F.count(F.when(F.col("place") == 0, 1)), F.count(F.when((F.col("place") == 0) & F.col("again"), 1)), F.count_distinct(F.when(F.col("certified"), F.col("part"))), F.count(F.when(F.col("again"), 1))
+        ).first()
+        gained = best is None or bins < offered
+        last = settled + min(bins, offered if best is not None else bins) <= goal or parts == 1 or r == MOST_ROUNDS - 1
+        if log is not None:
+            log.append({"partitions": parts, "certified": sure, "bins": settled + (bins if gained else offered), "offered": open_bins, "bound": goal})
+        if not gained:  # larger partitions may do better, but what there is stands
+            if last:
+                done.append(best)
+                break
+            continue
+        if last:
             done.append(now)
             break
-        again = loose  # a certified partition's last, partly filled bin may still share one with others
-        done.append(now.filter(~again))
-        settled, last = settled + bins - open_bins, settled + bins
-        pieces = now.filter(again).select("key", "piece", "nr", "length")
-        total = pieces.count()
+        done.append(now.filter(~F.col("again")))
+        best = now.filter("again")
+        settled, offered, left = settled + bins - open_bins, open_bins, open_pieces
+        pieces = best.select("nr", "piece", "length")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("key", "piece", "nr", "length", "bin", "place")
+    return out.select("nr", "piece", "length", "bin", "place")
