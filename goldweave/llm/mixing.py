@@ -8,7 +8,9 @@ average only as Poisson's do, need no totals beyond the sources', and don't depe
 
 Only DataFrame functions.  The table of sources is joined by broadcast while it has at most MOST_SENT
 rows, by a shuffle with AQE's skew handling beyond.  A null source is a source of its own; null texts have
-mass 0 and are drawn like others; a source without mass keeps its documents at mean `scale`.
+mass 0 and are drawn like others; a source without mass keeps its documents at mean `scale`.  Repeated rows (of equal
+id and text) draw the same count each; they are told apart by their places in the input only to be shuffled, so that many of
+them fill many tasks.
 """
 
 from __future__ import annotations
@@ -33,22 +35,25 @@ def unit(hashed: Column) -> Column:
 
 
 def poisson_steps(mean: Column) -> Column:
-    """(fixed, P(X <= 0), P(X <= 1), ...) for X ~ Poisson(mean - fixed), up to mean + 12 * sqrt(mean) + 40 terms.
+    """(first, P(X <= first), P(X <= first + 1), ...) for X ~ Poisson(mean), up to mean + 12 * sqrt(mean) + 40.
 
-    Past that nothing is left of a double.  Of a mean over 500, whose first term is near the smallest double, all but
-    400 and its fraction is a fixed count.  Computed once per source; terms from where the sum no longer grows are cut.
+    Past that nothing is left of a double.  Up to a mean of 500 the sum begins with P(X = 0); beyond, where that leaves the
+    range of doubles, 12 standard deviations below the mean, with a term by Stirling's series (to more digits than a double has), and all
+    before it is less than 1e-30.  Computed once per source; terms from where the sum no longer grows are cut.
     """
-    fixed = F.when(mean > 500, F.floor(mean) - 400).otherwise(0).cast("double")
-    rest = mean - fixed
-    most = F.ceil(rest + 12 * F.sqrt(rest) + 40).cast("int")
-    start = F.struct(F.exp(-rest).alias("p"), F.array(F.exp(-rest)).alias("c"))
+    large = mean > 500
+    first = F.when(large, F.floor(mean - 12 * F.sqrt(mean))).otherwise(0).cast("double")
+    most = F.ceil(mean + 12 * F.sqrt(mean) + 40)
+    stirling = F.exp(first - mean + first * F.log(mean / first) - 0.5 * F.log(2 * F.pi() * first) - 1 / (12 * first) + 1 / (360 * first * first * first))
+    p0 = F.when(large, stirling).otherwise(F.exp(-mean))
+    start = F.struct(p0.alias("p"), F.array(p0).alias("c"))
 
     def step(s: Column, i: Column) -> Column:
-        p = s["p"] * rest / i
+        p = s["p"] * mean / i
         c = F.element_at(s["c"], -1)
         return F.struct(p.alias("p"), F.when(c + p > c, F.concat(s["c"], F.array(c + p))).otherwise(s["c"]).alias("c"))
 
-    return F.concat(F.array(fixed), F.aggregate(F.sequence(F.lit(1), most), start, step)["c"])
+    return F.concat(F.array(first), F.aggregate(F.sequence(first.cast("bigint") + 1, most.cast("bigint")), start, step)["c"])
 
 
 def poisson_count(u: Column, steps: Column) -> Column:
@@ -77,12 +82,12 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
 
     Columns of df with these names are lost.
     """
-    df = df.drop("__source", "__rate", "__steps", "__hash", "__n", "__copy", "__order")
+    df = df.drop("__source", "__rate", "__steps", "__hash", "__n", "__copy", "__order", "__row").withColumn("__row", F.monotonically_increasing_id())
     rates = source_rates(df, source, text, targets, alpha, scale).select("__source", "__rate", poisson_steps(F.col("__rate")).alias("__steps"))
     rates = F.broadcast(rates) if rates.count() <= MOST_SENT else rates
     joined = df.join(rates, F.col(source).eqNullSafe(F.col("__source"))).drop("__source").withColumn("__hash", row_hash(key, text, seed=seed))
     count = poisson_count(unit(F.col("__hash")), F.col("__steps"))
     drawn = joined.withColumn("__n", count).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    drawn = drawn.withColumn("__order", F.xxhash64("__hash", "__copy")).drop("__n", "__hash", "__steps")
+    drawn = drawn.withColumn("__order", F.xxhash64("__hash", "__copy", "__row")).drop("__n", "__hash", "__steps", "__row")
     # dealt by the hash itself: as random as a range of it, without reading the input once more to find ranges
     return drawn.repartition("__order").sortWithinPartitions("__order", "__copy") if shuffle else drawn

@@ -19,7 +19,7 @@ WITH by_source AS (
          CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', coalesce('=' || CAST(d.doc_id AS VARCHAR), '-'), coalesce('=' || d.text, '-'))), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
   FROM documents d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
 ), terms AS (
-  SELECT rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM (SELECT DISTINCT rate FROM rated) CROSS JOIN (SELECT unnest(range(0, 120)) AS k)
+  SELECT rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM (SELECT rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT))) AS k FROM (SELECT DISTINCT rate FROM rated))
 ), cdf AS (
   SELECT rate, k, sum(p) OVER (PARTITION BY rate ORDER BY k) AS c FROM terms
 ), counted AS (
