@@ -3,12 +3,12 @@
 All rolling word k-gram hashes of all documents are joined with the positions of the templates'
 k-grams.  A match of document word p and template word t votes for the diagonal p - t.  A phrase
 stands wherever one of its diagonals has all votes.  Of a longer template, neighbouring diagonals (words
-put in or left out) are merged to spans, and a span is verified by the share of the template's words
-that its matches cover.  The join is a broadcast of the templates, a fixed list; after it only
-matches and one row per document are shuffled, once, by the document's row.
+put in or left out) are merged to runs, and a run is verified by the share of the template's words
+that its best ordered chain of matches covers.  The templates, whose number is checked, are sent to all executors; after the
+join only matches and one row per document are shuffled, once, by the document's row.
 
 Null and empty texts have no words; repeated rows are results of their own; words are
-runs of digits, letters and characters beyond ASCII after A-Z is lower-cased.
+runs of digits, letters and characters beyond ASCII after A-Z is lower-cased.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,14 +20,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from goldweave.llm import textvec as V
+from goldweave.llm.base import id_again, whole_id
 
-K, GAP, COVER = 3, 3, 0.75
+K, GAP, COVER, MOST_SENT = 3, 3, 0.75, 100_000
 #: Phrases with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Well-known notices and passages of licences with their labels.
+#: Well-known notices and whole licences with their labels.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 TEMPLATES = {
+    MIT: "mit",
+    ISC: "isc",
+    BSD_2: "bsd-2",
     "this work is licensed under the gnu general public license version 3": "gpl-3",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl",
     "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
@@ -61,7 +75,7 @@ def _end_mark() -> int:
 
 
 def document_grams(df: DataFrame, key: str, column: str, k: int) -> DataFrame:
-    """nr, key, n_words, grams: all k-gram hashes in order, then the end mark."""
+    """nr, id, no_id (see whole_id), n_words, grams: all k-gram hashes in order, then the end mark."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -70,36 +84,75 @@ def document_grams(df: DataFrame, key: str, column: str, k: int) -> DataFrame:
                 g, at = V.kgrams_of(h, starts, k)
                 with_end = np.insert(g.view(np.int64), at[1:], _end_mark())
                 at = at + np.arange(len(at))
-                part = b.iloc[x:y]
-                yield pd.DataFrame({"nr": part["nr"], "key": part["key"].astype("Int64"), "n_words": np.diff(starts), "grams": [with_end[p:q] for p, q in zip(at[:-1], at[1:])]})
+                yield b[["nr", "id", "no_id"]].iloc[x:y].assign(n_words=np.diff(starts), grams=[with_end[p:q] for p, q in zip(at[:-1], at[1:])])
 
-    rows = df.select(F.monotonically_increasing_id().alias("nr"), F.col(key).cast("bigint").alias("key"), F.col(column).alias("text"))
-    return rows.mapInPandas(run, "nr bigint, key bigint, n_words bigint, grams array<bigint>")
+    rows = df.select(F.monotonically_increasing_id().alias("nr"), *whole_id(key), F.col(column).alias("text"))
+    return rows.mapInPandas(run, "nr bigint, id bigint, no_id boolean, n_words bigint, grams array<bigint>")
+
+
+@F.pandas_udf(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("covered", T.IntegerType())]))
+def _best_chain(places: pd.Series, terms: pd.Series, gaps: pd.Series, ks: pd.Series) -> pd.DataFrame:
+    """Of the matches of one run: the ordered chain that covers the most words of the template.
+
+    Document and template words both rise along a chain, and two steps of it lie at most `gap` diagonals apart.
+    """
+    out = []
+    for ps, ts, gap, k in zip(places, terms, gaps, ks):
+        if ps is None:
+            out.append((0, 0, 0))
+            continue
+        matches = sorted(zip(ps.tolist(), ts.tolist()))
+        reach = max(t for _, t in matches) + gap + 1
+        best: list[tuple[int, int]] = []  # words covered by the best chain to each match, its first word
+        low = 0
+        for i, (p, t) in enumerate(matches):
+            while matches[low][0] < p - reach:
+                low += 1
+            own = (k, p)
+            for j in range(low, i):
+                q, u = matches[j]
+                if q < p and u < t and abs(p - t - q + u) <= gap and best[j][0] + min(t - u, k) > own[0]:
+                    own = best[j][0] + min(t - u, k), best[j][1]
+            best.append(own)
+        i = max(range(len(best)), key=lambda i: (best[i][0], -i))
+        out.append((best[i][1], matches[i][0] + k - 1, best[i][0]))
+    return pd.DataFrame(out, columns=["first", "last", "covered"])
 
 
 def spans(df: DataFrame, key: str, column: str, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, k: int = K, gap: int = GAP, cover: float = COVER) -> DataFrame:
-    """nr, key, n_words, label, phrase, first (word), last (word), places, score: verified spans; and a row with label null per document.
+    """nr, key, n_words, label, phrase, first (word), last (word), score: verified spans; and a row with label null per document.
 
-    Phrases: a span per complete diagonal, score 1.  Templates: a span per run of diagonals at most `gap` apart whose
-    matches cover at least `cover` of the template's words, which is the score.
+    Phrases: a span per complete diagonal, score 1.  Templates: a span per run of diagonals, each at most `gap` (of short templates a
+    sixth of their words) from the next, whose best ordered chain of matches covers at least `cover` of the template's words; that
+    share is the score.  Templates are sent to all executors while they have at most MOST_SENT k-grams, and joined by a shuffle beyond.
     """
     spark = df.sparkSession
-    known = F.broadcast(spark.createDataFrame(template_rows(phrases, templates, k), "tid int, phrase boolean, label string, words int, gram bigint, t int"))
-    grams = document_grams(df, key, column, k).select("nr", "key", "n_words", F.posexplode("grams").alias("p", "gram"))
-    votes = grams.join(known, "gram").repartition("nr")
-    own = ["nr", "key", "n_words", "tid", "phrase", "label", "words"]
-    lines = votes.groupBy(*own, (F.col("p") - F.col("t")).alias("d")).agg(F.collect_list("t").alias("ts"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    known = template_rows(phrases, templates, k)
+    rows = spark.createDataFrame(known, "tid int, phrase boolean, label string, words int, gram bigint, t int")
+    rows = F.broadcast(rows) if len(known) <= MOST_SENT else rows
+    grams = document_grams(df, key, column, k).select("nr", "id", "no_id", "n_words", F.posexplode("grams").alias("p", "gram"))
+    votes = grams.join(rows, "gram").repartition("nr")
+    own = ["nr", "id", "no_id", "n_words", "tid", "phrase", "label", "words"]
+    lines = votes.groupBy(*own, (F.col("p") - F.col("t")).alias("d")).agg(F.collect_list("t").alias("ts"))
     w = W.partitionBy("nr", "tid").orderBy("d")
     alone = F.col("phrase") | (F.col("tid") < 0)
-    new = F.when(alone, 1).otherwise(F.coalesce((F.col("d") - F.lag("d").over(w) > gap).cast("int"), F.lit(0)))
+    own_gap = F.least(F.lit(gap), F.floor(F.col("words") / 6)).cast("int")
+    new = F.when(alone, 1).otherwise(F.coalesce((F.col("d") - F.lag("d").over(w) > own_gap).cast("int"), F.lit(0)))
     # one chain of steps for phrases, templates and end marks: three filtered branches would read the texts three times
-    runs = lines.withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy(*own, "run").agg(F.flatten(F.collect_list("ts")).alias("ts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    places = F.transform("ts", lambda t: t + F.col("d"))
+    runs = lines.withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy(*own, "run").agg(F.flatten(F.collect_list("ts")).alias("ts"), F.flatten(F.collect_list(places)).alias("ps"))
+    mark, phrase = F.col("tid") < 0, F.col("phrase")
+    # what can't be covered in any order needs no chain
     covered = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + (k - 1))))))
-    score = F.when(F.col("tid") < 0, 0.0).otherwise(covered / F.col("words"))
-    mark = F.col("tid") < 0
-    whole = F.when(F.col("phrase"), F.size("ts") == F.col("words") - (k - 1)).otherwise(score >= cover)
+    runs = runs.filter(mark | F.when(phrase, F.size("ts") == F.col("words") - (k - 1)).otherwise(covered >= F.col("words") * cover))
+    notice = ~mark & ~phrase
+    runs = runs.withColumn("chain", _best_chain(F.when(notice, F.col("ps")), F.when(notice, F.col("ts")), own_gap, F.lit(k)))
+    score = F.when(mark, 0.0).when(phrase, 1.0).otherwise(F.col("chain.covered") / F.col("words"))
+    first = F.when(phrase, F.array_min("ps")).otherwise(F.col("chain.first"))
+    last = F.when(phrase, F.array_max("ps") + (k - 1)).otherwise(F.col("chain.last"))
     at = lambda c: F.when(~mark, c.cast("bigint"))
-    return runs.filter(mark | whole).select("nr", "key", "n_words", F.when(~mark, F.col("label")).alias("label"), "phrase", at(F.col("lo")).alias("first"), at(F.col("hi") + (k - 1)).alias("last"), score.alias("score"))
+    found = runs.select("nr", id_again().alias("key"), "n_words", F.when(~mark, F.col("label")).alias("label"), "phrase", at(first).alias("first"), at(last).alias("last"), score.alias("score"))
+    return found.filter(F.col("label").isNull() | (F.col("score") >= cover))
 
 
 def scan(df: DataFrame, key: str, column: str, **how) -> DataFrame:
