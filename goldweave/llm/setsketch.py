@@ -14,6 +14,8 @@ import math
 import numpy as np
 
 M, ROWS, BASE, RATE, LIMIT = 160, 4, 1.0005, 20.0, 65534
+#: See likely().
+SLACK = 14.0
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, 4096, dtype=np.uint64).astype(np.uint32)
 _MUL = _rng.integers(0, 1 << 32, 4096, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -56,10 +58,10 @@ def _p(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / math.log(BASE)
 
 
-_GRID = np.linspace(0.0, 1.0, 101)
+_GRID = np.linspace(0.0, 1.0, 41)
 
 
-def likely(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float, slack: float = 14.0) -> tuple[np.ndarray, np.ndarray]:
+def likely(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
     """(estimated similarity, whether `least` or more can't be ruled out).
 
     more, less: registers greater in a, in b.  Ruled out: the log-likelihood at every similarity from `least` on is
@@ -68,9 +70,9 @@ def likely(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n_a: np.ndarra
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
     top = np.minimum(u / v, v / u)  # the largest similarity that these sizes allow
-    j = _GRID[None, :] * top
+    j = np.concatenate([_GRID[None, :] * top, np.minimum(least, top)], axis=1)  # the bound itself is looked at, too
     up, down = np.maximum(_p(u - v * j), 1e-12), np.maximum(_p(v - u * j), 1e-12)
     log = more[:, None] * np.log(up) + less[:, None] * np.log(down) + equal[:, None] * np.log(np.maximum(1 - up - down, 1e-12))
     best = log.argmax(axis=1)
-    far = np.where(j >= least - 1e-9, log, -np.inf).max(axis=1)
+    far = np.where(j >= np.minimum(least, top) - 1e-9, log, -np.inf).max(axis=1)
     return j[np.arange(len(j)), best], far >= log.max(axis=1) - slack
