@@ -8,6 +8,9 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from tokenizers import Tokenizer
 
 from goldweave.llm import idfile, licenses, mixing, packing, setsketch, textvec, tiff, tokens, transcripts, voronoi
 from goldweave.llm.base import tokenizer_path
@@ -25,7 +28,7 @@ def rows(spark, name, sf=SF):
     return QUERIES[name](spark, sf).collect()
 
 
-STRANGE = ["", " ", "a", " a b", "a  b", "a\nb", "a \n b", "a\n\n b", "it's we'll I'D don't", "Ünï cöde Straße ĳ ǅ ² ½ x²y Σας ΣΑΣ", "x_y __ 12ab", "é Éte á", "<|endoftext|> a", "İstanbul I", "a\x1cb c\x1d d", "日本語 テスト", "a\tb \tc\r\n d", "trail  ", "a\x85b c \x85 d", "🙂 a🙂b 'sx 's", "０１２ ٣b", "a\xa0 b\xa0c", "x'.s'. a..'s", "1,234.5%"]
+STRANGE = ["", " ", "a", " a b", "a  b", "a\nb", "a \n b", "a\n\n b", "it's we'll I'D don't", "Ünï cöde Straße ĳ ǅ ² ½ x²y Σας ΣΑΣ", "x_y __ 12ab", "é Éte á", "<|endoftext|> a", "a<|endoftext|>", "<|startoftext|>Ab <|endoftext|><|endoftext|> C", "<|ENDOFTEXT|>", "İstanbul I", "a\x1cb c\x1d d", "日本語 テスト", "a\tb \tc\r\n d", "trail  ", "a\x85b c \x85 d", "🙂 a🙂b 'sx 's", "０１２ ٣b", "a\xa0 b\xa0c", "x'.s'. a..'s", "1,234.5%"]
 
 
 @pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
@@ -33,7 +36,8 @@ def test_cached_encoding_is_the_librarys(docs, name, kind):
     enc = tokens.Encoder(tokenizer_path(name), kind)
     texts = STRANGE + [d[1] for d in docs]
     ids, n = enc.encode(texts)
-    whole = [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    whole = [Tokenizer.from_file(tokenizer_path(name)).encode_batch(texts, add_special_tokens=False)][0]
+    whole = [e.ids for e in whole]
     assert n.tolist() == [len(w) for w in whole]
     assert ids.tolist() == list(itertools.chain(*whole))
 
@@ -84,7 +88,7 @@ def test_id_blocks_round_trip():
 
 
 def test_token_files_hold_all_ids(spark, docs):
-    tok = tokens.load(tokenizer_path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     start = 0
     found = sorted(rows(spark, "op4_token_ids"))
     assert len(found) == len(docs)
@@ -127,7 +131,7 @@ def test_dual_bound_never_exceeds_the_optimum():
 
 def test_packed_sequences_are_whole(spark, docs):
     found = rows(spark, "op5_packing")
-    tok = tokens.load(tokenizer_path("word_bpe_49k.json"))
+    tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     total = 0
     by_doc, by_bin = collections.defaultdict(list), collections.defaultdict(list)
     for r in found:
@@ -147,14 +151,53 @@ def test_packed_sequences_are_whole(spark, docs):
     assert len(by_bin) == -(-total // 4096)
 
 
+def _pieces(spark, lengths):
+    return spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(lengths)], "nr bigint, piece int, length bigint")
+
+
+def _filled(packed, capacity):
+    """Filled tokens of each bin, after looking at every place."""
+    bins = collections.defaultdict(list)
+    for r in packed.collect():
+        bins[r.bin].append((r.place, r.length))
+    for items in bins.values():
+        at = 0
+        for place, n in sorted(items):
+            assert place == at
+            at += n
+        assert at <= capacity
+    return {b: sum(n for _, n in items) for b, items in bins.items()}
+
+
 def test_exchange_between_partitions_joins_gaps(spark):
-    df = spark.range(600).selectExpr("id AS key", "0 AS piece", "id AS nr", "CAST(1 + (id * 37) % 97 AS bigint) AS length")
-    lengths = np.array([r.length for r in df.collect()])
+    lengths = np.array([1 + (i * 37) % 97 for i in range(600)])
     alone = len(packing.best_fit_decreasing(lengths, 100)[2])
-    apart = packing.pack_pieces(df, 100, per_partition=50)
-    sizes = apart.groupBy("bin").sum("length").collect()
-    assert apart.count() == 600 and max(r[1] for r in sizes) <= 100
+    log = []
+    sizes = _filled(packing.pack_pieces(_pieces(spark, lengths), 100, per_partition=50, log=log), 100)
+    assert sum(sizes.values()) == lengths.sum()
     assert packing.dual_bound(*np.unique(lengths, return_counts=True), 100) <= len(sizes) <= alone * 1.03
+    assert len(log) > 1 and [r["bins"] for r in log] == sorted((r["bins"] for r in log), reverse=True)
+    assert log[-1]["bins"] == len(sizes) and all(r["partitions"] >= s["partitions"] for r, s in zip(log, log[1:]))
+
+
+def test_certified_partitions_keep_their_bins(spark):
+    """Pieces of one token fill every bin, so each partition meets its bound; their last bins meet in the second round."""
+    log = []
+    sizes = _filled(packing.pack_pieces(_pieces(spark, [1] * 2000), 64, per_partition=100, log=log), 64)
+    assert log[0]["certified"] == log[0]["partitions"] == 20 and log[0]["offered"] <= 20
+    assert len(sizes) == log[-1]["bins"] == log[-1]["bound"] == -(-2000 // 64)
+
+
+def test_exchange_that_gains_nothing_is_not_kept(spark):
+    """Three of any pieces over a third of the room don't share a bin: certified at once, nothing to gain."""
+    log = []
+    sizes = _filled(packing.pack_pieces(_pieces(spark, [60] * 200), 100, per_partition=20, log=log), 100)
+    assert len(sizes) == 200 == log[0]["bound"] and len(log) == 1
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(30, 60, 400)
+    log = []
+    sizes = _filled(packing.pack_pieces(_pieces(spark, lengths), 100, per_partition=40, log=log), 100)
+    assert len(sizes) == log[-1]["bins"] <= log[0]["bins"]
 
 
 def test_languages_of_held_out_documents(spark):
@@ -253,6 +296,27 @@ def test_mixing_draws_poisson_counts(spark):
     assert got.orderBy("__order").count() == got.count()
 
 
+def test_poisson_of_any_mean_is_inverted(spark):
+    """Against sums of the terms by logarithms of the gamma function, below and beyond the change of method."""
+    import math
+
+    means = [1e-6, 0.3, 7.5, 499.9, 500.1, 740.0, 3000.25, 40_000.0]
+    us = [0.0, 1e-9, 0.01, 0.3, 0.5, 0.77, 0.999, 1 - 1e-9]
+    df = spark.createDataFrame([(m, u) for m in means for u in us], "m double, u double")
+    got = {(r.m, r.u): r.k for r in df.withColumn("k", mixing.poisson_count(F.col("u"), mixing.poisson_steps(F.col("m")))).collect()}
+    for m in means:
+        low = max(0, int(m - 12 * m**0.5))
+        c = np.cumsum([math.exp(k * math.log(m) - m - math.lgamma(k + 1)) for k in range(low, int(m + 12 * m**0.5 + 40))])
+        for u in us[1:]:
+            assert abs(got[m, u] - (low + int(np.searchsorted(c, u, "right")))) <= (u > 0.9999), (m, u)
+
+
+def test_repeated_rows_are_mixed_alike_and_spread(spark):
+    df = spark.createDataFrame([(7, "same", "a")] * 3000, "doc_id bigint, text string, source string")
+    got = mixing.mix_sources(df, targets={"a": 1.0})
+    assert got.count() % 3000 == 0 and got.select("__order").distinct().count() == got.count()
+
+
 def test_queries_equal_their_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
@@ -268,7 +332,7 @@ def test_knn_of_blocks_and_hot_vectors_by_brute_force(spark):
     rng = np.random.default_rng(9)
     v = rng.integers(-50, 50, (700, 6))
     v[200:500] = v[200]
-    data = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "key bigint, v array<bigint>")
+    data = spark.createDataFrame([(i, x.astype(float).tolist()) for i, x in enumerate(v)], "key bigint, v array<double>")
     got = collections.defaultdict(list)
     for r in voronoi.top_k(data, data.filter("key % 50 = 0"), 7, pivots=9, block=64, per_group=5).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
@@ -278,20 +342,48 @@ def test_knn_of_blocks_and_hot_vectors_by_brute_force(spark):
 
 
 def test_scores_beyond_doubles_are_exact():
-    q = np.array([[(1 << 40) + 1, 3]])
-    x = np.array([[(1 << 20) + 1, 5], [1 << 40, 1 << 40]])
+    q = np.array([[(1 << 40) + 1.0, 3]])
+    x = np.array([[(1 << 20) + 1.0, 5], [1 << 40, 1 << 40]])
     got = voronoi.exact_scores(q, x)
+    assert voronoi.exact_scores(q * 2.0**90, -x)[0].tolist() == [-(1 << 63)] * 2
     assert got[0, 0] == ((1 << 40) + 1) * ((1 << 20) + 1) + 15 and got[0, 1] == (1 << 63) - 1
 
 
-def test_chunked_viterbi_is_viterbi():
+def _random_model(rng):
+    return transcripts.Model(np.log(rng.dirichlet(np.ones(6))), np.log(rng.dirichlet(np.ones(6), 6)), [np.log(rng.dirichlet(np.ones(n), 6)) for n in transcripts.SIZES])
+
+
+def _log_probability(model, x, path):
+    e = transcripts.emissions(model, x)
+    return model.start[path[0]] + sum(model.move[a, b] for a, b in zip(path, path[1:])) + sum(e[i, s] for i, s in enumerate(path))
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 5):
+        model = _random_model(rng)
+        x = np.stack([rng.integers(0, k, n) for k in transcripts.SIZES], axis=1)
+        best = max(itertools.product(range(6), repeat=n), key=lambda p: _log_probability(model, x, p))
+        assert transcripts.viterbi(model, x, np.array([0, n]), np.array([-1]), np.array([-1])).tolist() == list(best)
+
+
+def test_many_chunks_at_a_time_and_chains_are_viterbi():
     rng = np.random.default_rng(10)
-    model = transcripts.Model(np.log(rng.dirichlet(np.ones(6))), np.log(rng.dirichlet(np.ones(6), 6)), [np.log(rng.dirichlet(np.ones(n), 6)) for n in transcripts.SIZES])
+    model = _random_model(rng)
     x = np.stack([rng.integers(0, n, 500) for n in transcripts.SIZES], axis=1)
-    parts = [x[a : a + 37] for a in range(0, 500, 37)]
-    before, last = transcripts.chain([], [transcripts.summary(model, p, i == 0) for i, p in enumerate(parts)])
-    path = np.concatenate([transcripts.viterbi(model, p, b, z) for p, b, z in zip(parts, before, last)])
-    assert (path == transcripts.viterbi(model, x)).all()
+    none = lambda n: np.full(n, -1)
+    starts = np.array([0, 37, 38, 200, 333, 500])
+    together = transcripts.viterbi(model, x, starts, none(5), none(5))
+    apart = [transcripts.viterbi(model, x[a:b], np.array([0, b - a]), none(1), none(1)) for a, b in zip(starts, starts[1:])]
+    assert (together == np.concatenate(apart)).all()
+    enters, leaves = transcripts.chain([transcripts.summary(model, x[a:b], i == 0) for i, (a, b) in enumerate(zip(starts, starts[1:]))])
+    path = transcripts.viterbi(model, x, starts, np.array(enters), np.array(leaves))
+    assert (path == transcripts.viterbi(model, x, np.array([0, 500]), none(1), none(1))).all()
+
+
+def _parsed(spark, rows, model, chunk=4096):
+    df = spark.createDataFrame(rows, "c bigint, i bigint, t string")
+    return sorted(map(tuple, transcripts.turns(transcripts.read_lines(df, "c", ["i"], "t", chunk=chunk), model).collect()), key=str)
 
 
 def test_roles_of_held_out_conversations(spark):
@@ -301,12 +393,51 @@ def test_roles_of_held_out_conversations(spark):
     assert len(got) == len(truth) and np.mean([a == b for a, b in held]) > 0.9
 
 
-def test_long_conversation_in_small_chunks_is_the_same(spark):
-    lines = [(1, i, ("User: hi there" if i % 4 == 0 else "Assistant: yes" if i % 4 == 2 else "")) for i in range(200)]
-    df = spark.createDataFrame(lines, "c bigint, i bigint, t string")
-    import pandas as pd
-
-    known = pd.DataFrame([(0, t, "user" if t.startswith("U") else "assistant", True) for _, _, t in lines if t], columns=["conv", "line", "role", "first"])
-    model = transcripts.fit(known)
-    whole, cut = (sorted(map(tuple, transcripts.turns(df, model, "c", ["i"], "t", chunk=n).collect())) for n in (4096, 7))
-    assert whole == cut and len(whole) == 100 and whole[1][2:5] == ("assistant", 1, "yes")
+def test_long_conversations_in_small_chunks_and_many_tasks_are_the_same(spark):
+    """Blank lines, turns and states go over the borders of chunks and of tasks; the text is that of a plain reader."""
+    rng = np.random.default_rng(12)
+    lines = []
+    for c in (5, (1 << 60) + 1, (1 << 60) + 3, None):
+        said = []
+        for k in range(60):
+            said += [("User: " if k % 2 == 0 else "Assistant: ") + f"words {k}?"] + [("", f"more {k}")[int(b)] for b in rng.integers(0, 2, int(rng.integers(0, 5)))] + [""] * int(rng.integers(1, 4))
+        lines += [(c, i, t) for i, t in enumerate(said)]
+    known, role = [], 0
+    for c, i, t in lines:
+        role = 4 if t.startswith("Assistant") else 2 if t.startswith("User") else role
+        known.append((c, i, t, role + (": " not in t)))
+    df = spark.createDataFrame(known, "c bigint, i bigint, t string, s int")
+    model = transcripts.fit(transcripts.read_lines(df, "c", ["i"], "t", F.col("s")))
+    whole = _parsed(spark, lines, model)
+    assert {r[0] for r in whole} == {5, (1 << 60) + 1, (1 << 60) + 3, None}
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in ("3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert _parsed(spark, lines, model, chunk=7) == whole
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+    for c in (5, None):  # a turn begins at each marker here: its text is all lines up to the next, without blank ones at the ends
+        want, now = [], None
+        for _, _, t in (r for r in lines if r[0] == c):
+            if ": " in t:
+                now = [t.split(": ", 1)[1]]
+                want.append(now)
+            else:
+                now.append(t)
+        texts = [r[4] for r in sorted((r for r in whole if r[0] == c), key=lambda r: r[1])]
+        assert texts == ["\n".join(w).rstrip("\n") for w in want]
+        assert [r[5] for r in whole if r[0] == c and r[1] == 0] == [f"<|user|>\n{texts[0]}\n<|end|>\n"]
+
+
+def test_counts_of_the_model_are_those_of_a_plain_reader(spark):
+    df = spark.createDataFrame([(c, i, t, s) for c in range(4) for i, (t, s) in enumerate([("System: x", 0), ("", None), ("User: why?", 2), ("more", 3), (" ", None), ("AI: so", 4), ("odd", None), ("then", 5)])], "c bigint, i bigint, t string, s int")
+    model = transcripts.fit(transcripts.read_lines(df, "c", ["i"], "t", F.col("s")))
+    start, move = np.ones(6), np.ones((6, 6))
+    start[0] += 4
+    for a, b in ((0, 2), (2, 3), (3, 4)):  # the unlabelled line parts 4 and 5
+        move[a, b] += 4
+    assert np.allclose(np.exp(model.start), start / start.sum()) and np.allclose(np.exp(model.move), move / move.sum(axis=1, keepdims=True))
+    assert np.allclose(np.exp(model.emit[1][4]), np.array([1, 5]) / 6)  # after a gap
