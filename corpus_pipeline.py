@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from goldweave.llm import langid, mixing, neardup, toxicity
-from goldweave.llm.base import documents, small_batches, table, tokenizer_path
+from goldweave.llm.base import documents, table, tokenizer_path
 from goldweave.llm.op2 import learn
 from goldweave.llm.op5 import pack_documents
-from goldweave.plans.staging import staged
+from goldweave.plans.staging import drop_folder, made_since, staged
 
 #: A text of which less than this share looks like its most likely language is rejected.
 LEAST_LANGUAGE = 0.2
@@ -20,20 +20,17 @@ LEAST_LANGUAGE = 0.2
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, or that resemble none of the languages learned from `lang`."""
-    small_batches(spark)
     return docs.filter(langid.accepts(docs, langid.fit(docs), "text", LEAST_LANGUAGE))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier chain, learned from those with `labels`, finds toxic."""
-    small_batches(spark)
     model = learn(docs, table(spark, sf_dir, "labels"))
     return docs.filter(~toxicity.flags(docs, model, "toxic", "text"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one with the smallest id."""
-    small_batches(spark)
     return neardup.one_of_each(docs)
 
 
@@ -44,7 +41,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into few sequences: the columns of op5."""
-    small_batches(spark)
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), "word", 1)
 
 
@@ -54,7 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage wrote on its way, and its input, are removed when its result is written."""
     docs = documents(spark, sf_dir)
+    mark = len(made_since())
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        own: list[str] = []
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}", own)
+        for path in made_since(mark):
+            if path not in own:
+                drop_folder(spark, path)
+        mark = len(made_since()) - 1  # the result itself goes when the next one is there
     return STAGES[-1][1](spark, docs, sf_dir)
