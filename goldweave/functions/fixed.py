@@ -6,106 +6,97 @@ Everything here is data, stated as text in its natural order.
 from __future__ import annotations
 
 
-def _aliases(text: str) -> dict[str, str]:
-    """Lines `name: alias, alias` to alias -> name."""
-    out: dict[str, str] = {}
-    for line in text.strip().splitlines():
-        name, _, rest = line.strip().partition(": ")
-        out |= {a.strip(): name for a in rest.split(", ")}
-    return out
-
-
 #: Country code and the spellings that mean it.
-COUNTRIES = _aliases("""
-US: united states, usa, us, u.s., u.s.a., america
-IN: india, in, bharat
-GB: united kingdom, uk, gb, great britain, england
-CA: canada, ca
-DE: germany, de, deutschland
-FR: france, fr
-AU: australia, au
-SG: singapore, sg
-JP: japan, jp
-CN: china, cn
-BR: brazil, br
-NL: netherlands, nl, holland
-SE: sweden, se
-CH: switzerland, ch
-KR: south korea, kr, korea
-IL: israel, il
-AE: uae, ae, united arab emirates
-NZ: new zealand, nz
-IE: ireland, ie
-ES: spain, es
-IT: italy, it
-MX: mexico, mx
-RU: russia, ru
-ZA: south africa, za
-""")
+COUNTRIES = {
+    "US": ["united states", "usa", "us", "u.s.", "u.s.a.", "america"],
+    "IN": ["india", "in", "bharat"],
+    "GB": ["united kingdom", "uk", "gb", "great britain", "england"],
+    "CA": ["canada", "ca"],
+    "DE": ["germany", "de", "deutschland"],
+    "FR": ["france", "fr"],
+    "AU": ["australia", "au"],
+    "SG": ["singapore", "sg"],
+    "JP": ["japan", "jp"],
+    "CN": ["china", "cn"],
+    "BR": ["brazil", "br"],
+    "NL": ["netherlands", "nl", "holland"],
+    "SE": ["sweden", "se"],
+    "CH": ["switzerland", "ch"],
+    "KR": ["south korea", "kr", "korea"],
+    "IL": ["israel", "il"],
+    "AE": ["uae", "ae", "united arab emirates"],
+    "NZ": ["new zealand", "nz"],
+    "IE": ["ireland", "ie"],
+    "ES": ["spain", "es"],
+    "IT": ["italy", "it"],
+    "MX": ["mexico", "mx"],
+    "RU": ["russia", "ru"],
+    "ZA": ["south africa", "za"],
+}
 
 #: Skill and the spellings that mean it.
-SKILLS = _aliases("""
-JavaScript: js, javascript, java script, es6, ecmascript
-Python: py, python, python3, py3
-TypeScript: ts, typescript, type script
-C++: c++, cpp
-C#: c#, csharp, c sharp
-AWS: aws, amazon web services
-GCP: gcp, google cloud, google cloud platform
-Azure: azure, microsoft azure
-Machine Learning: ml, machinelearning, machine learning
-Deep Learning: dl, deeplearning, deep learning
-NLP: nlp, natural language processing
-Artificial Intelligence: ai, artificial intelligence
-Computer Vision: cv, computer vision
-Docker: docker, docker-compose
-Kubernetes: k8s, kubernetes
-CI/CD: ci/cd, cicd, ci cd
-PostgreSQL: postgres, postgresql
-MongoDB: mongo, mongodb
-MySQL: mysql, my sql
-Redis: redis
-NoSQL: nosql, no sql
-SQL: sql
-React: react, reactjs, react.js
-Angular: angular, angularjs
-Vue.js: vue, vuejs, vue.js
-Next.js: nextjs, next.js
-Node.js: node, nodejs, node.js
-Django: django
-Flask: flask
-FastAPI: fastapi, fast api
-Spring: spring
-Spring Boot: spring boot, springboot
-Git: git
-GitHub: github
-HTML: html, html5
-CSS: css, css3
-REST API: rest, restful, rest api
-GraphQL: graphql, graph ql
-Go: golang, go
-Rust: rust
-Java: java
-Scala: scala
-Ruby: ruby
-R: r
-Swift: swift
-Kotlin: kotlin
-Terraform: terraform
-Ansible: ansible
-Pandas: pandas
-NumPy: numpy
-TensorFlow: tensorflow, tf
-PyTorch: pytorch
-Scikit-learn: scikit-learn, sklearn
-Tableau: tableau
-Power BI: power bi, powerbi
-Agile: agile
-Scrum: scrum
-""")
+SKILLS = {
+    "JavaScript": ["js", "javascript", "java script", "es6", "ecmascript"],
+    "Python": ["py", "python", "python3", "py3"],
+    "TypeScript": ["ts", "typescript", "type script"],
+    "C++": ["c++", "cpp"],
+    "C#": ["c#", "csharp", "c sharp"],
+    "AWS": ["aws", "amazon web services"],
+    "GCP": ["gcp", "google cloud", "google cloud platform"],
+    "Azure": ["azure", "microsoft azure"],
+    "Machine Learning": ["ml", "machinelearning", "machine learning"],
+    "Deep Learning": ["dl", "deeplearning", "deep learning"],
+    "NLP": ["nlp", "natural language processing"],
+    "Artificial Intelligence": ["ai", "artificial intelligence"],
+    "Computer Vision": ["cv", "computer vision"],
+    "Docker": ["docker", "docker-compose"],
+    "Kubernetes": ["k8s", "kubernetes"],
+    "CI/CD": ["ci/cd", "cicd", "ci cd"],
+    "PostgreSQL": ["postgres", "postgresql"],
+    "MongoDB": ["mongo", "mongodb"],
+    "MySQL": ["mysql", "my sql"],
+    "Redis": ["redis"],
+    "NoSQL": ["nosql", "no sql"],
+    "SQL": ["sql"],
+    "React": ["react", "reactjs", "react.js"],
+    "Angular": ["angular", "angularjs"],
+    "Vue.js": ["vue", "vuejs", "vue.js"],
+    "Next.js": ["nextjs", "next.js"],
+    "Node.js": ["node", "nodejs", "node.js"],
+    "Django": ["django"],
+    "Flask": ["flask"],
+    "FastAPI": ["fastapi", "fast api"],
+    "Spring": ["spring"],
+    "Spring Boot": ["spring boot", "springboot"],
+    "Git": ["git"],
+    "GitHub": ["github"],
+    "HTML": ["html", "html5"],
+    "CSS": ["css", "css3"],
+    "REST API": ["rest", "restful", "rest api"],
+    "GraphQL": ["graphql", "graph ql"],
+    "Go": ["golang", "go"],
+    "Rust": ["rust"],
+    "Java": ["java"],
+    "Scala": ["scala"],
+    "Ruby": ["ruby"],
+    "R": ["r"],
+    "Swift": ["swift"],
+    "Kotlin": ["kotlin"],
+    "Terraform": ["terraform"],
+    "Ansible": ["ansible"],
+    "Pandas": ["pandas"],
+    "NumPy": ["numpy"],
+    "TensorFlow": ["tensorflow", "tf"],
+    "PyTorch": ["pytorch"],
+    "Scikit-learn": ["scikit-learn", "sklearn"],
+    "Tableau": ["tableau"],
+    "Power BI": ["power bi", "powerbi"],
+    "Agile": ["agile"],
+    "Scrum": ["scrum"],
+}
 
 #: Terms that the text scan looks for, in its order, and those not written in title case.
-SCANNED_SKILLS = "python,java,javascript,typescript,c++,c#,rust,go,html,css,sql,nosql,postgresql,mysql,mongodb,redis,fastapi,django,flask,react,next.js,angular,vue,docker,kubernetes,aws,gcp,azure,ci/cd,git,machine learning,deep learning,nlp,computer vision,yolo,data science,pandas,numpy,tensorflow,pytorch,faiss".split(",")
+SCANNED_SKILLS = ["python", "java", "javascript", "typescript", "c++", "c#", "rust", "go", "html", "css", "sql", "nosql", "postgresql", "mysql", "mongodb", "redis", "fastapi", "django", "flask", "react", "next.js", "angular", "vue", "docker", "kubernetes", "aws", "gcp", "azure", "ci/cd", "git", "machine learning", "deep learning", "nlp", "computer vision", "yolo", "data science", "pandas", "numpy", "tensorflow", "pytorch", "faiss"]
 SKILL_CASES = {"next.js": "Next.js", "c++": "C++", "c#": "C#", "ci/cd": "CI/CD", "nlp": "NLP", "aws": "AWS", "gcp": "GCP", "yolo": "YOLO", "faiss": "FAISS"}
 
 #: Mail providers whose domains are no portfolios.
@@ -185,4 +176,12 @@ REASONS = {
     "older": "Recency tie-breaker (current newer)",
     "single": "Single source populated",
     "initial": "Initial profile value",
+    "list": "Resolved by priority, confidence and recency",
 }
+
+#: How conflicts, explanations and reports name fields and sections.
+CONFLICT_FIELDS = {"city": "location.city", "region": "location.region", "country": "location.country", "linkedin": "links.linkedin", "github": "links.github", "portfolio": "links.portfolio"}
+FIELD_LABELS = {"full_name": "Full Name", "headline": "Headline / Summary", "years_experience": "Years Experience", "city": "Location — City", "region": "Location — Region", "country": "Location — Country", "linkedin": "LinkedIn URL", "github": "GitHub URL", "portfolio": "Portfolio URL", "emails": "Email", "phones": "Phone"}
+REPORT = {"overview": "Canonical Candidate Profile Golden Record Overview", "contact": "Contact Information & Digital Profiles", "summary": "Professional Summary", "skills": "Canonical Skills", "experience": "Professional Experience", "education": "Academic Qualifications", "provenance": "Field Ingestion Provenance Trace", "warnings": "Pipeline Integrity Warnings", "metadata": "Ingestion Report Metadata"}
+REPORT_EMPTY = {"summary": "No professional summary provided.", "experience": "No employment experience registered.", "education": "No education history registered.", "warnings": "✓ Ingestion validation succeeded. No integrity conflicts detected.", "reason": "Source priority map tie-breaker"}
+VALIDATION_RULES = 5

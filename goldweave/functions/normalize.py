@@ -56,24 +56,24 @@ def normalize_phone(c: Column, country: str = "IN") -> Column:
 
 
 def normalize_date(c: Column) -> Column:
-    """yyyy-MM; null for an open end; the tidied input where no year is found."""
+    """yyyy-MM; null for an open end; the tidied input where no year is found.
+
+    Patterns are met only where a cheaper test of the same text lets them, each once.
+    """
     low = F.lower(strip(c))
-    part = lambda pattern, i: truthy(F.regexp_extract(c, pattern, i))
-    year = part(r"\b(\d{4})\b", 1)
-    iso, slash = r"\b(\d{4})-(\d{2})\b", r"\b(\d{1,2})/(\d{4})\b"
-    month = F.coalesce(*[F.when(F.contains(low, F.lit(m)), F.lit(f"{i:02d}")) for i, m in enumerate(X.MONTHS, 1)])
-    found = F.coalesce(
-        F.when(part(iso, 1).isNotNull(), F.concat(part(iso, 1), F.lit("-"), part(iso, 2))),
-        F.when(part(slash, 1).isNotNull(), F.concat(part(slash, 2), F.lit("-"), F.lpad(part(slash, 1), 2, "0"))),
-        F.concat(year, F.lit("-"), month),
-        F.concat(year, F.lit("-01")),
-        strip(c),
-    )
+    iso = truthy(F.regexp_extract(c, r"\b(\d{4}-\d{2})\b", 1))
+    slash = F.when(F.contains(c, F.lit("/")), truthy(F.regexp_extract(c, r"\b(\d{1,2}/\d{4})\b", 1)))
+    year = truthy(F.regexp_extract(c, r"\b(\d{4})\b", 1))
+    # the first month of the list whose name occurs anywhere, not the first in the text
+    month = F.coalesce(*[F.when(F.contains(low, F.lit(m)), F.lit(f"-{i:02d}")) for i, m in enumerate(X.MONTHS, 1)], F.lit("-01"))
+    turned = F.concat(F.right(slash, F.lit(4)), F.lit("-"), F.lpad(F.substring_index(slash, "/", 1), 2, "0"))
+    found = F.coalesce(iso, turned, F.concat(year, month), strip(c))
     return F.when(truthy(c).isNotNull() & ~low.isin(X.OPEN_ENDED) & ~F.contains(low, F.lit("currently")), found)
 
 
-def _looked_up(table: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+def _looked_up(table: dict[str, list[str]], key: Column) -> Column:
+    """The name whose spellings hold the key."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for name, spellings in table.items() for s in spellings for x in (s, name)]), key)
 
 
 def normalize_country(c: Column) -> Column:

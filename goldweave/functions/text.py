@@ -102,10 +102,11 @@ def full_name(text: Column) -> Column:
 
 
 def skills(text: Column) -> Column:
-    """Known terms that stand as whole tokens, in the order of the list: each a literal pattern, compiled once."""
+    """Known terms that stand as whole tokens, in the order of the list; a pattern is met only by texts that contain its term."""
     low = F.lower(text)
     quoted = lambda s: "".join(c if c.isalnum() or c == " " else "\\" + c for c in s)
-    return F.array_compact(F.array(*[F.when(low.rlike(rf"(?U)(?<!\w){quoted(s)}(?!\w)"), F.lit(X.SKILL_CASES.get(s, s.title()))) for s in X.SCANNED_SKILLS]))
+    stands = lambda s: F.contains(low, F.lit(s)) & low.rlike(rf"(?U)(?<!\w){quoted(s)}(?!\w)")
+    return F.array_compact(F.array(*[F.when(stands(s), F.lit(X.SKILL_CASES.get(s, s.title()))) for s in X.SCANNED_SKILLS]))
 
 
 def headline(text: Column) -> Column:

@@ -10,12 +10,14 @@ exactly inside connected components.  Mode "closure" takes whole components as e
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from goldweave.functions import fixed as X
-from goldweave.functions.similarity import jaro_winkler_of, match_score
+from goldweave.functions.similarity import jaro_winkler_similarity, levenshtein_similarity
 from goldweave.operators.graph import connected_components
+from goldweave.plans.staging import staged
 
 
 def match_keys(records: DataFrame) -> DataFrame:
@@ -30,23 +32,67 @@ def key_edges(keys: DataFrame) -> DataFrame:
     return keys.join(first, "key").filter("seq <> a").select("a", F.col("seq").alias("b")).distinct()
 
 
+def _grams(name: Column) -> Column:
+    """The pairs of neighbouring letters, each with how often it has come before, so that repeated ones count."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, F.lit(2)))
+    pairs = F.when(F.length(name) > 1, pairs).otherwise(F.array().cast("array<string>"))
+    return F.transform(pairs, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda h: h == g)).cast("string")))
+
+
+def similar_names(names: DataFrame, least: float) -> DataFrame:
+    """x, y, names: pairs x < y of distinct `name`s with an edit similarity of `least` or more; none is lost.
+
+    Names within d edits of each other, the longer of n letters, share n - 1 - 2 * d pairs of letters at least.  Each name is entered under
+    as many of its rarest pairs as it must have one in common with any partner; so common pairs bring nobody together.  Names of
+    up to three letters, for which the bound says nothing, and those of four are entered under their letters.
+    """
+    n = F.length("name")
+    # the fewest shared pairs over all lengths that the longer of two such names can have
+    bound = lambda m: m - 1 - 2 * F.floor(m * (1 - least) + 1e-9)
+    need = F.array_min(F.transform(F.sequence(n, F.greatest(n, F.floor(n / least + 1e-9).cast("int"))), bound))
+    letters = F.transform(F.array_distinct(F.filter(F.split("name", ""), lambda c: F.length(c) > 0)), lambda c: F.concat(F.lit("letter "), c))
+    own = names.select("name", need.alias("need"), _grams(F.col("name")).alias("grams"), F.when(need <= 0, letters).when(n <= 4, letters).otherwise(F.array().cast("array<string>")).alias("letters"))
+    tokens = own.select("name", "need", F.explode("grams").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    rare = W.partitionBy("name").orderBy("often", "token")
+    kept = F.count("*").over(W.partitionBy("name")) - F.greatest("need", F.lit(1)) + 1
+    entered = tokens.join(often, "token").withColumns({"nr": F.row_number().over(rare), "kept": kept}).filter("nr <= kept").select("token", "name")
+    entered = entered.unionByName(own.select(F.explode("letters").alias("token"), "name"))
+    sized = entered.withColumn("n", F.length("name"))
+    x, y = sized.select("token", F.col("name").alias("x"), F.col("n").alias("nx")), sized.select("token", F.col("name").alias("y"), F.col("n").alias("ny"))
+    near = x.join(y, "token").filter((F.col("x") < F.col("y")) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * least - 1e-9)).select("x", "y").distinct()
+    alike = levenshtein_similarity(F.col("x"), F.col("y"))
+    return near.withColumn("names", alike).filter(F.col("names") >= least - 1e-9)
+
+
 def fuzzy_pairs(records: DataFrame, least: float = X.PROBABLE) -> DataFrame:
-    """a, b, score: pairs of distinct (name, company) whose score reaches `least`, by their first records.
+    """a, b, score: pairs of distinct (name, company) whose score reaches `least`, by their first records; none is lost.
 
-    Lossless blocking: with companies the names' similarity must reach (least - 0.4) / 0.6, without it `least`; so the
-    shorter name has at least that share of the longer one's length, and pairs meet in buckets of length only.  Equal
-    (name, company) pairs are reduced to one before, so a frequent name costs one row.
+    The score is 0.6 * names + 0.4 * companies, or names alone where a company is missing.  So either the names have a similarity of
+    `least` (all pairs whose companies have no more than that, too), which similar_names() finds without meeting all pairs; or
+    the companies have more than `least`, and the names at least what is then missing: these meet by pairs of similar companies.
     """
-    bound = (least - X.COMPANY_WEIGHT) / X.NAME_WEIGHT
-    heads = records.filter(F.length("name") > 0).groupBy(F.lower("name").alias("name"), F.lower(F.coalesce("company", F.lit(""))).alias("company")).agg(F.min("seq").alias("seq"), F.length(F.lower(F.first("name"))).alias("size"))
-    left = heads.select(F.col("seq").alias("a"), F.col("name").alias("na"), F.col("company").alias("ca"), F.explode(F.sequence(F.ceil(F.col("size") * F.lit(bound)).cast("int"), F.col("size"))).alias("size"))
-    right = heads.select(F.col("seq").alias("b"), F.col("name").alias("nb"), F.col("company").alias("cb"), "size")
-    need = F.when((F.length("ca") > 0) & (F.length("cb") > 0), F.lit(bound)).otherwise(F.lit(least))
-    longer = F.greatest(F.length("na"), F.length("nb"))
-    # a pair of equal length meets once from each side; unequal ones only from the longer
-    near = left.join(right, "size").filter((F.length("na") > F.length("nb")) | (F.col("a") < F.col("b"))).filter(F.levenshtein("na", "nb") <= longer * (1 - need) + F.lit(1e-9))
-    scored = near.withColumn("score", match_score(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb")))
-    return scored.filter(F.col("score") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    heads = records.filter(F.length("name") > 0).groupBy(F.lower("name").alias("name"), F.lower(F.coalesce("company", F.lit(""))).alias("company")).agg(F.min("seq").alias("seq"))
+    left = heads.select(F.col("seq").alias("a"), F.col("name").alias("x"), F.col("company").alias("ca"))
+    right = heads.select(F.col("seq").alias("b"), F.col("name").alias("y"), F.col("company").alias("cb"))
+    names = heads.select("name").distinct()
+    alike = similar_names(names, least)
+    same = left.join(right.withColumnRenamed("y", "x"), "x").filter("a < b").select("a", "b", "ca", "cb", F.lit(1.0).alias("names"))
+    by_name = alike.join(left, "x").join(right, "y").select("a", "b", "ca", "cb", "names").unionByName(same)
+    firms = F.when((F.length("ca") > 0) & (F.length("cb") > 0), jaro_winkler_similarity(F.col("ca"), F.col("cb")))
+    scored = by_name.withColumn("score", F.coalesce(F.col("names") * X.NAME_WEIGHT + firms * X.COMPANY_WEIGHT, F.col("names")))
+    # the rest: similar companies, names below `least`
+    known = heads.filter(F.length("company") > 0).select("company").distinct()
+    letter = F.explode(F.array_distinct(F.filter(F.split("company", ""), lambda c: F.length(c) > 0))).alias("letter")
+    one, two = known.select(F.col("company").alias("ca"), letter), known.select(F.col("company").alias("cb"), letter)
+    both = one.join(two, "letter").filter("ca < cb").select("ca", "cb").distinct().withColumn("firms", jaro_winkler_similarity(F.col("ca"), F.col("cb"))).filter(F.col("firms") > least)
+    both = both.unionByName(both.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "firms")).unionByName(known.select(F.col("company").alias("ca"), F.col("company").alias("cb"), F.lit(1.0).alias("firms")))
+    longer, lacking = F.greatest(F.length("x"), F.length("y")), (least - F.col("firms") * X.COMPANY_WEIGHT) / X.NAME_WEIGHT
+    met = both.join(left, "ca").join(right, "cb").filter(F.col("a") < F.col("b")).filter(F.least(F.length("x"), F.length("y")) >= longer * lacking - 1e-9)
+    met = met.withColumn("names", levenshtein_similarity(F.col("x"), F.col("y"))).filter((F.col("names") < least - 1e-9) & (F.col("names") >= lacking - 1e-9))
+    rest = met.withColumn("score", F.col("names") * X.NAME_WEIGHT + F.col("firms") * X.COMPANY_WEIGHT)
+    pick = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score"]
+    return scored.select(*pick).unionByName(rest.select(*pick)).filter(F.col("score") >= least)
 
 
 def name_edges(records: DataFrame) -> DataFrame:
@@ -57,75 +103,83 @@ def name_edges(records: DataFrame) -> DataFrame:
     return named.join(first, ["n", "c"]).filter("seq <> a").select("a", F.col("seq").alias("b"))
 
 
-def components(records: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """seq, component: records that chains of shared keys and similar names join, by their smallest seq."""
+def components(records: DataFrame, fuzzy: bool = True, pairs: DataFrame | None = None) -> DataFrame:
+    """seq, component: records that chains of shared keys and similar names join, by their smallest seq; pairs: see fuzzy_pairs()."""
     edges = key_edges(match_keys(records))
     if fuzzy:
-        edges = edges.unionByName(name_edges(records)).unionByName(fuzzy_pairs(records).select("a", "b"))
+        edges = edges.unionByName(name_edges(records)).unionByName((fuzzy_pairs(records) if pairs is None else pairs).select("a", "b"))
     found = connected_components(edges)
     return records.select("seq").join(found, F.col("seq") == F.col("node"), "left").select("seq", F.coalesce("component", "seq").alias("component"))
 
 
-LINKS = "seq bigint, entity bigint, match_type string, match_status string, match_score double"
+LINKS = "seq bigint, entity bigint, match_type string, match_status string, match_score double, matched_seq bigint, matched_name string"
+_LINKS = [c.split()[0] for c in LINKS.split(", ")]
+
 
+def greedy(records: pd.DataFrame, pairs: pd.DataFrame, registry: dict[str, int] | None = None) -> pd.DataFrame:
+    """The rule on the records of one component: seq, head (first record of the same name and company, null without a name), name, keys.
 
-def greedy(records: pd.DataFrame, fuzzy: bool = True, registry: dict[str, int] | None = None) -> pd.DataFrame:
-    """The rule on the records of one component: seq, name, company, keys; registry: keys known from before."""
+    pairs: a, b, score of heads.  registry: keys known from before.  A leader is found by its keys and by its head, so a record costs its
+    keys and its head's pairs, not the number of leaders.
+    """
     known = dict(registry or {})
-    leaders: list[tuple[int, set, str, str]] = []
+    near: dict[int, dict[int, float]] = {}
+    for a, b, score in zip(pairs["a"].tolist(), pairs["b"].tolist(), pairs["score"].tolist()):
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = score
+    leaders: list[tuple[int, list, str]] = []
+    led: set[int] = set()
+    by_key: dict[str, int] = {}  # the first leader with a key, with a head
+    by_head: dict[int, int] = {}
     out = []
-    for seq, name, company, keys in records.sort_values("seq")[["seq", "name", "company", "keys"]].itertuples(index=False):
-        keys, name, company = list(keys), (name or "").lower(), (company or "").lower()
-        entity, how, status, score = next((known[k] for k in keys if k in known), None), "key", None, None
-        if entity is None:
-            shared = next(((s, ks) for s, ks, _, _ in leaders if ks.intersection(keys)), None)
-            if shared:
-                entity = shared[0]
-                known |= dict.fromkeys(shared[1], entity)
-        if entity is None and fuzzy:
-            for s, _, other, firm in leaders:
-                value = _score(name, other, company, firm)
-                if value >= X.PROBABLE:
-                    entity, how, score = s, "fuzzy", round(value, 2)
-                    status = "CONFIRMED" if value > X.CONFIRMED else "PROBABLE_MANUAL_REVIEW"
-                    break
+    d = records.sort_values("seq")
+    for seq, head, named, name, keys in zip(d["seq"].tolist(), d["head"].tolist(), d["named"].tolist(), d["name"].tolist(), d["keys"].tolist()):
+        keys = list(keys)
+        entity, how, status, score, matched = next((known[k] for k in keys if k in known), None), "key", None, None, None
+        if entity is None and (shared := [by_key[k] for k in keys if k in by_key]):
+            entity, own, _ = leaders[min(shared)]
+            known |= dict.fromkeys(own, entity)
+        if entity is None and named:
+            first = min(((by_head[h], s) for h, s in [(head, 1.0), *near.get(head, {}).items()] if h in by_head), default=None)
+            if first:
+                entity, how, score = leaders[first[0]][0], "fuzzy", first[1]
+                status = "CONFIRMED" if first[1] > X.CONFIRMED else "PROBABLE_MANUAL_REVIEW"
+                matched = first[0]
         if entity is None:
             entity, how = seq, "new"
-        if entity == seq or all(entity != s for s, _, _, _ in leaders):
-            leaders.append((entity, set(keys), name, company))
+        if entity not in led:
+            leaders.append((entity, keys, name))
+            led.add(entity)
+            for k in keys:
+                by_key.setdefault(k, len(leaders) - 1)
+            if named:
+                by_head.setdefault(head, len(leaders) - 1)
         known |= dict.fromkeys(keys, entity)
-        out.append((seq, entity, how, status, score))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in LINKS.split(", ")])
-
-
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
-
-
-def _score(name: str, other: str, company: str, firm: str) -> float:
-    names = 1 - _distance(name, other) / max(len(name), len(other)) if name and other else 0.0
-    return names * X.NAME_WEIGHT + jaro_winkler_of(company, firm) * X.COMPANY_WEIGHT if company and firm else names
+        out.append((seq, entity, how, status, score, None if matched is None else str(leaders[matched][0]), None if matched is None else leaders[matched][2]))
+    return pd.DataFrame(out, columns=_LINKS)
 
 
 def resolve(records: DataFrame, mode: str = "exact", fuzzy: bool = True) -> DataFrame:
-    """records(seq, name, company, emails, phones) -> seq, entity, match_type, match_status, match_score.
+    """records(seq, name, company, emails, phones) -> seq, entity, match_type, match_status, match_score, matched_seq, matched_name.
 
     exact: the greedy rule inside each component (a component is the unit of work: a very large one is one task's);
-    closure: a component is an entity, in DataFrame steps only.
+    closure: a component is an entity, in DataFrame steps only.  matched_seq and matched_name tell the leader of a fuzzy match.
     """
-    grouped = components(records, fuzzy)
+    pairs = staged(fuzzy_pairs(records), "pairs") if fuzzy else None
+    grouped = staged(components(records, fuzzy, pairs), "components")
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in LINKS.split(", ")[3:])]
     if mode == "closure":
         how = F.when(F.col("seq") == F.col("component"), "new").otherwise("closure")
-        return grouped.select("seq", F.col("component").alias("entity"), how.alias("match_type"), F.lit(None).cast("string").alias("match_status"), F.lit(None).cast("double").alias("match_score"))
+        return grouped.select("seq", F.col("component").alias("entity"), how.alias("match_type"), *nothing)
+    size = grouped.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    many = grouped.join(size, "component")
+    alone = grouped.join(size, "component", "left_anti").select("seq", F.col("seq").alias("entity"), F.lit("new").alias("match_type"), *nothing)
     keys = match_keys(records).groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).getField("key").alias("keys"))
-    full = records.select("seq", "name", "company").join(grouped, "seq").join(keys, "seq", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
-    size = full.groupBy("component").agg(F.count("*").alias("n"))
-    sized = full.join(size, "component")
-    alone = sized.filter("n = 1").select("seq", F.col("seq").alias("entity"), F.lit("new").alias("match_type"), F.lit(None).cast("string").alias("match_status"), F.lit(None).cast("double").alias("match_score"))
-    together = sized.filter("n > 1").groupBy("component").applyInPandas(lambda d: greedy(d, fuzzy), LINKS)
+    own = [F.lower("name").alias("n"), F.lower(F.coalesce("company", F.lit(""))).alias("c")]
+    heads = records.filter(F.length("name") > 0).groupBy(*own).agg(F.min("seq").alias("head"))
+    full = records.select("seq", "name", *own).join(many, "seq").join(heads, ["n", "c"], "left").join(keys, "seq", "left")
+    full = full.select("component", "seq", F.coalesce("head", "seq").alias("head"), (F.col("head").isNotNull() & F.lit(fuzzy)).alias("named"), "name", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
+    near = (pairs if fuzzy else grouped.sparkSession.createDataFrame([], "a bigint, b bigint, score double")).join(many.withColumnRenamed("seq", "a"), "a").select(F.col("component").alias("of"), "a", "b", "score")
+    run = lambda left, right: greedy(left, right)
+    made = LINKS.replace("matched_seq bigint", "matched_seq string")  # a nullable long would become a double on its way
+    together = full.groupBy("component").cogroup(near.groupBy("of")).applyInPandas(run, made).withColumns({"matched_seq": F.col("matched_seq").cast("bigint"), "match_score": F.round("match_score", 2)})
     return alone.unionByName(together)

@@ -6,10 +6,14 @@ is merged, otherwise the item is appended.  That isn't associative, so it runs p
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from goldweave.functions import fixed as X
+
 JOB_FIELDS = ["company", "title", "start", "end", "summary"]
 STUDY_FIELDS = ["institution", "degree", "field", "end_year"]
 
@@ -50,35 +54,94 @@ def is_same(kind: str, a: dict, b: dict) -> bool:
     return p is not None and q is not None and _alike(p, q) and (not e or not f or _alike(e, f))
 
 
-def merge_items(items: pd.DataFrame, kind: str) -> pd.DataFrame:
-    """One entity's items with seq, pos, source, priority, confidence, ts and the fields -> merged items in order.
+PROOF = "array<struct<field:string,source:string,method:string,confidence:double,decision_reason:string>>"
+CONFLICTS = "entity {0}, field string, seq bigint, source_a string, value_a string, confidence_a double, priority_a int, source_b string, value_b string, confidence_b double, priority_b int, winner_source string, winning_value string, rejected_value string, decision_rule string"
+
+
+def _value_key(v) -> str:
+    return re.sub(r"[\s\-/]+", "", str(v).strip().lower())
+
+
+def _preview(v, most: int = 120) -> str:
+    text = str(v)
+    return text if len(text) <= most else text[:most] + "..."
+
+
+def _step(old: dict, new: dict) -> tuple[bool, str, str]:
+    """(the new claim wins, the rule, the reason in words)."""
+    win = (new["priority"], new["confidence"], new["ts"]) > (old["priority"], old["confidence"], old["ts"])
+    first, second = (new, old) if win else (old, new)
+    if new["priority"] != old["priority"]:
+        return win, "source_priority", X.REASONS["source_priority"].format(first["source"], first["priority"], second["source"], second["priority"])
+    if new["confidence"] != old["confidence"]:
+        return win, "confidence", X.REASONS["confidence"].format(first["confidence"], second["confidence"])
+    return win, "recency", X.REASONS["newer" if win else "older"]
+
+
+def fold_items(items: pd.DataFrame, kind: str) -> tuple[list[dict], list[tuple]]:
+    """(merged items in order, conflicts) of one entity's items with seq, pos, source, method, priority, confidence, ts and the fields.
 
-    Each field survives on its own: the claim with the higher (priority, confidence, ts), the earlier on a tie.
+    Each field survives on its own: the claim with the higher (priority, confidence, ts), the earlier on a tie.  Of a merged item, a
+    field that one side lacks has the reason of a single source; items that never met another keep theirs null.
     """
     fields = JOB_FIELDS if kind == "experience" else STUDY_FIELDS
     grown: list[dict] = []
+    told: list[tuple] = []
     first = items["seq"].min()
     for r in items.sort_values(["seq", "pos"]).to_dict("records"):
-        best = {f: (r["priority"], r["confidence"], r["ts"]) for f in fields if r[f] is not None and r[f] == r[f]}
+        own = {"source": r["source"], "method": r.get("method"), "priority": r["priority"], "confidence": r["confidence"], "ts": r["ts"], "reason": None}
+        best = {f: own for f in fields if r[f] is not None and r[f] == r[f]}
         item = {f: r[f] if f in best else None for f in fields}
         # the first record's items stand as they are; later ones are compared with all that is there
         at = None if r["seq"] == first else next((g for g in grown if is_same(kind, g["item"], item)), None)
         if at is None:
             grown.append({"item": item, "best": best, "sources": [r["source"]]})
             continue
-        for f, rank in best.items():
-            if f not in at["best"] or rank > at["best"][f]:
-                at["item"][f], at["best"][f] = item[f], rank
+        for f in fields:
+            if f not in best or f not in at["best"]:
+                if f in best or f in at["best"]:
+                    at["best"][f] = (best.get(f) or at["best"][f]) | {"reason": X.REASONS["single"]}
+                    at["item"][f] = item[f] if f in best else at["item"][f]
+                continue
+            old, new, before = at["best"][f], best[f], at["item"][f]
+            win, rule, words = _step(old, new)
+            if _value_key(before) != _value_key(item[f]):
+                a, b = _preview(before), _preview(item[f])
+                told.append((items["entity"].iloc[0], kind, r["seq"], old["source"], a, old["confidence"], old["priority"], new["source"], b, new["confidence"], new["priority"], (new if win else old)["source"], b if win else a, a if win else b, rule))
+            at["best"][f] = (new if win else old) | {"reason": words}
+            at["item"][f] = item[f] if win else before
         at["sources"] = list(dict.fromkeys([*at["sources"], r["source"]]))
-    return pd.DataFrame([{"entity": items["entity"].iloc[0], "pos": i, **g["item"], "sources": g["sources"]} for i, g in enumerate(grown)])
+    return grown, told
+
+
+def merge_items(items: pd.DataFrame, kind: str) -> pd.DataFrame:
+    """One entity's merged items: see fold_items()."""
+    grown, _ = fold_items(items, kind)
+    proof = lambda g: [(f, b["source"], b["method"], b["confidence"], b["reason"]) for f, b in g["best"].items()]
+    return pd.DataFrame([{"entity": items["entity"].iloc[0], "pos": i, **g["item"], "sources": g["sources"], "proof": proof(g)} for i, g in enumerate(grown)])
+
+
+def _columns(items: DataFrame, kind: str) -> list:
+    method = F.col("method") if "method" in items.columns else F.lit(None).cast("string").alias("method")
+    return ["entity", "seq", "pos", "source", method, "priority", "confidence", "ts", *(JOB_FIELDS if kind == "experience" else STUDY_FIELDS)]
 
 
 def collections(items: DataFrame, kind: str) -> DataFrame:
-    """items(entity, seq, pos, source, priority, confidence, ts, fields) -> entity, pos, fields, sources."""
+    """items(entity, seq, pos, source, method, priority, confidence, ts, fields) -> entity, pos, fields, sources, proof (a row per field)."""
     fields = JOB_FIELDS if kind == "experience" else STUDY_FIELDS
-    schema = f"entity {items.schema['entity'].dataType.simpleString()}, pos int, " + "".join(f"`{f}` {items.schema[f].dataType.simpleString()}, " for f in fields) + "sources array<string>"
+    schema = f"entity {items.schema['entity'].dataType.simpleString()}, pos int, " + "".join(f"`{f}` {items.schema[f].dataType.simpleString()}, " for f in fields) + f"sources array<string>, proof {PROOF}"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return merge_items(pdf.astype({"end_year": object} if "end_year" in pdf else {}), kind)
 
-    return items.select("entity", "seq", "pos", "source", "priority", "confidence", "ts", *fields).groupBy("entity").applyInPandas(run, schema)
+    return items.select(*_columns(items, kind)).groupBy("entity").applyInPandas(run, schema)
+
+
+def conflicts(items: DataFrame, kind: str) -> DataFrame:
+    """A row per field of a matched item on which both sides had different values; the columns of survivorship.conflicts()."""
+    schema = CONFLICTS.format(items.schema["entity"].dataType.simpleString())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(fold_items(pdf.astype({"end_year": object} if "end_year" in pdf else {}), kind)[1], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return items.select(*_columns(items, kind)).groupBy("entity").applyInPandas(run, schema)

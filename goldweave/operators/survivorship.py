@@ -87,12 +87,16 @@ def reason(source: str = "source") -> Column:
 def decision_reasons(claims: DataFrame, entity: str, field: str | None = None, source: str = "source") -> DataFrame:
     """Why each (entity, field) has its value: the reason of the last record's step.
 
-    Null for entities of one record; "Single source populated" where the last record or all before it have no claim.
+    Null for entities of one record; "Single source populated" where the last record or all before it have no claim.  Two aggregates
+    with partial sums, the last claim and the winner of those before it, so a long history is nobody's window.
     """
     by = [entity] if field is None else [entity, field]
     records = claims.groupBy(entity).agg(F.max("seq").alias("last_seq"), F.min("seq").alias("first_seq"))
-    top = W.partitionBy(*by).orderBy(F.desc("seq"))
-    last = steps(claims, by, [source]).withColumn("nr", F.row_number().over(top)).filter("nr = 1").join(records, entity)
+    ends = claims.groupBy(*by).agg(F.max("seq").alias("__end"))
+    kept = list(dict.fromkeys(["value", "seq", *BEST, source]))
+    row, is_last = F.struct(*kept), F.col("seq") == F.col("__end")
+    last = claims.join(ends, by).groupBy(*by).agg(F.max_by(F.when(is_last, row), F.when(is_last, rank())).alias("__last"), F.max_by(F.when(~is_last, row), F.when(~is_last, rank())).alias("w"))
+    last = last.select(*by, *(F.col(f"__last.{c}").alias(c) for c in kept), "w").join(records, entity)
     text = F.when(F.col("last_seq") == F.col("first_seq"), F.lit(None).cast("string")).when((F.col("seq") < F.col("last_seq")) | F.col("w").isNull(), X.REASONS["single"]).otherwise(reason(source))
     return last.select(*by, text.alias("decision_reason"))
 
@@ -135,20 +139,21 @@ def list_union(claims: DataFrame, entity: str, field: str | None = None, carry:
     """Distinct non-null values of each (entity, field) with the metadata of their best claim, `first_seq` to order by, and the reason.
 
     The reason: in earlier records only "Initial profile value", in the last only "Single source populated", in both the
-    best one's rule; null for entities of one record.
+    best one's rule; null for entities of one record.  Claims are shuffled once, as one row per value; an entity's first and last
+    record come from those rows, of which null values leave one as well.
     """
     by = [entity] if field is None else [entity, field]
-    some = claims.filter(F.col("value").isNotNull())
     kept = list(dict.fromkeys([*(carry or []), *BEST, "seq"]))
-    items = some.groupBy(*by, "value").agg(F.max_by(F.struct(*kept), rank()).alias("w"), F.min("seq").alias("first_seq"), F.max("seq").alias("end_seq"))
-    records = claims.groupBy(entity).agg(F.max("seq").alias("last_seq"), F.min("seq").alias("only_seq"))
+    items = claims.groupBy(*by, "value").agg(F.max_by(F.struct(*kept), rank()).alias("w"), F.min("seq").alias("first_seq"), F.max("seq").alias("end_seq"))
+    whole = W.partitionBy(entity)
+    items = items.withColumns({"last_seq": F.max("end_seq").over(whole), "only_seq": F.min("first_seq").over(whole)}).filter(F.col("value").isNotNull())
     text = (
         F.when(F.col("last_seq") == F.col("only_seq"), F.lit(None).cast("string"))
         .when(F.col("end_seq") < F.col("last_seq"), X.REASONS["initial"])
         .when(F.col("first_seq") == F.col("last_seq"), X.REASONS["single"])
-        .otherwise("Resolved by priority, confidence and recency")
+        .otherwise(X.REASONS["list"])
     )
-    return items.join(records, entity).select(*by, "value", *(F.col(f"w.{c}").alias(c) for c in kept), "first_seq", text.alias("list_reason"))
+    return items.select(*by, "value", *(F.col(f"w.{c}").alias(c) for c in kept), "first_seq", text.alias("list_reason"))
 
 
 def golden_top(claims: DataFrame, entity: str) -> DataFrame:

@@ -6,6 +6,9 @@ column its confidence, ts its recency, a group key its entity.
 
 from __future__ import annotations
 
+import io
+import zipfile
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +21,15 @@ from goldweave.functions import text as T
 from goldweave.operators import analytics as A
 from goldweave.operators import golden as G
 from goldweave.operators import identity as I
+from goldweave.operators import items as C
 from goldweave.operators import survivorship as V
+from goldweave.plans.golden import Run, latest_company, normalized, quality, run, stats
+from goldweave.plans.golden import explanations as explain
 from goldweave.plans.projection import project
+from goldweave.plans.staging import new_folder
+from goldweave.sources import readers, sinks
+from goldweave.sources.structured import extract
+from goldweave.streaming.winners import streaming_winners, windowed_winners
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -250,15 +260,9 @@ def extract_skills(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.sort_array(T.skills(F.expr(_SKILL_TEXT))).alias("skills"))
 
 
-@query("""SELECT doc_id, nullif(trim(regexp_replace(regexp_extract('x' || chr(10) || 'Summary' || chr(10) || left(text, 200) || chr(10) || 'Education', '(?is)(?:Summary)\\s*\\n+(.+?)\\n\\s*(?:Experience|Work|Education|Skills|\\d)', 1), '\\s+', ' ', 'g')), '') AS headline FROM documents WHERE NOT regexp_matches(left(text, 200), '(?i)summary|about\\s*me|bio|profile')""")
-def extract_sections(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(~F.left("text", F.lit(200)).rlike(r"(?i)summary|about\s*me|bio|profile"))
-    return d.select("doc_id", T.headline(F.concat(F.lit("x\nSummary\n"), F.left("text", F.lit(200)), F.lit("\nEducation"))).alias("headline"))
-
-
 @query("""SELECT doc_id, nullif(trim(regexp_replace(regexp_extract(text, '(?is)(?:Summary|About\\s*Me|Bio|Profile)\\s*\\n+(.+?)\\n\\s*(?:Experience|Work|Education|Skills|\\d)', 1), '\\s+', ' ', 'g')), '') AS headline FROM documents""")
-def extract_sections_whole(spark, sf_dir):
-    """Every document's whole text; extract_sections holds the pattern against SQL on planted headings only."""
+def extract_sections(spark, sf_dir):
+    """Every document's whole text."""
     return table(spark, sf_dir, "documents").select("doc_id", T.headline(F.col("text")).alias("headline"))
 
 
@@ -315,59 +319,47 @@ def levenshtein_pairs(spark, sf_dir):
     return pairs.join(a, "a").join(b, "b").select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"), F.round("score", 6).alias("score"))
 
 
-@query("WITH n AS (SELECT DISTINCT p_brand AS b FROM part) SELECT x.b AS brand_a, y.b AS brand_b, round(jaro_winkler_similarity(lower(x.b), lower(y.b)), 6) AS score FROM n x JOIN n y ON x.b < y.b")
-def jaro_winkler_pairs(spark, sf_dir):
-    n = table(spark, sf_dir, "part").select("p_brand").distinct()
-    pairs = n.withColumnRenamed("p_brand", "brand_a").join(n.withColumnRenamed("p_brand", "brand_b"), F.col("brand_a") < F.col("brand_b"))
-    return pairs.select("brand_a", "brand_b", F.round(S.jaro_winkler_similarity(F.col("brand_a"), F.col("brand_b")), 6).alias("score"))
+@query("SELECT p_partkey, round(jaro_winkler_similarity(lower(p_name), lower(p_type)), 6) AS score FROM part")
+def jaro_winkler(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(S.jaro_winkler_similarity(F.col("p_name"), F.col("p_type")), 6).alias("score"))
 
 
 _SCORE = "0.6 * (1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))) + 0.4 * jaro_winkler_similarity(lower(a.company), lower(b.company))"
 
 
-@query(f"{_PARTS}, few AS (SELECT * FROM n WHERE company IN ('Brand#1', 'Brand#2', 'Brand#12')) SELECT least(a.seq, b.seq) AS a, greatest(a.seq, b.seq) AS b, round({_SCORE}, 6) AS score, CASE WHEN {_SCORE} > 0.85 THEN 'CONFIRMED' ELSE 'PROBABLE_MANUAL_REVIEW' END AS status FROM few a JOIN few b ON a.seq < b.seq WHERE {_SCORE} >= 0.65")
-def fuzzy_composite(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").filter(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#12")).groupBy(F.col("p_name").alias("name"), F.col("p_brand").alias("company")).agg(F.min("p_partkey").alias("seq"))
-    return I.fuzzy_pairs(parts).select("a", "b", F.round("score", 6).alias("score"), S.match_status(F.col("score")).alias("status"))
-
-
-@query(f"{_PARTS}, s AS (SELECT a.seq AS a, {_SCORE} AS score FROM n a JOIN n b ON b.seq = a.seq + 1) SELECT a, CASE WHEN score > 0.85 THEN 'CONFIRMED' WHEN score >= 0.65 THEN 'PROBABLE_MANUAL_REVIEW' ELSE 'NO_MATCH' END AS status FROM s")
-def fuzzy_classify(spark, sf_dir):
-    n = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name"), F.col("p_brand").alias("company")).agg(F.min("p_partkey").alias("seq"))
-    b = n.select((F.col("seq") - 1).alias("seq"), F.col("name").alias("other"), F.col("company").alias("firm"))
-    score = S.match_score(F.col("name"), F.col("other"), F.col("company"), F.col("firm"))
-    return n.join(b, "seq").select(F.col("seq").alias("a"), S.match_status(score).alias("status"))
-
-
 def _named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name"), F.col("p_brand").alias("company")).agg(F.min("p_partkey").alias("seq"))
 
 
 @query(f"{_PARTS} SELECT least(a.seq, b.seq) AS a, greatest(a.seq, b.seq) AS b, round({_SCORE}, 6) AS score, CASE WHEN {_SCORE} > 0.85 THEN 'CONFIRMED' ELSE 'PROBABLE_MANUAL_REVIEW' END AS status FROM n a JOIN n b ON a.seq < b.seq WHERE {_SCORE} >= 0.65")
-def fuzzy_composite_whole(spark, sf_dir):
-    """All brands; fuzzy_composite holds three of them against its SQL."""
+def fuzzy_composite(spark, sf_dir):
     return I.fuzzy_pairs(_named_parts(spark, sf_dir)).select("a", "b", F.round("score", 6).alias("score"), S.match_status(F.col("score")).alias("status"))
 
 
-@query(f"{_PARTS}, s AS (SELECT a.seq AS a, b.seq AS b, {_SCORE} AS score FROM n a JOIN n b ON a.seq < b.seq) SELECT a, b, CASE WHEN score > 0.85 THEN 'CONFIRMED' WHEN score >= 0.65 THEN 'PROBABLE_MANUAL_REVIEW' ELSE 'NO_MATCH' END AS status FROM s")
-def fuzzy_classify_whole(spark, sf_dir):
-    """All pairs; fuzzy_classify holds those of neighbouring seq against its SQL."""
-    n = _named_parts(spark, sf_dir)
-    b = n.select(F.col("seq").alias("b"), F.col("name").alias("other"), F.col("company").alias("firm"))
-    score = S.match_score(F.col("name"), F.col("other"), F.col("company"), F.col("firm"))
-    return n.join(b, F.col("seq") < F.col("b")).select(F.col("seq").alias("a"), "b", S.match_status(score).alias("status"))
+_OWN_SCORE = "0.6 * (1 - levenshtein(lower(p_name), lower(p_type)) / greatest(length(p_name), length(p_type))) + 0.4 * jaro_winkler_similarity(lower(p_brand), 'brand#' || p_size)"
+
+
+@query(f"SELECT p_partkey, round(score, 6) AS score, CASE WHEN score > 0.85 THEN 'CONFIRMED' WHEN score >= 0.65 THEN 'PROBABLE_MANUAL_REVIEW' ELSE 'NO_MATCH' END AS status FROM (SELECT p_partkey, {_OWN_SCORE} AS score FROM part)")
+def fuzzy_classify(spark, sf_dir):
+    """Each part's name and brand beside its type and a brand of its size."""
+    score = S.match_score(F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.concat(F.lit("Brand#"), F.col("p_size").cast("string")))
+    d = table(spark, sf_dir, "part").select("p_partkey", score.alias("score"))
+    return d.select("p_partkey", F.round("score", 6).alias("score"), S.match_status(F.col("score")).alias("status"))
+
+
+def _chained_mails(k):
+    """Two of seven records share addresses along one chain without end: 7g, 7g + 1 and 7g + 7."""
+    mail = lambda n: F.concat(F.lit("m"), n.cast("bigint").cast("string"), F.lit("@x.org"))
+    return F.when(k % 7 < 2, F.array(mail(F.floor(k / 7)), mail(F.floor(k / 7) + k % 7))).otherwise(F.array(mail(k + 10_000_000)))
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as records: two of seven share addresses along chains of forty."""
+    """Customers as records without names."""
     k = F.col("c_custkey")
-    mail = lambda n: F.concat(F.lit("m"), n.cast("bigint").cast("string"), F.lit("@x.org"))
-    own = F.when(k % 7 < 2, F.array(mail(F.floor(k / 7)), mail(F.floor(k / 7) + F.when((k % 7 == 1) & (F.floor(k / 7) % 20 < 19), 1).otherwise(0)))).otherwise(F.array(mail(k + 10_000_000)))
-    return table(spark, sf_dir, "customer").select(k.alias("seq"), F.lit("").alias("name"), F.lit(None).cast("string").alias("company"), own.alias("emails"), F.array().cast("array<string>").alias("phones"))
+    return table(spark, sf_dir, "customer").select(k.alias("seq"), F.lit("").alias("name"), F.lit(None).cast("string").alias("company"), _chained_mails(k).alias("emails"), F.array().cast("array<string>").alias("phones"))
 
 
-# keys link 7g, 7g + 1 and 7g + 7, but for each twentieth g
-_CHAIN = "CASE WHEN c_custkey % 7 < 2 THEN c_custkey - c_custkey % 140 ELSE c_custkey END"
+_CHAIN = "CASE WHEN c_custkey % 7 < 2 THEN (SELECT min(c_custkey) FROM customer WHERE c_custkey % 7 < 2) ELSE c_custkey END"
 
 
 @query(f"SELECT c_custkey AS seq, {_CHAIN} AS component FROM customer")
@@ -375,38 +367,45 @@ def identity_components(spark, sf_dir):
     return I.components(_people(spark, sf_dir), fuzzy=False)
 
 
-# along a chain each record finds a key of the one before, so here the greedy rule gives the chain as well
-@query(f"SELECT c_custkey AS seq, {_CHAIN} AS entity, CASE WHEN {_CHAIN} = c_custkey THEN 'new' ELSE 'key' END AS match_type, CAST(NULL AS VARCHAR) AS match_status, CAST(NULL AS DOUBLE) AS match_score FROM customer")
-def identity_greedy(spark, sf_dir):
-    """The exact rule; in general its order dependence is beyond SQL, a test holds it against a model in plain Python."""
-    return I.resolve(_people(spark, sf_dir), "exact", fuzzy=False)
-
-
 def _named_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as records with their names and brands as companies; two of seven share addresses along one chain without end."""
+    """Parts as records with their names and brands as companies."""
     k = F.col("p_partkey")
-    mail = lambda n: F.concat(F.lit("m"), n.cast("bigint").cast("string"), F.lit("@x.org"))
-    own = F.when(k % 7 < 2, F.array(mail(F.floor(k / 7)), mail(F.floor(k / 7) + k % 7))).otherwise(F.array(mail(k + 10_000_000)))
-    return table(spark, sf_dir, "part").select(k.alias("seq"), F.col("p_name").alias("name"), F.col("p_brand").alias("company"), own.alias("emails"), F.array().cast("array<string>").alias("phones"))
-
-
-# the fuzzy rule over leaders is beyond SQL: a test holds these against a model in plain Python
-@query()
-def identity_components_whole(spark, sf_dir):
-    return I.components(_named_people(spark, sf_dir))
-
-
-@query()
-def identity_greedy_whole(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(k.alias("seq"), F.col("p_name").alias("name"), F.col("p_brand").alias("company"), _chained_mails(k).alias("emails"), F.array().cast("array<string>").alias("phones"))
+
+
+#: The greedy rule record by record; keys of one record alone can't match and are left out.
+_GREEDY = """
+WITH RECURSIVE p AS (
+  SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey AS seq, p_name AS shown, lower(p_name) AS name, lower(coalesce(p_brand, '')) AS company,
+         CASE WHEN p_partkey % 7 < 2 THEN list_distinct([p_partkey // 7, p_partkey // 7 + p_partkey % 7]) ELSE []::BIGINT[] END AS keys
+  FROM part
+), g(i, leaders, known, seq, entity, match_type, score, matched_seq, matched_name) AS (
+  SELECT 0::BIGINT, []::STRUCT(seq BIGINT, shown VARCHAR, name VARCHAR, company VARCHAR)[], []::STRUCT(k BIGINT, e BIGINT)[], 0::BIGINT, 0::BIGINT, '', 0.0::DOUBLE, 0::BIGINT, ''
+  UNION ALL
+  SELECT i, CASE WHEN entity = seq AND by_key IS NULL THEN list_append(leaders, {'seq': seq, 'shown': shown, 'name': name, 'company': company}) ELSE leaders END,
+         list_concat(known, list_transform(keys, lambda x: {'k': x, 'e': entity})), seq, entity,
+         CASE WHEN by_key IS NOT NULL THEN 'key' WHEN met.seq IS NOT NULL THEN 'fuzzy' ELSE 'new' END, CASE WHEN by_key IS NULL THEN met.score END, CASE WHEN by_key IS NULL THEN met.seq END, CASE WHEN by_key IS NULL THEN met.shown END
+  FROM (
+    SELECT *, coalesce(by_key, met.seq, seq) AS entity FROM (
+      SELECT p.*, g.leaders, g.known,
+             list_filter(list_transform(p.keys, lambda x: list_filter(g.known, lambda y: y.k = x)[-1].e), lambda e: e IS NOT NULL)[1] AS by_key,
+             list_filter(list_transform(g.leaders, lambda l: {'seq': l.seq, 'shown': l.shown, 'score': CAST(CASE WHEN l.company <> '' AND p.company <> ''
+               THEN 0.6 * (1 - levenshtein(l.name, p.name) / greatest(length(l.name), length(p.name))) + 0.4 * jaro_winkler_similarity(l.company, p.company)
+               ELSE 1 - levenshtein(l.name, p.name) / greatest(length(l.name), length(p.name)) END AS DOUBLE)}), lambda l: l.score >= 0.65)[1] AS met
+      FROM g JOIN p ON p.i = g.i + 1
+    )
+  )
+)
+SELECT seq, entity, match_type, CASE WHEN match_type = 'fuzzy' THEN CASE WHEN score > 0.85 THEN 'CONFIRMED' ELSE 'PROBABLE_MANUAL_REVIEW' END END AS match_status, round(score, 2) AS match_score, matched_seq, matched_name
+FROM g WHERE i > 0"""
+
+
+@query(_GREEDY)
+def identity_greedy(spark, sf_dir):
+    """The exact rule over records with names, companies and one endless chain of shared addresses."""
     return I.resolve(_named_people(spark, sf_dir), "exact")
 
 
-@query()
-def duplicates_removed_whole(spark, sf_dir):
-    found = I.resolve(_named_people(spark, sf_dir), "closure")
-    return found.agg((F.count("*") - F.countDistinct("entity")).alias("removed"))
-
-
 @query("SELECT user_id, round(coalesce(avg(CASE WHEN event_type IN ('click', 'purchase') THEN value / 1000 END), 1.0), 2) AS overall_confidence FROM events GROUP BY 1")
 def overall_confidence(spark, sf_dir):
     field = F.when(F.col("event_type") == "click", "emails").when(F.col("event_type") == "purchase", "skills").otherwise("links")
@@ -446,6 +445,7 @@ def provenance_distinct(spark, sf_dir):
 
 
 _HAVE = {"Full Name": "true", "Email": "n > 0", "Phone": "n > 5", "Location": "c_nationkey > 3", "Headline / Summary": "c_acctbal > 0", "Years Experience": "top IS NOT NULL", "Skills": "n > 10", "Work Experience": "n > 12", "Education": "c_custkey % 2 = 0", "LinkedIn": "c_custkey % 3 = 0", "GitHub": "c_custkey % 5 = 0", "Portfolio": "false"}
+_MISSING = "list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({t}, false) THEN '{k}' END" for k, t in _HAVE.items()) + "], lambda x: x IS NOT NULL)"
 _COMPLETE = "(" + " + ".join(f"CASE WHEN {t} THEN 1 ELSE 0 END" for t in _HAVE.values()) + ") / 12"
 
 
@@ -453,14 +453,48 @@ _COMPLETE = "(" + " + ".join(f"CASE WHEN {t} THEN 1 ELSE 0 END" for t in _HAVE.v
 SELECT c_custkey, round({_COMPLETE}, 3) AS completeness_score, round(greatest(0.0, 1 - ((n % 3) * 0.1 + (n % 4) * 0.05)), 3)::DOUBLE AS consistency_score, round(greatest(0.0, 1 - (c_custkey % 8) * 0.15), 3)::DOUBLE AS validity_score,
   round(coalesce(top / 1000000, 0.5), 3) AS merge_quality_score,
   round({_COMPLETE} * 0.35 + greatest(0.0, 1 - ((n % 3) * 0.1 + (n % 4) * 0.05)) * 0.20 + greatest(0.0, 1 - (c_custkey % 8) * 0.15) * 0.20 + coalesce(top / 1000000, 0.5) * 0.25, 3) AS overall_score,
-  list_filter([{", ".join(f"CASE WHEN NOT coalesce({t}, false) THEN '{k}' END" for k, t in _HAVE.items())}], lambda x: x IS NOT NULL) AS missing_fields FROM d""")
+  {_MISSING} AS missing_fields FROM d""")
 def quality_report(spark, sf_dir):
+    d, out = _quality(spark, sf_dir)
+    out.pop("suggestions")
+    return d.select("c_custkey", *(v.alias(k) for k, v in out.items()))
+
+
+def _quality(spark: SparkSession, sf_dir: str):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     sums = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
     d = c.join(sums, "c_custkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    out = A.quality({k: F.expr(t) for k, t in _HAVE.items()}, F.col("n") % 3, F.col("n") % 4, F.col("c_custkey") % 8, F.col("top") / 1000000, F.lit(0.5))
-    out.pop("suggestions")
-    return d.select("c_custkey", *(v.alias(k) for k, v in out.items()))
+    return d, A.quality({k: F.expr(t) for k, t in _HAVE.items()}, F.col("n") % 3, F.col("n") % 4, F.col("c_custkey") % 8, F.col("top") / 1000000, F.lit(0.5))
+
+
+@query(f"""WITH d AS (SELECT c_custkey, c_nationkey, c_acctbal, count(o_orderkey) AS n, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3), m AS (SELECT c_custkey, {_MISSING} AS missing FROM d)
+SELECT c_custkey, list_filter([CASE WHEN len(missing) > 0 THEN 'Add the following fields to improve profile completeness: ' || array_to_string(missing[1:5], ', ') || '.' END,
+  {", ".join(f"CASE WHEN list_contains(missing, '{k}') THEN '{X.ADVICE[k]}' END" for k in ("LinkedIn", "Headline / Summary", "Work Experience", "Skills"))},
+  {", ".join(f"'Consider adding: {k} (not in current sources).'" for k in X.ADVISORIES)}], lambda x: x IS NOT NULL) AS suggestions FROM m""")
+def quality_suggestions(spark, sf_dir):
+    """What is missing, the first five by name, and the fixed advice."""
+    d, out = _quality(spark, sf_dir)
+    return d.select("c_custkey", out["suggestions"].alias("suggestions"))
+
+
+@query("SELECT event_id, CAST(trunc(value / 1000 * 100) AS INTEGER) AS share FROM events")
+def percent(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", A.percent(F.col("value") / 1000).alias("share"))
+
+
+@query(f"""WITH d AS (SELECT c_custkey, c_nationkey, c_acctbal, count(o_orderkey) AS n, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3)
+SELECT c_custkey, unnest([{", ".join(f"{{'field': '{k}', 'present': coalesce({t}, false), 'confidence': CASE WHEN coalesce({t}, false) THEN {'0.5' if k == 'Skills' else '1.0'} ELSE 0.0 END::DOUBLE}}" for k, t in _HAVE.items())}], recursive := true) FROM d""")
+def field_breakdown(spark, sf_dir):
+    d, _ = _quality(spark, sf_dir)
+    return d.select("c_custkey", F.inline(A.field_breakdown({k: F.expr(t) for k, t in _HAVE.items()}, {"Skills": F.lit(0.5)})))
+
+
+@query("SELECT o_custkey, list_filter([CASE WHEN nd > 1 THEN 'email:d' END, CASE WHEN ns > 1 THEN 'email:s' END], lambda x: x IS NOT NULL) AS repeated, list_filter(['a', 'b'], lambda f: CASE f WHEN 'a' THEN na > 1 ELSE nb > 1 END) AS conflicting FROM (SELECT o_custkey, count(*) FILTER (o_orderkey % 2 = 0) AS nd, count(*) FILTER (o_orderkey % 2 = 1) AS ns, count(DISTINCT o_orderstatus) FILTER (o_orderkey % 2 = 0) AS na, count(DISTINCT o_orderstatus) FILTER (o_orderkey % 2 = 1) AS nb FROM orders GROUP BY 1)")
+def quality_lists(spark, sf_dir):
+    """Values that a list holds twice, and fields that several sources gave."""
+    k = F.col("o_orderkey") % 2 == 0
+    d = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.when(k, "d").otherwise("s"))).alias("mails"), F.sort_array(F.collect_list(F.struct(F.when(k, "a").otherwise("b").alias("field"), F.col("o_orderstatus").alias("source")))).alias("proof"))
+    return d.select("o_custkey", A.repeated_values(F.col("mails"), "email").alias("repeated"), A.conflicting_fields(F.col("proof")).alias("conflicting"))
 
 
 @query("""SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')))::INTEGER AS emails_found, lang = 'en' AS has_headline,
@@ -488,6 +522,14 @@ def heatmap(spark, sf_dir):
     return first.select("user_id", "field", A.heat(F.col("v") / 200).alias("heat"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND round(o_totalprice / 400000, 2) < 0.85 THEN ['Validation Warning: Resolved duplicate candidate via probable fuzzy matching (score: ' || CAST(round(o_totalprice / 400000, 2) AS DOUBLE) || '). Manual review recommended.'] ELSE [] END AS warnings FROM orders""")
+def fuzzy_warnings(spark, sf_dir):
+    """Records joined by a probable match alone are told."""
+    none, mails = F.lit(None), F.array(F.lit("a@b.c"))
+    kind, score = F.when(F.col("o_orderkey") % 3 == 0, "fuzzy").otherwise("key"), F.round(F.col("o_totalprice") / 400000, 2)
+    return table(spark, sf_dir, "orders").select("o_orderkey", G.warnings(none.cast("array<struct<company:string,start:string,end:string>>"), none.cast("double"), none.cast("array<struct<institution:string,end_year:int>>"), mails, mails, kind, score).alias("warnings"))
+
+
 @query("""SELECT doc_id, quality, CASE doc_id % 4 WHEN 0 THEN 'single_source' WHEN 1 THEN 'source_priority' WHEN 2 THEN 'confidence' ELSE 'recency' END AS decision_rule, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 2 END AS sentences FROM labels""")
 def explanations(spark, sf_dir):
     k = F.col("doc_id") % 4
@@ -589,3 +631,376 @@ def duplicates_removed(spark, sf_dir):
 def schema_violations(spark, sf_dir):
     d = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, "").otherwise(F.col("o_orderstatus")).alias("status"), (F.col("o_totalprice") / 400000).alias("score"))
     return G.range_violations(d, ["score"], ["status"]).select("o_orderkey", "violation")
+
+
+# --- text: facts planted in whole texts of every row
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ['a' || c_custkey || '@b.com'] WHEN 1 THEN ['a' || c_custkey || '@b.com'] WHEN 2 THEN ['a' || c_custkey || '@b.org'] ELSE [] END AS emails FROM customer")
+def email_repair(spark, sf_dir):
+    """Blanks around @ and the last dot go, the end of a sentence stays."""
+    text = F.expr("concat('write to a', c_custkey, CASE c_custkey % 4 WHEN 0 THEN ' @ b.com now' WHEN 1 THEN '@b.com. Then rest' WHEN 2 THEN '@ b .org, soon' ELSE ' at b com' END)")
+    return table(spark, sf_dir, "customer").select("c_custkey", T.emails(text).alias("emails"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://x' || page_id || '.com/a' WHEN 1 THEN 'my' || page_id || '.org' END AS portfolio, CASE page_id % 3 WHEN 0 THEN ['https://p' || page_id || '.dev', 'https://q.io'] ELSE [] END AS other FROM pages")
+def link_sweep(spark, sf_dir):
+    """The first link that looks like a portfolio, and the others; mail providers and profiles are neither."""
+    text = F.expr("CASE page_id % 3 WHEN 0 THEN concat('see https://p', page_id, '.dev, then https://x', page_id, '.com/a. https://gmail.com https://linkedin.com/in/z https://q.io https://p', page_id, '.dev') WHEN 1 THEN concat('site my', page_id, '.org and mail gmail.com') ELSE 'none' END")
+    return table(spark, sf_dir, "pages").select("page_id", T.portfolio(text).alias("portfolio"), T.other_links(text).alias("other"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN c_mktsegment WHEN 1 THEN 'Berlin' WHEN 2 THEN 'Oslo' WHEN 3 THEN 'London' WHEN 4 THEN 'Chennai' END AS city, CASE c_custkey % 6 WHEN 0 THEN 'Bavaria' WHEN 1 THEN c_mktsegment WHEN 4 THEN 'Tamil Nadu' END AS region,
+  CASE c_custkey % 6 WHEN 0 THEN 'Germany' WHEN 2 THEN 'UK' WHEN 3 THEN 'GB' WHEN 4 THEN 'IN' END AS country FROM customer""")
+def location_text(spark, sf_dir):
+    """By label, by context, by known phrases and cities, and nowhere."""
+    text = F.expr("CASE c_custkey % 6 WHEN 0 THEN concat('Name: x\nLocation: ', c_mktsegment, ', Bavaria, Germany\nmore') WHEN 1 THEN concat('Currently based in Berlin, ', c_mktsegment, '. Else') WHEN 2 THEN 'she is from Oslo, UK.' WHEN 3 THEN 'he likes london much' WHEN 4 THEN 'at home: Chennai, Tamil Nadu' ELSE 'no place' END")
+    place = T.location(text)
+    return table(spark, sf_dir, "customer").select("c_custkey", *(F.get(place, F.lit(i)).alias(k) for i, k in enumerate(("city", "region", "country"))))
+
+
+@query("""SELECT c_custkey, unnest([{'company': 'Firm ' || c_mktsegment, 'title': 'Engineer', 'start': 'Jan 2020', 'end': 'Present', 'summary': 'Jan 2020 - Present Did ' || c_custkey || ' things'}, {'company': 'Oak' || c_custkey, 'title': 'Lead', 'start': '2015-03', 'end': '2019-12', 'summary': '2015-03 to 2019-12'},
+  {'company': 'Alone', 'title': 'Unknown Title', 'start': NULL, 'end': NULL, 'summary': 'Extracted from resume text.'}], recursive := true), 10.0::DOUBLE AS years FROM customer""")
+def experience_text(spark, sf_dir):
+    """Jobs of a work section, and the years between their starts and ends."""
+    text = F.expr("concat('Experience\n\nEngineer at Firm ', c_mktsegment, '\nJan 2020 - Present\nDid ', c_custkey, ' things\n\nLead | Oak', c_custkey, '\n2015-03 to 2019-12\n\nAlone\n\nEducation\nx')")
+    d = table(spark, sf_dir, "customer").select("c_custkey", T.experience(text).alias("jobs"))
+    return d.select("c_custkey", T.years_of(F.col("jobs")).alias("years"), F.inline("jobs"))
+
+
+@query("""SELECT c_custkey, unnest([{'institution': 'Hill University ' || c_mktsegment, 'degree': 'MS', 'field': trim(left('Weaving' || chr(10) || 'Hill University ' || c_mktsegment || chr(10), 30), ' ' || chr(10)), 'end_year': 2015}, {'institution': 'Unknown Institution', 'degree': 'PhD', 'field': NULL, 'end_year': NULL}], recursive := true) FROM customer""")
+def education_text(spark, sf_dir):
+    text = F.expr("concat('Education\nMS in Weaving\nHill University ', c_mktsegment, '\n2011 - 2015\n\nPhD\n\nSkills\nx')")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.inline(T.education(text)))
+
+
+# --- structured sources: a JSON profile of every customer, in several shapes
+
+
+def _profiles_json(spark: SparkSession, sf_dir: str, years: bool = False) -> DataFrame:
+    """Payloads of JSON profiles: below `profile`, at the root or first in a list; keys, lists and objects vary with the customer."""
+    k = "c_custkey"
+    parts = [
+        f"""concat('"', CASE {k} % 3 WHEN 0 THEN 'Name' WHEN 1 THEN 'candidate_name' ELSE 'FULL_NAME' END, '": "', c_name, '"')""",
+        f"""CASE {k} % 4 WHEN 0 THEN concat('"email": "e', {k}, '@x.org"') WHEN 1 THEN concat('"emails": ["e', {k}, '@x.org", "", "f', {k}, '@x.org"]') WHEN 2 THEN concat('"email_addresses": ["g', {k}, '@x.org"]') ELSE '"emails": []' END""",
+        f"""CASE {k} % 3 WHEN 0 THEN '"location": "Pune, India"' WHEN 1 THEN concat('"location": {{"town": "T', {k}, '", "state": "S", "country_code": "de"}}') ELSE '"location": ["A", "B", "C"]' END""",
+        f"""CASE {k} % 2 WHEN 0 THEN concat('"links": ["https://linkedin.com/in/l', {k}, '", "https://d', {k}, '.dev", "https://github.com/g', {k}, '"]') ELSE concat('"social_links": {{"portfolio": "https://p', {k}, '.io", "other": ["https://o', {k}, '.me"]}}') END""",
+        f"""concat('"skills": ["js", {{"name": "s', {k} % 5, '"}}, ""]')""",
+        f"""concat(CASE {k} % 3 WHEN 0 THEN '"bio"' WHEN 1 THEN '"summary"' ELSE '"Headline"' END, ': "h', {k}, '"')""",
+        f"""concat('"employment": [{{"employer": "F', {k}, '", "job_title": "T", "start_date": "2020-01", "description": "d"}}, {{"title": "U"}}]')""",
+        f"""concat('"academic": [{{"school": "U', {k}, '", "degree_name": "MS", "major": "M", "grad_year": "2015"}}, {{"degree": "BS", "year": "soon"}}]')""",
+    ]
+    if years:
+        parts.append(f"""CASE {k} % 4 WHEN 0 THEN '"years_experience": 3.5' WHEN 1 THEN '"experience_years": "4"' WHEN 2 THEN '"years_experience": "many"' ELSE '"years": 1' END""")
+    body = "concat('{', " + ", ', ', ".join(parts) + ", '}')"
+    content = f"""CASE {k} % 3 WHEN 0 THEN concat('{{"Profile": ', {body}, '}}') WHEN 1 THEN {body} ELSE concat('[', {body}, ', {{"name": "second"}}]') END"""
+    return table(spark, sf_dir, "customer").select(F.lit("ats_profile.json").alias("source"), F.lit("json").alias("content_type"), F.expr(content).alias("content"), F.lit(None).cast("timestamp").alias("ingest_ts"), F.col("c_custkey").alias("ingest_seq"), F.lit(None).cast("string").alias("error"))
+
+
+@query("SELECT c_custkey, c_name AS full_name, 'h' || c_custkey AS headline, 'structured_map' AS method, 1.0::DOUBLE AS confidence FROM customer")
+def json_profiles(spark, sf_dir):
+    """Roots, lists and `profile`, keys in any case and by any synonym."""
+    return extract(_profiles_json(spark, sf_dir)).select(F.col("seq").alias("c_custkey"), "full_name", "headline", "method", "confidence")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ['e' || c_custkey || '@x.org'] WHEN 1 THEN ['e' || c_custkey || '@x.org', 'f' || c_custkey || '@x.org'] WHEN 2 THEN ['g' || c_custkey || '@x.org'] ELSE [] END AS emails FROM customer")
+def json_scalar_or_list(spark, sf_dir):
+    return extract(_profiles_json(spark, sf_dir)).select(F.col("seq").alias("c_custkey"), "emails")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN ['Pune', NULL, 'India'] WHEN 1 THEN ['T' || c_custkey, 'S', 'de'] ELSE ['A', 'B', 'C'] END AS location FROM customer")
+def json_location(spark, sf_dir):
+    return extract(_profiles_json(spark, sf_dir)).select(F.col("seq").alias("c_custkey"), "location")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'https://linkedin.com/in/l' || c_custkey END AS linkedin, CASE WHEN c_custkey % 2 = 0 THEN 'https://github.com/g' || c_custkey END AS github, CASE WHEN c_custkey % 2 = 1 THEN 'https://p' || c_custkey || '.io' END AS portfolio, CASE WHEN c_custkey % 2 = 0 THEN ['https://d' || c_custkey || '.dev'] ELSE ['https://o' || c_custkey || '.me'] END AS other FROM customer")
+def json_links(spark, sf_dir):
+    return extract(_profiles_json(spark, sf_dir)).select(F.col("seq").alias("c_custkey"), "links.*")
+
+
+@query("SELECT c_custkey, ['js', 's' || c_custkey % 5] AS skills, 'F' || c_custkey AS latest_company FROM customer")
+def json_skills(spark, sf_dir):
+    """Skills as strings and objects, and the company of the first job."""
+    return extract(_profiles_json(spark, sf_dir)).select(F.col("seq").alias("c_custkey"), "skills", latest_company().alias("latest_company"))
+
+
+@query("SELECT c_custkey, unnest([{'company': 'F' || c_custkey, 'title': 'T', 'start': '2020-01', 'end': NULL, 'summary': 'd'}, {'company': 'Unknown Company', 'title': 'U', 'start': NULL, 'end': NULL, 'summary': NULL}], recursive := true) FROM customer")
+def json_experience(spark, sf_dir):
+    return extract(_profiles_json(spark, sf_dir)).select(F.col("seq").alias("c_custkey"), F.inline("experience"))
+
+
+@query("SELECT c_custkey, unnest([{'institution': 'U' || c_custkey, 'degree': 'MS', 'field': 'M', 'end_year': 2015}, {'institution': 'Unknown Institution', 'degree': 'BS', 'field': NULL, 'end_year': NULL}], recursive := true) FROM customer")
+def json_education(spark, sf_dir):
+    return extract(_profiles_json(spark, sf_dir)).select(F.col("seq").alias("c_custkey"), F.inline("education"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 3.5 WHEN 1 THEN 4.0 END::DOUBLE AS years, CASE WHEN c_custkey % 4 = 2 THEN 'could not convert string to float: ' || chr(39) || 'many' || chr(39) END AS error FROM customer""")
+def number_rejection(spark, sf_dir):
+    """A source whose number isn't one is rejected with the reason."""
+    return extract(_profiles_json(spark, sf_dir, years=True), rejected=True).select(F.col("seq").alias("c_custkey"), F.col("years_experience").alias("years"), "error")
+
+
+@query("SELECT c_custkey, c_name AS full_name, CASE c_custkey % 4 WHEN 3 THEN [] WHEN 2 THEN ['g' || c_custkey || '@x.org'] WHEN 1 THEN ['e' || c_custkey || '@x.org', 'f' || c_custkey || '@x.org'] ELSE ['e' || c_custkey || '@x.org'] END AS emails, CASE c_custkey % 3 WHEN 0 THEN 'IN' WHEN 1 THEN 'DE' ELSE 'C' END AS country, ['JavaScript', 's' || c_custkey % 5] AS skills, '2020-01' AS start FROM customer")
+def normalize_records(spark, sf_dir):
+    """Extracted profiles in normal forms; what isn't a contact is dropped."""
+    d = normalized(extract(_profiles_json(spark, sf_dir)))
+    return d.select(F.col("seq").alias("c_custkey"), "full_name", "emails", "country", "skills", F.get("experience", F.lit(0)).getField("start").alias("start"))
+
+
+# --- sources: written from a table, then scanned
+
+
+def _put(spark: SparkSession, path: str, data: bytes) -> str:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(data)
+    out.close()
+    return path
+
+
+@query("SELECT s_suppkey, s_name AS full_name, ['s' || s_suppkey || '@x.org'] AS emails, CASE WHEN s_suppkey % 2 = 0 THEN 'Firm, \"' || s_nationkey || '\"' ELSE 'Unknown Company' END AS company, CASE WHEN s_suppkey % 3 = 0 THEN 'Boss' ELSE 'Unknown Title' END AS title, 'csv' AS content_type, 'structured_map' AS method, 1.0::DOUBLE AS confidence FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, s_name, ['s' || s_suppkey || '@x.org'], NULL, NULL, 'csv', 'structured_map', 1.0 FROM supplier WHERE s_suppkey % 2 <> 0 AND s_suppkey % 3 <> 0")
+def csv_scan(spark, sf_dir):
+    """Suppliers written as a CSV export with a header and quotes, scanned as a source; a row without company and title has no job."""
+    path = f"{new_folder(spark, 'scan')}/recruiter_export.csv"
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("Nr"), F.col("s_name").alias("Name"), F.expr("concat('s', s_suppkey, '@x.org')").alias("EMAIL"), F.expr("CASE WHEN s_suppkey % 2 = 0 THEN concat('Firm, \"', s_nationkey, '\"') END").alias("Current_Company"), F.expr("CASE WHEN s_suppkey % 3 = 0 THEN 'Boss' END").alias("title"))
+    rows.write.options(header=True, escape='"').csv(path)
+    payloads, _ = readers.read(spark, [path])
+    nr = F.regexp_extract(F.get("emails", F.lit(0)), "s([0-9]+)@", 1).cast("bigint")
+    job = F.get("experience", F.lit(0))
+    return extract(payloads).select(nr.alias("s_suppkey"), "full_name", "emails", job["company"].alias("company"), job["title"].alias("title"), "content_type", "method", "confidence")
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS full_name, CASE WHEN n_nationkey % 5 = 0 THEN 'Malformed JSON: Expecting '','' delimiter at line 1, column ' || (length('{"nr": ' || n_nationkey || ', "name": "' || n_name || '"') + 1) END AS error FROM nation
+UNION ALL SELECT -1, 'lost.json', 'missing'""")
+def json_scan(spark, sf_dir):
+    """A file per nation, each fifth without its last brace: rejected rows, not a failed run; and a file that isn't there."""
+    folder = f"{new_folder(spark, 'scan')}/profiles.json"
+    text = F.expr("""concat('{"nr": ', n_nationkey, ', "name": "', n_name, '"', CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE '}' END)""")
+    table(spark, sf_dir, "nation").select(text.alias("value")).coalesce(1).write.option("maxRecordsPerFile", 1).text(folder)
+    payloads, missing = readers.read(spark, [folder, f"{folder}/lost.json"])
+    found = extract(payloads, rejected=True).join(payloads.select(F.col("ingest_seq").alias("seq"), F.regexp_extract("content", "([0-9]+)", 1).cast("int").alias("n_nationkey")), "seq")
+    lost = spark.createDataFrame([(-1, m.rsplit("/", 1)[-1], "missing") for m in missing], "n_nationkey int, full_name string, error string")
+    return found.select("n_nationkey", "full_name", "error").unionByName(lost)
+
+
+def _docx(*paragraphs: str) -> bytes:
+    out = io.BytesIO()
+    body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def _pdf(*lines: str) -> bytes:
+    shown = zlib.compress(("BT /F1 12 Tf 14 TL 72 720 Td " + " ".join(f"({x}) Tj T*" for x in lines) + " ET").encode())
+    return b"%PDF-1.4\n1 0 obj\n<</Length " + str(len(shown)).encode() + b" /Filter /FlateDecode>>\nstream\n" + shown + b"\nendstream\nendobj\n%%EOF"
+
+
+@query("SELECT r_regionkey, r_name AS full_name, unnest(['txt', 'docx', 'pdf']) AS content_type, ['r' || r_regionkey || '@x.org'] AS emails, ['Python'] AS skills, 'regex_heuristics' AS method, 0.6::DOUBLE AS confidence FROM region")
+def document_scan(spark, sf_dir):
+    """Regions (five rows at every scale) as notes, DOCX and PDF files, scanned together by their extensions."""
+    folder, paths = new_folder(spark, "scan"), []
+    for r in table(spark, sf_dir, "region").collect():
+        lines = [f"Name: {r.r_name}", f"Email: r{r.r_regionkey}@x.org", "knows Python"]
+        paths += [_put(spark, f"{folder}/{r.r_regionkey}.{kind}", data) for kind, data in (("txt", "\n".join(lines).encode()), ("docx", _docx(*lines)), ("pdf", _pdf(*lines)))]
+    payloads, _ = readers.read(spark, paths)
+    key = F.regexp_extract(F.get("emails", F.lit(0)), "r([0-9]+)@", 1).cast("int")
+    return extract(payloads).select(key.alias("r_regionkey"), "full_name", "content_type", "emails", "skills", "method", "confidence")
+
+
+@query("SELECT '{\"c_custkey\":' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ',\"name\":\"' || c_name || '\"' END || '}' AS line FROM customer")
+def json_sink(spark, sf_dir):
+    """Projected records written as JSON lines, missing values left out, and read back as they stand."""
+    path = new_folder(spark, "sink")
+    sinks.write_json(table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("name")), path, omit_missing=True)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+# --- jobs of an entity: its orders, alike by status
+
+
+def _order_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    none = F.lit(None).cast("string")
+    return o.select(
+        F.col("o_custkey").alias("entity"), F.col("o_orderkey").alias("seq"), F.lit(0).alias("pos"), F.col("o_orderpriority").alias("source"), F.lit("m").alias("method"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("priority"), F.col("o_totalprice").alias("confidence"),
+        F.col("o_orderkey").alias("ts"), F.concat(F.lit("Firm "), "o_orderstatus").alias("company"), none.alias("title"), F.date_format("o_orderdate", "yyyy-MM").alias("start"), none.alias("end"), F.col("o_orderkey").cast("string").alias("summary"),
+    )
+
+
+_JOBS = "WITH j AS (SELECT o_custkey AS entity, o_orderkey AS seq, o_orderpriority AS source, CAST(left(o_orderpriority, 1) AS INTEGER) AS priority, o_totalprice AS confidence, 'Firm ' || o_orderstatus AS company, strftime(o_orderdate, '%Y-%m') AS start, CAST(o_orderkey AS VARCHAR) AS summary FROM orders)"
+
+
+@query(f"{_JOBS} SELECT entity, company, arg_max(start, row(priority, confidence, seq)) AS start, arg_max(summary, row(priority, confidence, seq)) AS summary, CAST(row_number() OVER (PARTITION BY entity ORDER BY min(seq)) - 1 AS INTEGER) AS pos, count(DISTINCT source) AS n_sources FROM j GROUP BY entity, company")
+def collections_merge(spark, sf_dir):
+    """Each customer's orders as jobs: those of one status are one job, each field of which survives on its own."""
+    return C.collections(_order_jobs(spark, sf_dir), "experience").select("entity", "company", "start", "summary", "pos", F.size("sources").cast("bigint").alias("n_sources"))
+
+
+@query(f"""{_JOBS}, s AS (SELECT *, arg_max(row(seq, source, priority, confidence, start, summary), row(priority, confidence, seq)) OVER (PARTITION BY entity, company ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM j),
+t AS (SELECT entity, seq, source, priority, confidence, start, summary, w[1] AS w_seq, w[2] AS w_source, w[3] AS w_priority, w[4] AS w_confidence, w[5] AS w_start, w[6] AS w_summary, row(priority, confidence) >= row(w[3], w[4]) AS win FROM s WHERE w IS NOT NULL)
+SELECT entity, 'experience' AS field, seq, w_source AS source_a, source AS source_b, CASE WHEN win THEN source ELSE w_source END AS winner_source, a AS value_a, b AS value_b, CASE WHEN win THEN b ELSE a END AS winning_value, CASE WHEN priority <> w_priority THEN 'source_priority' WHEN confidence <> w_confidence THEN 'confidence' ELSE 'recency' END AS decision_rule
+FROM (SELECT *, w_start AS a, start AS b FROM t UNION ALL SELECT *, w_summary, summary FROM t) WHERE replace(a, '-', '') <> replace(b, '-', '')""")
+def collection_conflicts(spark, sf_dir):
+    return C.conflicts(_order_jobs(spark, sf_dir), "experience").select("entity", "field", "seq", "source_a", "source_b", "winner_source", "value_a", "value_b", "winning_value", "decision_rule")
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN p_size % 2 = 0 ELSE false END AS same_job, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN p_size % 2 = 0 ELSE false END AS same_study FROM part""")
+def same_items(spark, sf_dir):
+    """Names that hold each other but for blanks and case, and titles or degrees likewise; without one, companies must be equal."""
+    name = F.when(F.col("p_size") % 3 == 2, F.lit("Elsewhere 9")).otherwise(F.upper(F.concat("p_brand", F.when(F.col("p_size") % 3 == 0, F.lit(" Ltd")).otherwise(F.lit("")))))
+    other = F.when(F.col("p_size") % 3 == 0, F.lit("senior dev")).when(F.col("p_size") % 2 == 1, F.lit("clerk"))
+    job = C.same_experience(F.col("p_brand"), F.lit("Dev"), name, other)
+    study = C.same_education(F.col("p_brand"), F.lit("Dev"), name, other)
+    return table(spark, sf_dir, "part").select("p_partkey", job.alias("same_job"), study.alias("same_study"))
+
+
+# --- the whole run: two sources about every customer
+
+
+def _golden_run(spark: SparkSession, sf_dir: str) -> Run:
+    """An export's row and a JSON profile of each customer share an address; every third profile comes from a more trusted source."""
+    c = table(spark, sf_dir, "customer")
+    row = "to_json(named_struct('name', c_name, 'email', concat('m', c_custkey, '@x.org'), 'phone', concat('98', lpad(c_custkey, 8, '0')), 'current_company', concat('Firm ', c_mktsegment), 'title', 'engineer'))"
+    profile = """concat('{"profile": {"name": "', CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE concat('Client ', c_custkey) END, '", "emails": ["m', c_custkey, '@x.org", "o', c_custkey, '@x.org"], "location": {"city": "City', c_nationkey, '", "country": "germany"}, "skills": ["js", "s', c_custkey % 5, '"],
+      "links": {"github": "https://github.com/u', c_custkey, '"}, "experience": [{"company": "firm ', c_mktsegment, ' ltd", "title": "Senior Engineer", "start": "2020-01", "end": "2019-05", "summary": "did"}], "education": [{"school": "U', c_nationkey, '", "degree": "MS", "grad_year": "2015"}]}}')"""
+    both = "array(named_struct('source', 'recruiter_export.csv', 'content_type', 'csv', 'content', {0}, 'nr', 0), named_struct('source', CASE WHEN c_custkey % 3 = 0 THEN 'recruiter_notes.txt' ELSE 'ats_profile.json' END, 'content_type', 'json', 'content', {1}, 'nr', 1))".format(row, profile)
+    payloads = c.select("c_custkey", F.inline(F.expr(both))).select("source", "content_type", "content", F.lit(None).cast("timestamp").alias("ingest_ts"), (F.col("c_custkey") * 2 + F.col("nr")).alias("ingest_seq"), F.lit(None).cast("string").alias("error"))
+    return run(payloads, fuzzy=False)
+
+
+_WHO = "CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Client ' || c_custkey END"
+_BETTER = "CASE WHEN c_custkey % 3 = 0 THEN 'recruiter_notes.txt' ELSE 'ats_profile.json' END"
+_WHY = "CASE WHEN c_custkey % 3 = 0 THEN 'Source priority (recruiter_notes.txt: 30) > (recruiter_export.csv: 20)' ELSE 'Recency tie-breaker (incoming newer)' END"
+_PHONE = "'+9198' || lpad(CAST(c_custkey AS VARCHAR), 8, '0')"
+
+
+@query(f"""SELECT c_custkey, 2::BIGINT AS records, {_WHO} AS full_name, ['m' || c_custkey || '@x.org', 'o' || c_custkey || '@x.org'] AS emails, [{_PHONE}] AS phones, ['City' || c_nationkey, NULL, 'DE'] AS location, 'https://github.com/u' || c_custkey AS github, ['JavaScript', 's' || c_custkey % 5] AS skills,
+  ['firm ' || c_mktsegment || ' ltd'] AS companies, ['U' || c_nationkey] AS schools, 1.0::DOUBLE AS overall_confidence, ['Validation Warning: Job at ''firm ' || c_mktsegment || ' ltd'' has end_date before start_date (2019-05 < 2020-01).'] AS validation_warnings, 0.9::DOUBLE AS data_quality_score, 12 AS n_provenance, 'key' AS match_type FROM customer""")
+def golden_records(spark, sf_dir):
+    """Extraction, normal forms, identity, survivorship, items, checks and scores in one run."""
+    g = _golden_run(spark, sf_dir).golden
+    names = lambda c, f: F.transform(c, lambda x: x[f])
+    kinds = F.size(F.array_distinct(F.transform("provenance", lambda p: F.concat_ws("|", p["field"], p["source"]))))
+    return g.select((F.col("entity") / 2).cast("bigint").alias("c_custkey"), "records", "full_name", "emails", "phones", "location", F.col("links.github").alias("github"), names("skills", "name").alias("skills"), names("experience", "company").alias("companies"), names("education", "institution").alias("schools"), "overall_confidence", "validation_warnings", "data_quality_score", kinds.alias("n_provenance"), F.lit("key").alias("match_type"))
+
+
+_SURVIVORS = f"""
+  SELECT c_custkey, 'full_name' AS field, {_WHO} AS value, {_BETTER} AS source, {_WHY} AS decision_reason FROM customer
+  UNION ALL SELECT c_custkey, 'city', 'City' || c_nationkey, {_BETTER}, 'Single source populated' FROM customer
+  UNION ALL SELECT c_custkey, 'country', 'DE', {_BETTER}, 'Single source populated' FROM customer
+  UNION ALL SELECT c_custkey, 'github', 'https://github.com/u' || c_custkey, {_BETTER}, 'Single source populated' FROM customer
+  UNION ALL SELECT c_custkey, 'emails', 'm' || c_custkey || '@x.org', {_BETTER}, 'Resolved by priority, confidence and recency' FROM customer
+  UNION ALL SELECT c_custkey, 'emails', 'o' || c_custkey || '@x.org', {_BETTER}, 'Single source populated' FROM customer
+  UNION ALL SELECT c_custkey, 'phones', {_PHONE}, 'recruiter_export.csv', 'Initial profile value' FROM customer
+  UNION ALL SELECT c_custkey, 'skills', unnest(['JavaScript', 's' || c_custkey % 5]), {_BETTER}, 'Single source populated' FROM customer
+  UNION ALL SELECT c_custkey, 'experience.company', 'firm ' || c_mktsegment || ' ltd', {_BETTER}, {_WHY} FROM customer
+  UNION ALL SELECT c_custkey, 'experience.title', 'Senior Engineer', {_BETTER}, {_WHY} FROM customer
+  UNION ALL SELECT c_custkey, 'experience.summary', 'did', {_BETTER}, {_WHY} FROM customer
+  UNION ALL SELECT c_custkey, 'experience.start', '2020-01', {_BETTER}, 'Single source populated' FROM customer
+  UNION ALL SELECT c_custkey, 'experience.end', '2019-05', {_BETTER}, 'Single source populated' FROM customer
+  UNION ALL SELECT c_custkey, 'education.institution', 'U' || c_nationkey, {_BETTER}, NULL FROM customer
+  UNION ALL SELECT c_custkey, 'education.degree', 'MS', {_BETTER}, NULL FROM customer
+  UNION ALL SELECT c_custkey, 'education.end_year', '2015', {_BETTER}, NULL FROM customer"""
+
+
+@query(_SURVIVORS)
+def golden_provenance(spark, sf_dir):
+    """Of every surviving value its source and the reason of the last decision about it."""
+    return _golden_run(spark, sf_dir).provenance.select((F.col("entity") / 2).cast("bigint").alias("c_custkey"), "field", "value", "source", "decision_reason")
+
+
+@query(f"""WITH p AS ({_SURVIVORS}), told AS (
+  SELECT c_custkey, CASE field WHEN 'full_name' THEN 'Full Name' WHEN 'city' THEN 'Location — City' WHEN 'country' THEN 'Location — Country' WHEN 'github' THEN 'GitHub URL' WHEN 'emails' THEN 'Email' WHEN 'phones' THEN 'Phone' WHEN 'skills' THEN 'Skill: ' || value WHEN 'experience.summary' THEN 'Experience: firm ' || c_mktsegment || ' ltd' END AS field, value, source, decision_reason
+  FROM p JOIN customer USING (c_custkey)
+)
+SELECT c_custkey, field, source AS winner_source, 1.0::DOUBLE AS winner_confidence, value AS winner_value_preview,
+  CASE WHEN decision_reason LIKE 'Source%' OR decision_reason LIKE 'Resolved%' THEN 'source_priority' WHEN decision_reason LIKE 'Recency%' THEN 'recency' ELSE 'single_source' END AS decision_rule,
+  CASE WHEN decision_reason LIKE 'Source%' OR decision_reason LIKE 'Resolved%' THEN ['Source priority comparison: ' || decision_reason, 'Higher priority sources override lower priority ones for this field.'] WHEN decision_reason LIKE 'Recency%' THEN ['Source priority and confidence were equal.', 'The more recently processed source was selected as the tie-breaker.'] ELSE ['Only one source provided this field — no conflict resolution required.'] END AS reasons
+FROM told WHERE field IS NOT NULL""")
+def decision_explanations(spark, sf_dir):
+    found = explain(_golden_run(spark, sf_dir))
+    return found.select((F.col("entity") / 2).cast("bigint").alias("c_custkey"), "field", "winner_source", "winner_confidence", "winner_value_preview", "decision_rule", "reasons")
+
+
+@query(f"""SELECT c_custkey, field, a AS value_a, b AS value_b, {_BETTER} AS winner_source, b AS winning_value, CASE WHEN c_custkey % 3 = 0 THEN 'source_priority' ELSE 'recency' END AS decision_rule FROM (
+  SELECT c_custkey, 'full_name' AS field, c_name AS a, 'Client ' || c_custkey AS b FROM customer WHERE c_custkey % 2 = 1
+  UNION ALL SELECT c_custkey, 'experience', 'Firm ' || c_mktsegment, 'firm ' || c_mktsegment || ' ltd' FROM customer
+  UNION ALL SELECT c_custkey, 'experience', 'engineer', 'Senior Engineer' FROM customer
+  UNION ALL SELECT c_custkey, 'experience', 'Imported from recruiter CSV export.', 'did' FROM customer)""")
+def golden_conflicts(spark, sf_dir):
+    """Conflicts of scalars and of jobs, by the names that reports have for fields."""
+    found = _golden_run(spark, sf_dir).conflicts
+    return found.select((F.col("entity") / 2).cast("bigint").alias("c_custkey"), "field", "value_a", "value_b", "winner_source", "winning_value", "decision_rule")
+
+
+@query("SELECT least(count(*), 1) + max(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) + max(CASE WHEN c_custkey % 3 <> 0 THEN 1 ELSE 0 END) AS files_processed, 2 * count(*) AS records_parsed, (11 * count(*))::BIGINT AS fields_compared, (11 * count(*))::BIGINT AS fields_merged, (3 * count(*) + sum(c_custkey % 2))::BIGINT AS conflicts_detected, count(*) AS duplicates_removed, 5 AS validation_rules_executed, 0::BIGINT AS sources_rejected FROM customer")
+def pipeline_stats(spark, sf_dir):
+    return stats(_golden_run(spark, sf_dir))
+
+
+@query(f"""SELECT c_custkey, section, nr, label, value FROM (
+  SELECT c_custkey, 'Canonical Candidate Profile Golden Record Overview' AS section, unnest([{{'nr': 0, 'label': 'Name', 'value': {_WHO}}}, {{'nr': 1, 'label': 'Years Experience', 'value': 'N/A'}}, {{'nr': 2, 'label': 'Ingestion Confidence', 'value': '100%'}}, {{'nr': 3, 'label': 'Data Quality Score', 'value': '90%'}}, {{'nr': 4, 'label': 'Location', 'value': 'City' || c_nationkey || ', DE'}}], recursive := true) FROM customer
+  UNION ALL SELECT c_custkey, 'Contact Information & Digital Profiles', unnest([{{'nr': 0, 'label': 'Emails', 'value': 'm' || c_custkey || '@x.org, o' || c_custkey || '@x.org'}}, {{'nr': 1, 'label': 'Phones', 'value': {_PHONE}}}, {{'nr': 2, 'label': 'LinkedIn', 'value': 'None'}}, {{'nr': 3, 'label': 'GitHub', 'value': 'https://github.com/u' || c_custkey}}, {{'nr': 4, 'label': 'Portfolio', 'value': 'None'}}], recursive := true) FROM customer
+  UNION ALL SELECT c_custkey, 'Professional Summary', 0, NULL, 'No professional summary provided.' FROM customer
+  UNION ALL SELECT c_custkey, 'Canonical Skills', unnest([{{'nr': 0, 'label': 'JavaScript', 'value': '100%'}}, {{'nr': 1, 'label': 's' || c_custkey % 5, 'value': '100%'}}], recursive := true) FROM customer
+  UNION ALL SELECT c_custkey, 'Professional Experience', 0, 'Senior Engineer at firm ' || c_mktsegment || ' ltd (2020-01 — 2019-05)', 'did' FROM customer
+  UNION ALL SELECT c_custkey, 'Academic Qualifications', 0, NULL, 'U' || c_nationkey || ' — MS (Class of 2015)' FROM customer
+  UNION ALL SELECT c_custkey, 'Pipeline Integrity Warnings', 0, NULL, 'Validation Warning: Job at ''firm ' || c_mktsegment || ' ltd'' has end_date before start_date (2019-05 < 2020-01).' FROM customer)""")
+def report_sections(spark, sf_dir):
+    """The data of a report on every golden record, but for the lines of provenance and metadata (golden_provenance has the former)."""
+    g = _golden_run(spark, sf_dir).golden
+    found = A.report_sections(g).join(g.select("candidate_id", (F.col("entity") / 2).cast("bigint").alias("c_custkey")), "candidate_id")
+    return found.filter(~F.col("section").isin(X.REPORT["provenance"], X.REPORT["metadata"])).select("c_custkey", "section", "nr", "label", "value")
+
+
+@query(f"""SELECT c_custkey, 0.75::DOUBLE AS completeness_score, ['Headline / Summary', 'Years Experience', 'LinkedIn', 'Portfolio'][1:0] AS duplicate_fields, 1.0::DOUBLE AS merge_quality_score, 0.85::DOUBLE AS validity_score, ['Headline / Summary', 'Years Experience', 'LinkedIn', 'Portfolio'] AS missing_fields FROM customer""")
+def golden_quality(spark, sf_dir):
+    found = quality(_golden_run(spark, sf_dir))
+    return found.select((F.col("entity") / 2).cast("bigint").alias("c_custkey"), F.round("completeness_score", 2).alias("completeness_score"), "duplicate_fields", "merge_quality_score", "validity_score", "missing_fields")
+
+
+# --- projection: what the rest of its grammar does
+
+
+@query(f"""
+SELECT key, CASE WHEN length(digits) < 7 OR replace(digits, left(digits, 1), '') = '' OR digits IN ('1234567890', '0123456789', '9876543210') THEN NULL
+  WHEN starts_with(bare, '+') THEN bare WHEN starts_with(bare, '00') THEN '+' || substr(bare, 3) WHEN length(digits) = 10 THEN '+91' || digits ELSE '+' || digits END AS tel, raw AS kept, raw AS as_object
+FROM (SELECT key, raw, bare, regexp_replace(bare, '\\D', '', 'g') AS digits FROM (
+  SELECT o_orderkey AS key, {_PHONE_RAW} AS raw, regexp_replace(regexp_replace({_PHONE_RAW}, '(?i)\\s*(?:ext\\.?|x|extension)\\s*\\d+', '', 'g'), '[()\\-\\s.]', '', 'g') AS bare FROM orders))""")
+def project_e164(spark, sf_dir):
+    """Phones by E.164; an unknown rule or type leaves the value as it is; nothing required is missing, so the strict policy passes."""
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.expr(_PHONE_RAW.replace("VARCHAR", "STRING")).alias("raw"))
+    return project(d, _config({"path": "key", "required": True}, {"path": "tel", "from": "raw", "normalize": "E164"}, {"path": "kept", "from": "raw", "normalize": "what", "required": True}, {"path": "as_object", "from": "raw", "type": "object"}, on_missing="error"))
+
+
+# --- streaming, an extension: the same winners, found increment by increment
+
+
+def _streamed(spark: SparkSession, sf_dir: str, make, mode: str) -> DataFrame:
+    """What a stream over `events` has given when all there is has been read."""
+    folder = new_folder(spark, "stream")
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    claims = events.select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("source"), F.col("value").alias("confidence"), "ts", F.get_json_object("props", "$.k").alias("value"))
+    out = make(V.with_priority(claims.filter("user_id is not null"), priorities=EVENT_PRIORITIES))
+
+    def keep(batch: DataFrame, nr: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={nr}")
+
+    q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    q.awaitTermination()
+    found = spark.read.schema(out.schema).parquet(f"{folder}/out")
+    return found.filter(F.col("batch") == found.agg(F.max("batch")).first()[0]).drop("batch") if mode == "complete" else found.drop("batch")
+
+
+@query(f"{_CLAIMS} SELECT user_id, value, source, confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id {_ORDER}) AS nr FROM claims) WHERE nr = 1")
+def streaming_scalar(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda c: streaming_winners(c, "user_id", carry=["source", "confidence"]), "complete")
+
+
+@query(f"{_CLAIMS} SELECT from_ts, user_id, value FROM (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS from_ts, row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL '1 hour', ts) {_ORDER}) AS nr FROM claims) WHERE nr = 1 AND from_ts + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '2 hours' FROM claims)")
+def streaming_windows(spark, sf_dir):
+    """Winners of the hours that the watermark has closed."""
+    return _streamed(spark, sf_dir, lambda c: windowed_winners(c, "user_id", "1 hour", "2 hours"), "append")

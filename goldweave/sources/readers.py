@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable
 from xml.etree import ElementTree
 
@@ -49,7 +50,9 @@ def extension_of(path: str) -> str:
 
 
 def _payload(df: DataFrame, kind: str, content: Column, error: Column | None = None) -> DataFrame:
+    """Payload columns, and `path`, the whole path, by which read() orders files of equal names."""
     return df.select(
+        F.col("_metadata.file_path").alias("path"),
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source"),
         F.lit(kind).alias("content_type"),
         content.alias("content"),
@@ -64,18 +67,38 @@ def _whole(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"), "_metadata")
 
 
+def _header(spark: SparkSession, path: str) -> str:
+    """The first line of a file, or of the first file with one in a folder; read by the driver without a job."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for one in fs.listStatus(top) if fs.getFileStatus(top).isDirectory() else [fs.getFileStatus(top)]:
+        if one.isFile() and not one.getPath().getName().startswith(("_", ".")):
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(one.getPath()), "UTF-8"))
+            try:
+                if (line := lines.readLine()) is not None:
+                    return line
+            finally:
+                lines.close()
+    return ""
+
+
 @reader(".csv")
 def read_csv(spark: SparkSession, paths: list[str], first_row_only: bool = False) -> DataFrame:
     """A payload per row, all columns strings with lower-cased names; an empty file gives none.
 
-    first_row_only: the first row of each file alone.  Files are read one schema at a time.
+    first_row_only: the first row of each file alone.  Files of one header are read together.
     """
-    parts = []
+    alike: dict[str, list[str]] = {}
     for path in paths:
-        df = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8").csv(path)
-        if df.columns:
-            named = [F.col(f"`{c}`").alias(c.strip().lower().lstrip("﻿")) for c in df.columns]
-            parts.append(_payload(df.limit(1) if first_row_only else df, "csv", F.to_json(F.struct(*named))))
+        if header := _header(spark, path):
+            alike.setdefault(header if not first_row_only else path, []).append(path)
+    parts = []
+    for own in alike.values():
+        df = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8").csv(own[0])
+        df = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8").schema(df.schema).csv(own) if len(own) > 1 else df
+        named = [F.col(f"`{c}`").alias(c.strip().lower().lstrip("\ufeff")) for c in df.columns]
+        parts.append(_payload(df.limit(1) if first_row_only else df, "csv", F.to_json(F.struct(*named))))
     return _union(spark, parts)
 
 
@@ -115,18 +138,67 @@ def docx_text(data: bytes) -> str:
 
 
 def pdf_text(data: bytes) -> str:
-    """Text of all pages around page marks; needs the optional package pdfplumber."""
-    import pdfplumber
+    """Text of all pages around page marks: by the optional package pdfplumber, or else what simple content streams show."""
+    try:
+        import pdfplumber
+    except ModuleNotFoundError:
+        pages = shown_text(data)
+    else:
+        pages = []
+        with pdfplumber.open(io.BytesIO(data)) as pdf:
+            for page in pdf.pages:
+                try:
+                    pages.append(page.extract_text() or "")
+                except Exception:  # a bad page costs its own text only
+                    continue
+    text = "\n--- PAGE BREAK ---\n".join(p for p in pages if p)
+    return text or "[No text: the file may be a scanned image]"
+
+
+_STRING = rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)"
+_SHOWN = re.compile(rb"(" + _STRING + rb")\s*(Tj|'|\")|\[((?:" + _STRING + rb"|<[0-9A-Fa-f\s]*>|[^\]()])*)\]\s*TJ|<([0-9A-Fa-f\s]*)>\s*Tj|\b(T\*|Td|TD|Tm|ET)(?![A-Za-z*])", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
 
+def _literal(raw: bytes) -> bytes:
+    def one(m: re.Match) -> bytes:
+        c = m[1]
+        return bytes([int(c, 8) & 255]) if c.isdigit() else b"" if c in (b"\n", b"\r\n") else _ESCAPES.get(c, c)
+
+    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", one, raw[1:-1], flags=re.S)
+
+
+def shown_text(data: bytes) -> list[str]:
+    """The strings that each content stream shows, in its order and with its line steps; fonts of one byte a letter."""
+    if not data.startswith(b"%PDF"):
+        raise ValueError("not a PDF file")
     pages = []
-    with pdfplumber.open(io.BytesIO(data)) as pdf:
-        for page in pdf.pages:
+    for m in re.finditer(rb"<<((?:[^<>]|<<[^<>]*>>|<[0-9A-Fa-f\s]*>)*)>>\s*stream\r?\n", data):
+        end = data.find(b"endstream", m.end())
+        raw = data[m.end() : end if end >= 0 else len(data)]
+        if b"/FlateDecode" in m[1]:
             try:
-                pages.append(page.extract_text() or "")
-            except Exception:  # a bad page costs its own text only
+                raw = zlib.decompressobj().decompress(raw)
+            except zlib.error:  # a bad stream costs its own text only
                 continue
-    text = "\n--- PAGE BREAK ---\n".join(p for p in pages if p)
-    return text or "[No text: the file may be a scanned image]"
+        elif b"/Filter" in m[1]:
+            continue
+        if b"BT" not in raw:
+            continue
+        out = b""
+        for x in _SHOWN.finditer(raw):
+            if x[5]:
+                out += b"" if out.endswith(b"\n") or not out else b"\n"
+            elif x[3] is not None:
+                for piece in re.finditer(_STRING + rb"|<[0-9A-Fa-f\s]*>", x[3], re.S):
+                    out += _literal(piece[0]) if piece[0][:1] == b"(" else bytes.fromhex(re.sub(rb"\s", b"", piece[0][1:-1]).decode().ljust(2, "0"))
+            elif x[4] is not None:
+                out += bytes.fromhex(re.sub(rb"\s", b"", x[4]).decode())
+            else:
+                out += (b"\n" if x[2] != b"Tj" and out and not out.endswith(b"\n") else b"") + _literal(x[1])
+        if text := out.decode("cp1252", "replace").strip("\n"):
+            pages.append(text)
+    return pages
 
 
 def _binary(spark: SparkSession, paths: list[str], kind: str, decode: Callable[[bytes], str]) -> DataFrame:
@@ -142,8 +214,8 @@ def _binary(spark: SparkSession, paths: list[str], kind: str, decode: Callable[[
                     errors.append(f"{type(e).__name__}: {e}")
             yield b.assign(content=texts, error=errors)
 
-    raw = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("source"), F.lit(kind).alias("content_type"), "content", F.current_timestamp().alias("ingest_ts"), F.monotonically_increasing_id().alias("ingest_seq"), F.lit(None).cast("string").alias("error"))
-    return raw.mapInPandas(run, PAYLOAD)
+    raw = spark.read.format("binaryFile").load(paths).select("path", F.element_at(F.split("path", "/"), -1).alias("source"), F.lit(kind).alias("content_type"), "content", F.current_timestamp().alias("ingest_ts"), F.monotonically_increasing_id().alias("ingest_seq"), F.lit(None).cast("string").alias("error"))
+    return raw.mapInPandas(run, f"path string, {PAYLOAD}")
 
 
 @reader(".docx")
@@ -178,19 +250,32 @@ def _union(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _plain(path: Column) -> Column:
+    """A path as all readers write it: one slash after the scheme of local files, no marks for odd characters."""
+    return F.try_url_decode(F.regexp_replace(F.replace(path, F.lit("+"), F.lit("%2B")), "^file:/+", "file:/"))
+
+
 def read(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
-    """(payloads of all files in the order of `paths`, paths that don't exist): files of one kind are read together."""
+    """(payloads of all files in the order of `paths`, paths that don't exist): files of one kind are read together.
+
+    Files are told apart by their whole paths, so two may have one name; a path may be a folder whose name has the extension.
+    """
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-    found, missing = {}, []
+    found, missing, order = {}, [], []
     for i, path in enumerate(paths):
         p = hadoop.Path(path)
-        if p.getFileSystem(conf).exists(p):
-            found.setdefault(extension_of(path), []).append((i, path))
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            found.setdefault(extension_of(path), []).append(path)
+            order.append((fs.makeQualified(p).toUri().getPath(), i))
         else:
             missing.append(path)
-    parts = []
-    for ext, own in found.items():
-        order = F.create_map(*[F.lit(x) for i, path in own for x in (path.rsplit("/", 1)[-1], i)])
-        df = READERS[ext](spark, [path for _, path in own])
-        parts.append(df.withColumn("ingest_seq", F.try_element_at(order, F.col("source")).cast("bigint") * F.lit(1 << 40) + F.col("ingest_seq")))
-    return _union(spark, parts), missing
+    if not found:
+        return _union(spark, []), missing
+    places = spark.createDataFrame(order, "at string, place bigint").groupBy("at").agg(F.min("place").alias("place"))
+    all_rows = _union(spark, [READERS[ext](spark, own) for ext, own in found.items()]).withColumn("path", _plain(F.col("path")))
+    # the path without scheme and host, as a file of its own or in a folder
+    rows = all_rows.withColumn("path", F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    own, below = places.toDF("path", "own"), places.toDF("folder", "below")
+    placed = rows.join(own, "path", "left").join(below, "folder", "left")
+    return placed.withColumn("ingest_seq", F.coalesce("own", "below") * F.lit(1 << 40) + F.col("ingest_seq")).select(*_NAMES), missing

@@ -54,7 +54,7 @@ def _strings(v: Column, names: list[str]) -> Column:
 
 
 def lower_keys(json: Column) -> Column:
-    """JSON text with the keys in lower case: a name before a colon, wherever it stands."""
+    """JSON text with the keys in lower case: a name before a colon, at any depth, so that keys of jobs and studies fold as well."""
     parts = F.regexp_extract_all(json, F.lit(r'("(?:[^"\\]|\\.)*"\s*:?|[^"]+)'), 1)
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r'^".*:$'), F.lower(p)).otherwise(p)), "")
 
@@ -99,6 +99,14 @@ def _skills(v: Column) -> Column:
     return F.coalesce(F.filter(named, lambda s: F.length(s) > 0), F.array().cast("array<string>"))
 
 
+def bad_number(json: Column) -> Column:
+    """Why the years of experience of a profile are no number; null if they are one or missing."""
+    v = profile(json)
+    raw = F.coalesce(*[_get(v, k) for k in KEYS["years"]])
+    bad = (F.length(raw) > 0) & raw.try_cast("double").isNull()
+    return F.when(bad, F.concat(F.lit("could not convert string to float: '"), raw, F.lit("'")))
+
+
 def from_json(json: Column) -> dict[str, Column]:
     v = profile(json)
     years = F.coalesce(*[_get(v, k, "double") for k in KEYS["years"]])
@@ -137,12 +145,16 @@ def from_row(json: Column) -> dict[str, Column]:
     }
 
 
-def extract(payloads: DataFrame) -> DataFrame:
-    """Payloads with the facts of EXTRACTED; rejected ones (error not null) are left out."""
+def extract(payloads: DataFrame, rejected: bool = False) -> DataFrame:
+    """Payloads with the facts of EXTRACTED.  rejected: sources with an error, or a number that isn't one, are kept as rows with `error`."""
+    why = F.coalesce("error", F.when(F.col("content_type") == "json", bad_number(F.col("content"))))
+    payloads = payloads.withColumn("error", why) if rejected else payloads.filter(why.isNull())
     kinds = {"csv": from_row(F.col("content")), "json": from_json(F.col("content"))}
     texts = T.extract(F.coalesce("content", F.lit("")))
     pick = lambda c, t: F.when(F.col("content_type") == "csv", kinds["csv"][c].cast(t)).when(F.col("content_type") == "json", kinds["json"][c].cast(t)).otherwise(texts[c].cast(t))
     sure = F.when(F.col("content_type").isin("csv", "json"), X.STRUCTURED_CONFIDENCE).otherwise(X.TEXT_CONFIDENCE)
     method = F.when(F.col("content_type").isin("csv", "json"), "structured_map").otherwise("regex_heuristics")
     record = F.sha2(F.concat_ws("|", "source", F.col("ingest_seq").cast("string")), 256)
-    return payloads.filter("error is null").select(record.alias("record_id"), "source", "content_type", "ingest_ts", F.col("ingest_seq").alias("seq"), method.alias("method"), sure.alias("confidence"), *(pick(c, t).alias(c) for c, t in EXTRACTED.items()))
+    told = ["error"] if rejected else []
+    fact = lambda c, t: F.when(F.col("error").isNull(), pick(c, t)) if rejected else pick(c, t)
+    return payloads.select(record.alias("record_id"), "source", "content_type", "ingest_ts", F.col("ingest_seq").alias("seq"), method.alias("method"), sure.alias("confidence"), *(fact(c, t).alias(c) for c, t in EXTRACTED.items()), *told)

@@ -1,3 +1,4 @@
+import itertools
 import random
 from datetime import datetime, timedelta
 
@@ -5,7 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from goldweave.functions.similarity import jaro_winkler_of
+import plain
+from goldweave.functions import similarity
 from goldweave.operators import identity, items, survivorship
 from goldweave.operators.analytics import decision_rule, explanation
 from goldweave.operators.graph import connected_components
@@ -100,9 +102,7 @@ def model(records):
                     break
         if entity is None:
             for s, _, n, c in leaders:
-                d = identity._distance(name, n)
-                names = 1 - d / max(len(name), len(n)) if name and n else 0.0
-                score = 0.6 * names + 0.4 * jaro_winkler_of(company, c) if company and c else names
+                score = plain.score(name, n, company, c)
                 if score >= 0.65:
                     entity = s
                     break
@@ -124,11 +124,50 @@ def test_identity_equals_the_greedy_rule(spark, seed):
     assert got == model([(i, n, c, [f"email:{m}" for m in ms]) for i, n, c, ms, _ in rows])
 
 
+def test_no_similar_pair_is_lost(spark):
+    """All pairs of names and companies by the plain score, short names and missing companies too."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    names = sorted({word(rng.randrange(1, 12)) for _ in range(120)})
+    rows = [(i, rng.choice(names), rng.choice(["", "fern", "fern ltd", "oak", "acorn", "zz"])) for i in range(160)]
+    df = spark.createDataFrame(rows, "seq bigint, name string, company string")
+    heads = {}
+    for i, n, c in rows:
+        heads.setdefault((n, c), i)
+    want = {}
+    for (x, i), (y, j) in itertools.combinations(heads.items(), 2):
+        s = plain.score(x[0], y[0], x[1], y[1])
+        if s >= 0.65:
+            want[min(i, j), max(i, j)] = s
+    got = identity.fuzzy_pairs(df).collect()
+    assert {(r.a, r.b): pytest.approx(r.score) for r in got} == want and len(got) == len(want) > 300
+
+
+def test_jaro_winkler_of_many_pairs():
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdeé日🙂") for _ in range(rng.randrange(1, 14)))
+    pairs = [(word(), word()) for _ in range(3000)]
+    got = similarity.jaro_winkler_many([a for a, _ in pairs], [b for _, b in pairs])
+    assert all(abs(g - similarity.jaro_winkler_of(*p)) < 1e-12 for g, p in zip(got, pairs))
+
+
+def test_one_component_of_most_records(spark):
+    """A hot chain and a hot star, over several tasks."""
+    edges = [(i, i + 1) for i in range(0, 3000)] + [(10_000, 20_000 + i) for i in range(3000)]
+    random.Random(3).shuffle(edges)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)).collect()}
+    assert got == {i: 0 for i in range(3001)} | {10_000: 10_000} | {20_000 + i: 10_000 for i in range(3000)}
+
+
 def test_items_are_merged_greedily():
     rows = [("e", 0, 0, "a", 10, 1.0, T0, "Blue Fern", "Engineer", "2020-01", None, None), ("e", 0, 1, "a", 10, 1.0, T0, "Blue Fern", "Engineer", None, None, None), ("e", 1, 0, "b", 20, 0.6, T0, "blue fern ltd", "Senior Engineer", None, "2021-01", "s"), ("e", 1, 1, "b", 20, 0.6, T0, "Oak", "Clerk", None, None, None)]
     d = pd.DataFrame(rows, columns=["entity", "seq", "pos", "source", "priority", "confidence", "ts", *items.JOB_FIELDS])
     got = items.merge_items(d, "experience")
     assert got["company"].tolist() == ["blue fern ltd", "Blue Fern", "Oak"]
+    _, told = items.fold_items(d, "experience")
+    assert [(t[4], t[8], t[11], t[14]) for t in told] == [("Blue Fern", "blue fern ltd", "b", "source_priority"), ("Engineer", "Senior Engineer", "b", "source_priority")]
+    proof = {p[0]: p[4] for p in got["proof"].tolist()[0]}
+    assert proof == {"company": "Source priority (b: 20) > (a: 10)", "title": "Source priority (b: 20) > (a: 10)", "start": "Single source populated", "end": "Single source populated", "summary": "Single source populated"}
     assert got["start"].tolist()[0] == "2020-01" and got["end"].tolist()[0] == "2021-01" and got["sources"].tolist()[0] == ["a", "b"]
 
 

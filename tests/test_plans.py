@@ -1,9 +1,12 @@
 import io
+import logging
 import zipfile
 
 import pytest
 from pyspark.errors import PySparkException
 
+from goldweave import logs
+from goldweave.plans.golden import run, timeline
 from goldweave.plans.projection import project
 from goldweave.sources import readers, sinks
 from goldweave.sources.structured import extract
@@ -85,6 +88,61 @@ def test_files_of_all_kinds(spark, tmp_path):
     assert readers.read_csv(spark, [str(tmp_path / "a.csv")], first_row_only=True).count() == 1
 
 
+def test_files_of_equal_names_and_their_order(spark, tmp_path):
+    """Two folders with a file of one name: both are read, in the order of the paths; of equal trust the later one wins."""
+    for d, name in (("a b", "Ann Lee"), ("b", "Anne Lee")):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "notes.txt").write_text(f"Name: {name}\nEmail: ann@x.org\n")
+    for order in (["a b", "b"], ["b", "a b"]):
+        payloads, missing = readers.read(spark, [f"{tmp_path}/{d}/notes.txt" for d in order])
+        assert not missing and payloads.count() == 2 and payloads.select("ingest_seq").distinct().count() == 2
+        done = run(payloads)
+        want = {"a b": "Ann Lee", "b": "Anne Lee"}[order[-1]]
+        assert [r.full_name for r in done.golden.collect()] == [want]
+        (told,) = done.provenance.filter("field = 'full_name'").collect()
+        assert told.decision_reason == "Recency tie-breaker (incoming newer)"
+
+
+def test_export_and_profile_of_equal_trust(spark):
+    """Both sources have 20 and are sure: the one that is processed later wins, in either order."""
+    items = [("recruiter_export.csv", "csv", '{"name": "Ann Lee", "email": "ann@x.org"}'), ("ats_profile.json", "json", '{"name": "Anne Lee-Berg", "email": "ann@x.org", "skills": ["js"]}')]
+    for order in (items, items[::-1]):
+        done = run(readers.in_memory(spark, order))
+        want = {"recruiter_export.csv": "Ann Lee", "ats_profile.json": "Anne Lee-Berg"}[order[-1][0]]
+        assert done.golden.first().full_name == want
+    done = run(readers.in_memory(spark, items), priorities={"recruiter_export.csv": 90, "ats_profile.json": 40})
+    g = done.golden.first()
+    assert g.full_name == "Ann Lee" and [s.name for s in g.skills] == ["JavaScript"]
+    assert timeline(done).filter("status = 'ok'").count() == 3
+
+
+def test_bad_numbers_reject_their_source(spark):
+    items = [("a.json", "json", '{"name": "Ann Lee", "years_experience": "many"}'), ("b.json", "json", '{"name": "Otto Brandt", "years_experience": "4.5"}'), ("bad.json", "json", None)]
+    payloads = readers.in_memory(spark, items)
+    done = run(payloads)
+    assert [(r.source, r.error) for r in done.rejected.collect()] == [("a.json", "could not convert string to float: 'many'")]
+    assert {r.full_name: r.years_experience for r in done.golden.collect()}["Otto Brandt"] == 4.5
+    assert {r.stage for r in timeline(done).collect()} == {"Parse", "Identity Resolution", "Field Merge", "Parse: a.json"}
+
+
+def test_plain_pdf_text():
+    data = b"%PDF-1.4\n1 0 obj\n<</Length 9>>\nstream\nBT (Name: Cy \\(Jay\\) Roe) Tj T* [(Em) -20 (ail: ) <6340726F652E6F7267>] TJ ET\nendstream\nendobj\n2 0 obj\n<</Length 3 /Filter /DCTDecode>>\nstream\nBT (x) Tj\nendstream"
+    assert readers.shown_text(data) == ["Name: Cy (Jay) Roe\nEmail: c@roe.org"]
+    with pytest.raises(ValueError):
+        readers.shown_text(b"no pdf")
+
+
+def test_debug_log_is_off_unless_asked_for(monkeypatch, capsys):
+    monkeypatch.setenv("PIPELINE_DEBUG", "0")
+    logs.event("identity", "silent")
+    assert capsys.readouterr().err == ""
+    monkeypatch.setenv("PIPELINE_DEBUG", "1")
+    assert logs.enabled()
+    assert any(h.formatter for h in logging.getLogger("pipeline").handlers)
+    monkeypatch.setenv("PIPELINE_DEBUG", "0")
+    assert not logs.enabled()
+
+
 def test_json_sink(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "é")], "a int, b string")
     sinks.write_json(df.coalesce(1), f"{tmp_path}/keep")
@@ -114,3 +172,12 @@ def test_streaming_winners_equal_batch(spark, tmp_path):
             best[e] = ((p, c, t, -s), v)
     assert got == {e: v for e, (_, v) in best.items()}
     assert spark.table("win").count() == 0  # no window is past the watermark
+    rows_ = [(1, "a", 10, 0.5, "2024-01-01 00:01:00", 0), (1, "b", 20, 0.5, "2024-01-01 00:05:00", 1), (2, "c", 10, 0.5, "2024-01-01 00:11:00", 2), (3, "late", 99, 0.9, "2024-01-01 00:02:00", 4), (1, "far", 10, 0.5, "2024-01-01 05:00:00", 3)]
+    src = f"{tmp_path}/in2"
+    df = spark.createDataFrame(rows_, STREAM.replace("ts timestamp", "ts string")).withColumn("ts", __import__("pyspark").sql.functions.to_timestamp("ts"))
+    for part in ("seq < 3", "seq = 3", "seq = 4"):  # the last one comes after its window has been closed
+        df.filter(part).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(df.schema).parquet(src)
+        q = windowed_winners(stream, "entity", "10 minutes", "1 hour").writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/state2").trigger(availableNow=True).foreachBatch(lambda b, n: b.write.mode("append").parquet(f"{tmp_path}/out2")).start()
+        q.awaitTermination()
+    assert sorted((r.from_ts.minute, r.entity, r.value) for r in spark.read.parquet(f"{tmp_path}/out2").collect()) == [(0, 1, "b"), (10, 2, "c")]
