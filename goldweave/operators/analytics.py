@@ -152,5 +152,9 @@ def report_sections(golden: DataFrame) -> DataFrame:
         "warnings": some(F.col("validation_warnings"), lambda w: line(None, w), "warnings"),
         "metadata": F.array(line("Candidate ID", F.col("candidate_id"))),
     }
-    rows = [F.transform(F.coalesce(c, F.array(line(None, F.lit(None)))), lambda s, i, k=k: F.struct(F.lit(X.REPORT[k]).alias("section"), i.alias("nr"), s["label"].alias("label"), s["value"].alias("value"), s["note"].alias("note"))) for k, c in sections.items()]
+
+    def told(k: str, lines: Column) -> Column:
+        return F.transform(F.coalesce(lines, F.array(line(None, F.lit(None)))), lambda s, i: F.struct(F.lit(X.REPORT[k]).alias("section"), i.alias("nr"), s["label"].alias("label"), s["value"].alias("value"), s["note"].alias("note")))
+
+    rows = [told(k, c) for k, c in sections.items()]
     return golden.select("candidate_id", F.inline(F.filter(F.concat(*rows), lambda r: r["label"].isNotNull() | r["value"].isNotNull())))

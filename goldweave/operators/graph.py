@@ -1,13 +1,17 @@
-"""Connected components: edges contracted within partitions, then alternating large-star and small-star steps.
-
-The edges are dealt by ranges and each task replaces its own by stars around its smallest nodes, so a chain of neighbouring ids
-shrinks to a few edges before anything is joined.  Every step is a shuffle of the edges only; nothing is collected.  A vertex
-with very many neighbours is the centre of a star, so that its group is two columns of a scan, never one row.  Each
-step's edges are written to the shared folder, which cuts the plan; their number and sum come with the writing.
+"""Connected components: edges contracted within tasks, then alternating large-star and small-star steps.
+
+Each task reads a bounded number of edges and replaces them by stars around their smallest nodes.  What one task holds whole is
+done by that.  Else the stars are dealt by ranges and contracted again, so that a chain of neighbouring ids
+shrinks to a few edges before anything is joined, and star steps do the rest.  Every step is a shuffle of the edges only;
+nothing is collected.  A vertex with very many neighbours is the centre of a star, so that its group is two columns of a scan,
+never one row.  Each step's edges are written to the shared folder, which cuts the plan; their number and sum come with the
+writing.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from goldweave.plans.staging import drop_folder, staged
 
-#: Edges that a task contracts at once.
+#: Edges that a task contracts at once: some tens of MB.
 MOST = 1 << 20
 
 
@@ -35,17 +39,21 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[some], nodes[label[some]]
 
 
-def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _contract(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Stars of the task's edges; of more than `most`, stars of stars, which can only be fewer edges than nodes."""
+    a, b = np.empty(0, np.int64), np.empty(0, np.int64)
     held, n = [], 0
-    for d in batches:
-        held.append(d)
-        n += len(d)
-        if n >= MOST:
-            a, b = forest(*(pd.concat(held)[c].to_numpy(np.int64) for c in "ab"))
+    for d in itertools.chain(batches, [None]):
+        if d is not None:
+            held.append(d)
+            n += len(d)
+        if n >= most or d is None and n:
+            a, b = forest(*(np.concatenate([own, *(h[c].to_numpy(np.int64) for h in held)]) for own, c in ((a, "a"), (b, "b"))))
             held, n = [], 0
-            yield pd.DataFrame({"a": a, "b": b})
-    if n:
-        a, b = forest(*(pd.concat(held)[c].to_numpy(np.int64) for c in "ab"))
+            if len(a) > 2 * most:  # too many nodes for one task: what it has found goes on as edges
+                yield pd.DataFrame({"a": a, "b": b})
+                a, b = a[:0], b[:0]
+    if len(a):
         yield pd.DataFrame({"a": a, "b": b})
 
 
@@ -74,24 +82,29 @@ def _written(edges: DataFrame, kept: list[str]) -> tuple[DataFrame, tuple]:
     return staged(marked, "cc", kept), tuple(seen.get.values())
 
 
-def connected_components(edges: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, keep: list[str] | None = None, most: int = MOST) -> DataFrame:
     """edges(a, b) -> (node, component): every node of an edge with the smallest node it can reach.
 
     Rows with a null and loops are left out; repeated and reversed edges don't matter.  No edges, no rows.  keep gets the folder
-    that holds the result, which otherwise stays until the driver ends.
+    that holds the result, which otherwise stays until the driver ends.  most: edges that a task contracts.
     """
     spark = edges.sparkSession
     kept: list[str] = []
-    clean = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "cc", kept)
-    now, marks = _written(clean.repartitionByRange("b", "a").mapInPandas(_contract, "a bigint, b bigint"), kept)
-    while True:
+    clean, found = _written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), kept)
+    tasks = max(1, -(-found[0] // most))
+    contract = lambda d: d.mapInPandas(functools.partial(_contract, most=most), "a bigint, b bigint")
+    now, marks = _written(contract(clean.coalesce(tasks)), kept)
+    drop_folder(spark, kept.pop(0))
+    if tasks > 1:
+        now, marks = _written(contract(now.repartitionByRange("b", "a")), kept)
+        drop_folder(spark, kept.pop(0))
+    while tasks > 1:
         now, found = _written(_small_star(_large_star(now)), kept)
-        # a star forest is stable: its edges, summed by a hash, no longer change
         drop_folder(spark, kept.pop(0))
+        # a star forest is stable: its edges, summed by a hash, no longer change
         if found == marks:
             break
         marks = found
-    drop_folder(spark, kept.pop(0))
     if keep is not None:
         keep += kept
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -48,9 +48,14 @@ def _any(v: Column, names: list[str], kind: str = "string") -> Column:
 
 
 def _strings(v: Column, names: list[str]) -> Column:
-    """A string as a list of one, a list as its strings."""
-    tries = [x for k in names for x in (F.nullif(F.filter(_get(v, k, "array<string>"), lambda s: F.length(s) > 0), F.array().cast("array<string>")), F.when(F.length(_get(v, k)) > 0, F.array(_get(v, k))))]
-    return F.coalesce(*tries, F.array().cast("array<string>"))
+    """A scalar as a list of one, a list as its strings."""
+
+    def tries(k: str) -> list[Column]:
+        listed = F.filter(_get(v, k, "array<string>"), lambda s: F.length(s) > 0)
+        single = ~F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")).rlike("^(ARRAY|OBJECT)")
+        return [F.nullif(listed, F.array().cast("array<string>")), F.when(single & (F.length(_get(v, k)) > 0), F.array(_get(v, k)))]
+
+    return F.coalesce(*[x for k in names for x in tries(k)], F.array().cast("array<string>"))
 
 
 def lower_keys(json: Column) -> Column:

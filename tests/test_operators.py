@@ -81,8 +81,9 @@ def test_components_by_brute_force(spark, seed):
         if a != b:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {x: find(x) for x in root}
+    for most in (1 << 20, 9):
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), most=most).collect()}
+        assert got == {x: find(x) for x in root}
 
 
 def test_components_of_nothing(spark):
@@ -155,8 +156,10 @@ def test_one_component_of_most_records(spark):
     """A hot chain and a hot star, over several tasks."""
     edges = [(i, i + 1) for i in range(0, 3000)] + [(10_000, 20_000 + i) for i in range(3000)]
     random.Random(3).shuffle(edges)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)).collect()}
-    assert got == {i: 0 for i in range(3001)} | {10_000: 10_000} | {20_000 + i: 10_000 for i in range(3000)}
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)
+    for most in (1 << 20, 1000, 50):  # one task, several, and several that each hold only a part of their edges
+        got = {r.node: r.component for r in connected_components(df, most=most).collect()}
+        assert got == {i: 0 for i in range(3001)} | {10_000: 10_000} | {20_000 + i: 10_000 for i in range(3000)}, most
 
 
 def test_items_are_merged_greedily():
