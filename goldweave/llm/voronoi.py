@@ -128,17 +128,28 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, blo
         sure = np.flatnonzero(np.cumsum(own[order]) >= enough)
         return high, min(low[order[sure[0]]], _LONG) if len(sure) else -np.inf
 
-    # of each pair of a query cell and a data cell that must meet (at most pivots * pivots): groups and blocks
-    need: list[tuple[int, int, int, int]] = []
-    for c, n, away, long in counts[["cell", "n", "away", "long"]].itertuples(index=False):
+    # neighbouring query cells share a group up to per_group queries; a larger cell is parted by a hash
+    order = np.argsort(centre[counts["cell"]] @ np.ones(width), kind="stable")
+    group_of, parts, room = {}, [], 0
+    for c, n in zip(counts["cell"].to_numpy()[order].tolist(), counts["n"].to_numpy()[order].tolist()):
+        if n > room:
+            parts.append(-(-n // per_group))
+            room = max(0, per_group - n)
+        else:
+            room -= n
+        group_of[c] = len(parts) - 1
+    # pairs of a group and a data cell that must meet, at most pivots * pivots
+    need: set[tuple[int, int]] = set()
+    for c, away, long in counts[["cell", "away", "long"]].itertuples(index=False):
         high, bound = bounds(centre[c] @ centre.T, away * norm + long * radius)
-        need += [(int(c), int(d), int(-(-n // per_group)), int(max(1, -(-own[d] // block)))) for d in np.flatnonzero((high >= bound) & (own > 0))]
-    pairs = F.broadcast(spark.createDataFrame(need, "ask int, cell int, groups int, blocks int"))
+        need |= {(group_of[c], int(d)) for d in np.flatnonzero((high >= bound) & (own > 0))}
+    pairs = F.broadcast(spark.createDataFrame([(g, d, parts[g], int(max(1, -(-own[d] // block)))) for g, d in sorted(need)], "team int, cell int, groups int, blocks int"))
+    teams = F.broadcast(spark.createDataFrame(sorted(group_of.items()), "cell int, team int"))
     some = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda n: F.pmod(F.xxhash64("key", "raw", "__nr"), F.col(n)).cast("int")
     numbered = lambda df: df.withColumn("__nr", F.monotonically_increasing_id())  # noqa: E731  parts equal rows
     sent = numbered(rows).join(pairs, "cell").withColumn("block", part("blocks")).withColumn("grp", some("groups"))
-    asked = numbered(asks).withColumnRenamed("cell", "ask").join(pairs, "ask").withColumn("grp", part("groups")).withColumn("block", some("blocks"))
+    asked = numbered(asks).join(teams, "cell").drop("cell").join(pairs, "team").withColumn("grp", part("groups")).withColumn("block", some("blocks"))
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -162,7 +173,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, blo
                     out.append(pd.DataFrame({"query_id": name, "vec_id": ids[best], "score": s[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
 
-    keys = ["ask", "grp", "cell", "block"]
+    keys = ["team", "grp", "cell", "block"]
     local = asked.select(*keys, "key", "raw").groupBy(*keys).cogroup(sent.select(*keys, "key", "raw").groupBy(*keys)).applyInPandas(solve, "query_id bigint, vec_id bigint, score bigint")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
