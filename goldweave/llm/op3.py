@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from goldweave.llm.base import documents, id_again, whole_id
 from goldweave.llm.tiff import page_batches, text_batches
 
-PAGE_ROWS = 256
+PAGE_ROWS = 64
 #: By the checksum's remainder; what isn't named is write_tiff()'s default, deflate strips with predictor 2.
-FORMS = [{"compression": "lzw"}, {"compression": "packbits", "predictor": 1}, {"tile": (96, 64)}, {"compression": "packbits", "tile": (64, 16), "order": ">"}, {"order": ">"}, {"predictor": 1}, {}, {}]
+FORMS = [{"compression": "lzw"}, {"compression": "packbits", "predictor": 1}, {"tile": (96, 64)}, {"compression": "packbits", "predictor": 1, "tile": (64, 16), "order": ">"}, {"order": ">", "rows": 16}, {"predictor": 1}, {}, {}]
 SCHEMA = "id bigint, no_id boolean, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pages int"
 
 

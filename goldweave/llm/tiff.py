@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from goldweave.llm import textvec as V
 
-#: Fixed values of the format: tags, sizes of field types, codes of compressions.
+#: Fixed values of the format: tags, those that are 16-bit fields, sizes of field types, codes of compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+SHORTS = {BITS, COMPRESSION, PHOTOMETRIC, SAMPLES, PREDICTOR}
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 CODES = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
 NAMES = {v: k for k, v in CODES.items()} | {32946: "deflate"}
@@ -159,7 +160,10 @@ def _expand(data: bytes, how: int, size: int) -> bytes:
 
 
 def write_tiff(pages: list[np.ndarray], compression: str = "deflate", predictor: int = 2, rows: int = 64, tile: tuple[int, int] | None = None, level: int = 1, order: str = "<") -> bytes:
-    """A file of 8-bit grey pages (2-d uint8 arrays), in strips of `rows` or tiles of (width, height), both multiples of 16."""
+    """A file of 8-bit grey pages (2-d uint8 arrays), in strips of `rows` or tiles of (width, height), both multiples of 16.
+
+    Other readers know predictor 2 with LZW and deflate only.
+    """
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
     for page in pages:
@@ -184,6 +188,9 @@ def write_tiff(pages: list[np.ndarray], compression: str = "deflate", predictor:
         struct.pack_into(order + "I", out, link, len(out))
         body, extra = bytearray(struct.pack(order + "H", len(fields))), bytearray()
         for tag, values in fields:
+            if tag in SHORTS:
+                body += struct.pack(order + "HHIHH", tag, 3, 1, values[0], 0)
+                continue
             packed = struct.pack(f"{order}{len(values)}I", *values)
             if len(packed) > 4:
                 body += struct.pack(order + "HHII", tag, 4, len(values), beyond + len(extra))
