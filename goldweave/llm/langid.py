@@ -141,11 +141,11 @@ def build(masks: tuple[np.ndarray, np.ndarray], languages: list[str]) -> Filter:
 
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """lang, n-gram, documents: summed within some MB of texts before anything is shuffled."""
+    """lang, n-gram, documents: summed within about a MB of texts before anything is shuffled."""
     for b in batches:
         for lang, texts in b.groupby("lang")["text"]:
             texts = texts.tolist()
-            for x, y in V.chunks(texts, 1 << 22):
+            for x, y in V.chunks(texts):
                 keys, of = grams(texts[x:y])
                 order = np.lexsort((keys, of))
                 k, f = keys[order], of[order]

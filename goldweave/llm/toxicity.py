@@ -256,10 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "d
     rows = rows.withColumn("fold", F.pmod(F.shiftright("h", 21), F.lit(folds)).cast("int"))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """key, fold, n, ys: texts with the feature and of each category, summed within some MB of texts."""
+        """key, fold, n, ys: texts with the feature and of each category, summed within about a MB of texts."""
         for b in batches:
             texts = b["text"].tolist()
-            for x, z in V.chunks(texts, 1 << 22):
+            for x, z in V.chunks(texts):
                 part = b.iloc[x:z]
                 key, starts = distinct(*occurrences(texts[x:z]), z - x)
                 row = np.repeat(np.arange(z - x), np.diff(starts))
