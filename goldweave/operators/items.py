@@ -126,6 +126,11 @@ def _columns(items: DataFrame, kind: str) -> list:
     return ["entity", "seq", "pos", "source", method, "priority", "confidence", "ts", *(JOB_FIELDS if kind == "experience" else STUDY_FIELDS)]
 
 
+def _dealt(items: DataFrame, kind: str) -> DataFrame:
+    """The columns, dealt by entity over all shuffle partitions: a group costs Python time, not bytes, by which tasks would be merged."""
+    return items.select(*_columns(items, kind)).repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity")
+
+
 def collections(items: DataFrame, kind: str) -> DataFrame:
     """items(entity, seq, pos, source, method, priority, confidence, ts, fields) -> entity, pos, fields, sources, proof (a row per field)."""
     fields = JOB_FIELDS if kind == "experience" else STUDY_FIELDS
@@ -134,7 +139,7 @@ def collections(items: DataFrame, kind: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return merge_items(pdf.astype({"end_year": object} if "end_year" in pdf else {}), kind)
 
-    return items.select(*_columns(items, kind)).groupBy("entity").applyInPandas(run, schema)
+    return _dealt(items, kind).groupBy("entity").applyInPandas(run, schema)
 
 
 def conflicts(items: DataFrame, kind: str) -> DataFrame:
@@ -144,4 +149,4 @@ def conflicts(items: DataFrame, kind: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(fold_items(pdf.astype({"end_year": object} if "end_year" in pdf else {}), kind)[1], columns=[c.split()[0] for c in schema.split(", ")])
 
-    return items.select(*_columns(items, kind)).groupBy("entity").applyInPandas(run, schema)
+    return _dealt(items, kind).groupBy("entity").applyInPandas(run, schema)
