@@ -181,5 +181,7 @@ def resolve(records: DataFrame, mode: str = "exact", fuzzy: bool = True) -> Data
     near = (pairs if fuzzy else grouped.sparkSession.createDataFrame([], "a bigint, b bigint, score double")).join(many.withColumnRenamed("seq", "a"), "a").select(F.col("component").alias("of"), "a", "b", "score")
     run = lambda left, right: greedy(left, right)
     made = LINKS.replace("matched_seq bigint", "matched_seq string")  # a nullable long would become a double on its way
-    together = full.groupBy("component").cogroup(near.groupBy("of")).applyInPandas(run, made).withColumns({"matched_seq": F.col("matched_seq").cast("bigint"), "match_score": F.round("match_score", 2)})
+    # an explicit number: by bytes, of which there are few, tasks would be merged
+    tasks = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = full.repartition(tasks, "component").groupBy("component").cogroup(near.repartition(tasks, "of").groupBy("of")).applyInPandas(run, made).withColumns({"matched_seq": F.col("matched_seq").cast("bigint"), "match_score": F.round("match_score", 2)})
     return alone.unionByName(together)
