@@ -4,12 +4,14 @@ import zipfile
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from goldweave import logs
 from goldweave.plans.golden import run, timeline
 from goldweave.plans.projection import project
+from goldweave.queries import QUERIES
 from goldweave.sources import readers, sinks
-from goldweave.sources.structured import extract
+from goldweave.sources.structured import extract, lower_keys
 from goldweave.streaming.winners import streaming_winners, windowed_winners
 
 RECORD = "full_name string, emails array<string>, phones array<string>, years double, skills array<struct<name:string,confidence:double>>, links struct<github:string>, provenance array<struct<field:string,source:string>>, overall_confidence double"
@@ -181,3 +183,20 @@ def test_streaming_winners_equal_batch(spark, tmp_path):
         q = windowed_winners(stream, "entity", "10 minutes", "1 hour").writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/state2").trigger(availableNow=True).foreachBatch(lambda b, n: b.write.mode("append").parquet(f"{tmp_path}/out2")).start()
         q.awaitTermination()
     assert sorted((r.from_ts.minute, r.entity, r.value) for r in spark.read.parquet(f"{tmp_path}/out2").collect()) == [(0, 1, "b"), (10, 2, "c")]
+
+
+@pytest.mark.parametrize("name", ["json_location"])
+def test_a_payload_is_parsed_once(spark, name):
+    """However many facts read it, and whatever filters stand above; and one file's rows are several tasks'."""
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    assert found.rdd.getNumPartitions() > 1
+
+
+def test_keys_fold_beside_odd_strings(spark):
+    r"""Keys with escapes and blanks before the colon, values that look like keys, long strings."""
+    texts = ['{"Na\\"Me" \n: "Keep: \\"THIS\\": x", "B":["C", {"D\\\\": "E\\\\"}]}', '{"A": "' + "Y" * 20_000 + '"}', '{"A": "' + '\\"' * 200 + '"}']
+    want = ['{"na\\"me" \n: "Keep: \\"THIS\\": x", "b":["C", {"d\\\\": "E\\\\"}]}', '{"a": "' + "Y" * 20_000 + '"}', '{"a": "' + '\\"' * 200 + '"}']
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", lower_keys(F.col("t")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == want
