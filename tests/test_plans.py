@@ -185,7 +185,7 @@ def test_streaming_winners_equal_batch(spark, tmp_path):
     assert sorted((r.from_ts.minute, r.entity, r.value) for r in spark.read.parquet(f"{tmp_path}/out2").collect()) == [(0, 1, "b"), (10, 2, "c")]
 
 
-@pytest.mark.parametrize("name", ["json_location", "json_scalar_or_list"])
+@pytest.mark.parametrize("name", ["json_location", "json_scalar_or_list", "normalize_records"])
 def test_a_payload_is_parsed_once(spark, name):
     """However many facts read it, and whatever filters stand above; and one file's rows are several tasks'."""
     found = QUERIES[name](spark, "/root/testdata/sf0.001")
