@@ -187,3 +187,25 @@ def test_explanations(spark):
     got = df.collect()
     assert [g.r for g in got] == ["single_source", "single_source", "source_priority", "confidence", "recency", "auto"]
     assert [len(g.e) for g in got] == [1, 1, 2, 2, 2, 1]
+
+
+def test_entities_over_many_batches(spark):
+    """Whole years stay whole beside missing ones, and an entity's items may be more than a batch of rows; ids beyond doubles."""
+    big = 2**53 + 1
+    item = lambda e, seq, school, year: (e, seq, 0, "a", "m", 10, 1.0, seq, school, "MS", None, year)
+    rows = [item(big, 0, "Hill", 2015), item(big, 1, "Hill", 2016), item(big + 1, 2, "Hill", None), item(big + 1, 3, "Oak", None)] + [item(5, i, "TU", 1990 + i % 2) for i in range(12_000)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "entity bigint, seq bigint, pos int, source string, method string, priority int, confidence double, ts bigint, institution string, degree string, field string, end_year int")
+    told = items.conflicts(df, "education").collect()
+    assert [(r.value_a, r.value_b, r.winning_value) for r in told if r.entity == big] == [("2015", "2016", "2016")]
+    assert sum(r.entity == 5 for r in told) == 11_999 and {r.entity for r in told} == {5, big}
+    merged = {(r.entity, r.pos): (r.institution, r.end_year) for r in items.collections(df, "education").collect()}
+    assert merged == {(big, 0): ("Hill", 2016), (big + 1, 0): ("Hill", None), (big + 1, 1): ("Oak", None), (5, 0): ("TU", 1991)}
+
+
+def test_no_group_of_its_own_per_entity(spark):
+    """Jobs and components are streamed through a task; a pandas group costs an entity a millisecond or more."""
+    df = spark.createDataFrame([("e", 0, 0, "a", "m", 10, 1.0, 0, "Hill", "MS", None, 2015)], "entity string, seq bigint, pos int, source string, method string, priority int, confidence double, ts bigint, institution string, degree string, field string, end_year int")
+    people = spark.createDataFrame([(0, "a b", "c", ["x@y.z"], []), (1, "q r", "c", ["x@y.z"], [])], "seq bigint, name string, company string, emails array<string>, phones array<string>")
+    for d in (items.collections(df, "education"), items.conflicts(df, "education"), identity.resolve(people, fuzzy=False)):
+        assert "GroupsInPandas" not in d._jdf.queryExecution().optimizedPlan().toString()
