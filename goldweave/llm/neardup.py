@@ -80,7 +80,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in V.relieved(batches):
         if len(b):
             keys = S.bands(_regs(b["regs"]))
             yield pd.DataFrame({"band": keys.ravel(), "node": np.repeat(b["node"].to_numpy(np.int64), keys.shape[1])})
@@ -103,7 +103,7 @@ def _likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, slac
 
 
 def _screened(batches: Iterator[pd.DataFrame], slack: float) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in V.relieved(batches):
         if len(b):
             guess = _likely(_regs(b["ra"]), _regs(b["rb"]), b["na"].to_numpy(), b["nb"].to_numpy(), slack)
             yield b.loc[guess >= 0, ["a", "b"]].assign(guess=guess[guess >= 0])
@@ -127,7 +127,7 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held[t] = shingle_sets([t])[0]
         return held[t]
 
-    for b in batches:
+    for b in V.relieved(batches):
         ok = np.array([_linked(sets(x), sets(y)) for x, y in zip(b["ta"], b["tb"])], bool)
         yield b.loc[ok, ["a", "b"]]
 
@@ -139,7 +139,7 @@ def _block_pairs(batches: Iterator[pd.DataFrame], best: bool, slack: float) -> I
     """
     rest: pd.DataFrame | None = None
     group = ["band", "bi", "bj"]
-    for b in batches:
+    for b in V.relieved(batches):
         if not len(b):
             continue
         b = b if rest is None else pd.concat([rest, b], ignore_index=True)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from goldweave.llm.base import documents, id_again, tokenizer_path, whole_id
 from goldweave.llm.packing import pack_pieces
+from goldweave.llm.textvec import relieved
 from goldweave.llm.tokens import encoder
 from goldweave.plans.staging import staged
 
@@ -27,7 +28,7 @@ def token_pieces(df: DataFrame, key: str, column: str, tokenizer: str, kind: str
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer, kind)
-        for b in batches:
+        for b in relieved(batches):
             ids, n = enc.encode(b["text"].tolist())
             whole = np.empty(len(ids) + len(n), "<u4")
             last = np.cumsum(n + 1) - 1

@@ -7,9 +7,11 @@ with the span's length; equal bytes get equal hashes wherever they stand.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -104,8 +106,21 @@ def kgrams_of(h: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np
     return everywhere[take], at
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on beside later steps, and its allocators would keep the most that each step has used."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def relieved(batches: Iterable) -> Iterator:
+    """The batches; what working on them took is given back after the last one."""
+    yield from batches
+    give_back()
+
+
 def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` characters, each of one text at least."""
+    """Ranges of texts of about `most` characters, each of one text at least; what they took is given back after the last one."""
     a, size = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
@@ -115,3 +130,4 @@ def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
         size += n
     if a < len(texts):
         yield a, len(texts)
+        give_back()

@@ -89,3 +89,29 @@ def test_pipeline_stages_keep_clean_documents(spark):
         assert a not in left or not any(b in left and near(sets[a], sets[b]) for b in ids[:k])
     mixed = stages["mixing"](spark, docs, sf)
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= set(ids)
+
+
+def test_workers_give_freed_memory_back():
+    """Blocks freed below one that stays are the allocator's, not the system's, until a batch of texts is done."""
+    import subprocess
+    import sys
+
+    code = """
+import re
+import numpy as np
+from goldweave.llm import textvec as V
+used = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+held = [np.ones(1 << 13) for _ in range(3000)]
+top = np.ones(1 << 13)
+del held
+for make in (lambda: V.chunks(["a", None, "b"]), lambda: V.relieved(["a"])):
+    before = used()
+    assert len(list(make())) == 1
+    print(before - used())
+    held = [np.ones(1 << 13) for _ in range(3000)]
+    top = np.ones(1 << 13)
+    del held
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, env={"PYTHONPATH": ":".join(sys.path)})
+    freed = [int(x) for x in said.stdout.split()]
+    assert len(freed) == 2 and min(freed) > 100, said
