@@ -7,9 +7,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from goldweave import logs
-from goldweave.plans.golden import run, timeline
+from goldweave.plans.golden import normalized, run, timeline
 from goldweave.plans.projection import project
-from goldweave.queries import QUERIES
+from goldweave.plans.staging import made_since
+from goldweave.queries import QUERIES, _golden_run, _profiles_json
 from goldweave.sources import readers, sinks
 from goldweave.sources.structured import extract, lower_keys
 from goldweave.streaming.winners import streaming_winners, windowed_winners
@@ -200,3 +201,29 @@ def test_keys_fold_beside_odd_strings(spark):
     want = ['{"na\\"me" \n: "Keep: \\"THIS\\": x", "b":["C", {"d\\\\": "E\\\\"}]}', '{"a": "' + "Y" * 20_000 + '"}', '{"a": "' + '\\"' * 200 + '"}']
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", lower_keys(F.col("t")).alias("t")).orderBy("i").collect()
     assert [r.t for r in got] == want
+
+
+def test_a_run_makes_only_what_is_asked_for(spark):
+    """Conflicts need neither merged jobs nor provenance; what is told of the stages comes with their writing."""
+    mark = len(made_since())
+    done = _golden_run(spark, "/root/testdata/sf0.001")
+    assert done.conflicts.count() == 3 * 150 + 75
+    assert not any(f"goldweave-{name}" in p for p in made_since(mark) for name in ("provenance", "experience", "education"))
+    assert [t[3] for t in done.timeline] == ["300 record(s) parsed, 0 rejected", "150 unique candidate(s), 150 duplicate(s) merged", f"{done.claims.count()} claim(s)"]
+
+
+def test_only_the_wanted_facts_are_built(spark):
+    """Fewer facts, the same values."""
+    payloads = _profiles_json(spark, "/root/testdata/sf0.001")
+    some = extract(payloads, only=["emails", "location"])
+    assert set(some.columns) - set(extract(payloads.limit(0)).columns) == set() and "skills" not in some.columns and "links" not in normalized(some).columns
+    rows_of = lambda d: sorted(map(repr, d.select("seq", "emails", "location").collect()))
+    assert rows_of(some) == rows_of(extract(payloads))
+
+
+def test_keys_fold_among_many_strings(spark):
+    """More strings between two keys than are taken at once; texts without a key to fold stay as they are."""
+    many = ",".join(f'"V{i}"' for i in range(500))
+    texts = [f'{{"A":[{many}],"bÄ" :"X:"}}', '{"a":"B","c":["D", "E: F"]}', '{"a": "B" , "C" : 1}']
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", lower_keys(F.col("t")).alias("t"), F.size(F.split(lower_keys(F.col("t")), "V")).alias("n")).orderBy("i").collect()
+    assert [r.t for r in got] == [f'{{"a":[{many}],"bä" :"X:"}}', texts[1], '{"a": "B" , "c" : 1}']
