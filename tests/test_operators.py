@@ -209,3 +209,15 @@ def test_no_group_of_its_own_per_entity(spark):
     people = spark.createDataFrame([(0, "a b", "c", ["x@y.z"], []), (1, "q r", "c", ["x@y.z"], [])], "seq bigint, name string, company string, emails array<string>, phones array<string>")
     for d in (items.collections(df, "education"), items.conflicts(df, "education"), identity.resolve(people, fuzzy=False)):
         assert "GroupsInPandas" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stars_are_told_without_contraction(spark, monkeypatch):
+    """Edges of shared keys that are stars already, and records that all follow one of their keys, reach no Python worker."""
+    monkeypatch.setattr("goldweave.operators.graph._contract", None)
+    monkeypatch.setattr("goldweave.operators.identity.greedy", None)
+    stars = spark.createDataFrame([(2, 1), (1, 3), (2, 1), (7, 7), (9, 5)], "a bigint, b bigint")
+    assert {r.node: r.component for r in connected_components(stars).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 9: 5}
+    people = spark.createDataFrame([(1, "a", None, ["x", "y"], []), (2, "b", None, ["y"], []), (3, "c", None, ["x"], ["1"]), (4, "d", None, [], [])], "seq bigint, name string, company string, emails array<string>, phones array<string>")
+    found = identity.resolve(people, fuzzy=False)
+    assert {(r.seq, r.entity, r.match_type) for r in found.collect()} == {(1, 1, "new"), (2, 1, "key"), (3, 1, "key"), (4, 4, "new")}
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()

@@ -1,4 +1,5 @@
 import io
+import json
 import logging
 import zipfile
 
@@ -7,8 +8,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from goldweave import logs
-from goldweave.plans.golden import normalized, run, timeline
+from goldweave.plans.golden import normalized, run, stats, timeline
 from goldweave.plans.projection import project
+from goldweave.plans.schemas import PAYLOAD
 from goldweave.plans.staging import made_since
 from goldweave.queries import QUERIES, _golden_run, _profiles_json
 from goldweave.sources import readers, sinks
@@ -227,3 +229,33 @@ def test_keys_fold_among_many_strings(spark):
     texts = [f'{{"A":[{many}],"bÄ" :"X:"}}', '{"a":"B","c":["D", "E: F"]}', '{"a": "B" , "C" : 1}']
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", lower_keys(F.col("t")).alias("t"), F.size(F.split(lower_keys(F.col("t")), "V")).alias("n")).orderBy("i").collect()
     assert [r.t for r in got] == [f'{{"a":[{many}],"bä" :"X:"}}', texts[1], '{"a": "B" , "c" : 1}']
+
+
+def test_known_kinds_leave_the_rest_unbuilt(spark):
+    """A row of another kind isn't passed over: it ends the run."""
+    rows = [("a.csv", "csv", '{"name": "ann lee", "email": "a@x.org"}', None, 0, None), ("b.json", "json", '{"NAME": "bob", "emails": ["b@x.org"]}', None, 1, None), ("c.json", "json", "{", None, 2, "broken")]
+    payloads = spark.createDataFrame(rows, PAYLOAD)
+    plain, known = (extract(payloads, rejected=True, kinds=k) for k in (None, ["csv", "json"]))
+    assert known.orderBy("seq").collect() == plain.orderBy("seq").collect() and known.schema == plain.schema
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "portfolio|blog" not in plan(known) and len(plan(known)) < len(plan(plain)) / 2
+    assert [r.emails for r in extract(payloads.filter("source = 'b.json'"), only=["emails"], kinds=["json"]).collect()] == [["b@x.org"]]
+    with pytest.raises(Exception, match="content type other than json: csv"):
+        extract(payloads, kinds=["json"]).collect()
+
+
+def test_keys_are_replaced_where_texts_are_plain(spark):
+    """Keys that begin like what follows a string, many keys, and strings that look like keys."""
+    texts = [
+        '{"a": "b", "c": 1E5, ": Foo": 2, "Bar": "Bar"}', '{"A": ["k", 1E5, ":"], "x": "B:", "B": ","}', '{"x": ": Foo", "K": 1, ", Y": "Z"}', '{"": 1, "É" : "É", "Q": {"Q" \n: "Q"}}',
+        "{" + ", ".join(f'"K{i}": "K{i}"' for i in range(40)) + "}", '{"N": "he said \\"N\\": x", "a\\"N": 1}', "[]", '{"x": "],", "Y": 1}',
+    ]
+    want = [json.loads(t, object_pairs_hook=lambda kv: {k.lower(): v for k, v in kv}) for t in texts]
+    got = [json.loads(r[0]) for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(lower_keys(F.col("t"))).collect()]
+    assert got == want
+
+
+def test_counters_need_no_provenance(spark):
+    done = run(readers.in_memory(spark, [("recruiter_export.csv", "csv", json.dumps({"name": "ann lee", "email": "a@x.org"})), ("ats_profile.json", "json", json.dumps({"name": "Ann Leigh", "email": "a@x.org", "skills": ["js"]}))]))
+    told = stats(done).first()
+    assert (told.fields_merged, told.conflicts_detected, told.duplicates_removed) == (3, 1, 1) and "provenance" not in done.__dict__
